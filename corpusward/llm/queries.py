@@ -5,7 +5,14 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from corpusward.llm import decontaminate, simhash, substring
+from corpusward.llm import bpe, decontaminate, quality, simhash, substring, transducer
+
+
+def vocabulary(name: str) -> str:
+    """The place of a public tokenizer's file, the same on every executor."""
+    import public_tokenizers
+
+    return public_tokenizers.path(name)
 
 
 def _table(spark: SparkSession, folder: str, name: str) -> DataFrame:
@@ -28,6 +35,22 @@ def op4_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return made.select("doc_id", "n_words", "n_removed", F.sha2("kept", 256).alias("kept_sha256"))
 
 
+def op5_bpe_encode_decode(spark: SparkSession, sf_dir: str) -> DataFrame:
+    path = vocabulary("byte_bpe_50k.json")
+    made = bpe.decode(bpe.encode(_table(spark, sf_dir, "documents").select("doc_id", "text"), path), path)
+    return made.select("doc.doc_id", "n_tokens", F.sha2("ids", 256).alias("ids_sha256"), F.sha2("decoded", 256).alias("decoded_sha256"))
+
+
+def op7_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
+    made = quality.judged(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "labels"))
+    return made.select("doc_id", *[f"s.{c}" for c in ("n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words")], "base_failed", "kept")
+
+
+def op8_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    made = transducer.count_tokens(_table(spark, sf_dir, "documents").select("doc_id", "text"), vocabulary("word_bpe_49k.json"))
+    return made.select("doc.doc_id", "n_bytes", "n_tokens", (F.col("n_tokens") > 2048).alias("over_limit"))
+
+
 OP2_SQL = r"""
 WITH d AS (
   SELECT row_number() OVER () AS rid, doc_id,
@@ -65,5 +88,5 @@ SELECT doc_id, CAST(len(w) AS BIGINT) AS n_words, CAST(len(w) - coalesce(n, 0) A
 FROM d LEFT JOIN kept USING (rid)
 """
 
-QUERIES = {f.__name__: f for f in (op1_simhash_near_dedup, op2_benchmark_decontamination, op4_substring_dedup)}
+QUERIES = {f.__name__: f for f in (op1_simhash_near_dedup, op2_benchmark_decontamination, op4_substring_dedup, op5_bpe_encode_decode, op7_quality_rules, op8_token_counts)}
 ORACLES = {"op2_benchmark_decontamination": OP2_SQL, "op4_substring_dedup": OP4_SQL}
