@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from corpusward.llm import bpe, decontaminate, quality, simhash, substring, transducer
+from corpusward.llm import bpe, decontaminate, html, langid, licenses, quality, simhash, substring, transducer, urls
 
 
 def vocabulary(name: str) -> str:
@@ -30,6 +30,11 @@ def op2_benchmark_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame
     return found.select("doc.doc_id", "n_words", "n_hit", F.size("items").cast("long").alias("n_items"), items, "contaminated")
 
 
+def op3_html_extraction(spark: SparkSession, sf_dir: str) -> DataFrame:
+    made = html.main_text(_table(spark, sf_dir, "pages"))
+    return made.withColumn("n_chars", F.length("text").cast("long"))
+
+
 def op4_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     made = substring.without_repeats(_table(spark, sf_dir, "documents").select("doc_id", "text"))
     return made.select("doc_id", "n_words", "n_removed", F.sha2("kept", 256).alias("kept_sha256"))
@@ -41,6 +46,12 @@ def op5_bpe_encode_decode(spark: SparkSession, sf_dir: str) -> DataFrame:
     return made.select("doc.doc_id", "n_tokens", F.sha2("ids", 256).alias("ids_sha256"), F.sha2("decoded", 256).alias("decoded_sha256"))
 
 
+def op6_license_scans(spark: SparkSession, sf_dir: str) -> DataFrame:
+    made = licenses.scan(_table(spark, sf_dir, "documents").select("doc_id", "text"))
+    joined = [F.concat_ws(",", F.array_sort(F.array_distinct(c))).alias(c) for c in ("base_labels", "labels")]
+    return made.select("doc.doc_id", "n_words", "n_base", "first_word", "last_word", *joined, "score")
+
+
 def op7_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     made = quality.judged(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "labels"))
     return made.select("doc_id", *[f"s.{c}" for c in ("n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words")], "base_failed", "kept")
@@ -51,6 +62,18 @@ def op8_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return made.select("doc.doc_id", "n_bytes", "n_tokens", (F.col("n_tokens") > 2048).alias("over_limit"))
 
 
+#: The rules of the ninth query. Fixed values.
+URL_RULES = [urls.UrlRule("block", "net"), urls.UrlRule("allow", "example.net", "/en/"), urls.UrlRule("block", "example.com", "/de/"), urls.UrlRule("allow", "org", "/fr/")]
+
+
+def op9_url_filters(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return urls.judge(_table(spark, sf_dir, "pages"), URL_RULES).select("page_id", "host", "path", "rule", "verdict", "probability")
+
+
+def op10_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return langid.identify(_table(spark, sf_dir, "documents"))
+
+
 OP2_SQL = r"""
 WITH d AS (
   SELECT row_number() OVER () AS rid, doc_id,
@@ -88,5 +111,19 @@ SELECT doc_id, CAST(len(w) AS BIGINT) AS n_words, CAST(len(w) - coalesce(n, 0) A
 FROM d LEFT JOIN kept USING (rid)
 """
 
-QUERIES = {f.__name__: f for f in (op1_simhash_near_dedup, op2_benchmark_decontamination, op4_substring_dedup, op5_bpe_encode_decode, op7_quality_rules, op8_token_counts)}
+QUERIES = {
+    f.__name__: f
+    for f in (
+        op1_simhash_near_dedup,
+        op2_benchmark_decontamination,
+        op3_html_extraction,
+        op4_substring_dedup,
+        op5_bpe_encode_decode,
+        op6_license_scans,
+        op7_quality_rules,
+        op8_token_counts,
+        op9_url_filters,
+        op10_language_id,
+    )
+}
 ORACLES = {"op2_benchmark_decontamination": OP2_SQL, "op4_substring_dedup": OP4_SQL}
