@@ -1,22 +1,65 @@
-"""The training-data pipeline: stages over `documents`, each written and read again as the next one's input."""
+"""The training-data pipeline over `documents`. Each stage is written as Parquet and read again as the next one's docs."""
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from corpusward.llm import bpe, decontaminate, quality, simhash, substring
+from corpusward.llm.queries import vocabulary
+from corpusward.llm.shared import shared_folder
+
 
-from corpusward.llm import simhash
+def quality_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents that the base rules or the learned list reject go."""
+    return quality.good_rows(docs, spark.read.parquet(f"{sf_dir}/labels.parquet"))
 
 
 def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Of each group of near-duplicates the document with the smallest doc_id stays."""
     return simhash.one_of_each(docs)
 
 
-STAGES = [("near_dedup", near_dedup)]
+def substring_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Words in windows of 13 that an earlier document has go; a text that loses some is its other
+    words, joined by single spaces, and n_chars follows. A document that had words and loses all of
+    them goes."""
+    made = substring.without_repeats(docs, whole=True).where("n_removed = 0 or n_removed < n_words")
+    new = {"text": F.col("kept")}
+    if "n_chars" in docs.columns:
+        new["n_chars"] = F.when(F.col("n_removed") > 0, F.length("kept").cast(docs.schema["n_chars"].dataType)).otherwise(F.col("doc.n_chars"))
+    return made.select(*[new.get(c, F.col("doc")[c]).alias(c) for c in docs.columns])
+
+
+def decontamination(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents of which benchmark passages are a twentieth or more go."""
+    found = decontaminate.contamination(docs, spark.read.parquet(f"{sf_dir}/benchmark.parquet"))
+    return found.where("not contaminated").select("doc.*")
+
+
+def encode(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """The token ids of each document, and whether they decode to its text."""
+    path = vocabulary("byte_bpe_50k.json")
+    made = bpe.decode(bpe.encode(docs, path), path)
+    return made.select("doc.doc_id", "doc.lang", "doc.source", "n_tokens", "ids", (F.col("decoded") == F.coalesce("doc.text", F.lit(""))).alias("round_trip"))
+
+
+STAGES = [
+    ("quality_rules", quality_rules),
+    ("near_dedup", near_dedup),
+    ("substring_dedup", substring_dedup),
+    ("decontamination", decontamination),
+    ("encode", encode),
+]
+#: SQL can't express fingerprints, learned rules or merges; the pipeline is tested by brute force.
 ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
-    for _, stage in STAGES:
-        docs = stage(spark, docs, sf_dir)
+    folder, docs = f"{shared_folder(spark)}/pipeline-{uuid.uuid4().hex}", spark.read.parquet(f"{sf_dir}/documents.parquet")
+    for k, (name, stage) in enumerate(STAGES):
+        stage(spark, docs, sf_dir).write.parquet(f"{folder}/{k}-{name}")
+        docs = spark.read.parquet(f"{folder}/{k}-{name}")
     return docs

@@ -89,7 +89,6 @@ def _drop(table: pa.Table, told: pa.Table, width: int, whole: bool) -> pa.Table:
     if not len(table):
         return schema.empty_table()
     ids = table.column("doc_id").to_numpy()
-    known = table.column("doc_id").is_valid().to_numpy()
     found = list(_windows(table.column("text"), width))
     h = np.concatenate([x[-1] for x in found])
     by_window = np.concatenate([x[6] + x[0] for x in found])
@@ -105,8 +104,8 @@ def _drop(table: pa.Table, told: pa.Table, width: int, whole: bool) -> pa.Table:
         begins = np.concatenate([[True], h[order][1:] != h[order][:-1]]) if len(h) else np.empty(0, bool)
         least = own[order][np.flatnonzero(begins)[np.cumsum(begins) - 1]] if len(h) else own
         bad[order] |= own[order] > least
-    assert known.all() or not bad.any()
     n_words, n_removed, kept, spans, done = [], [], [], [], 0
+    there = table.column("text").is_valid().to_pylist()
     for low, high, data, offsets, first, places, rows, hashes in found:
         gone = covered(int(first[-1]), places[bad[done : done + len(hashes)]], width)
         done += len(hashes)
@@ -118,7 +117,9 @@ def _drop(table: pa.Table, told: pa.Table, width: int, whole: bool) -> pa.Table:
             n_removed.append(out)
             edges = np.flatnonzero(np.diff(mask.astype(np.int8), prepend=0, append=0)).tolist() if out else []
             spans.append([{"start": a, "end": b} for a, b in zip(edges[::2], edges[1::2])])
-            if out:
+            if whole and not out:
+                kept.append(text if there[low + i] else None)
+            elif out:
                 words = text.split()
                 left, at = [], 0
                 for a, b in zip(edges[::2], edges[1::2]):
@@ -126,7 +127,7 @@ def _drop(table: pa.Table, told: pa.Table, width: int, whole: bool) -> pa.Table:
                     at = b
                 kept.append(b" ".join(left + words[at:]))
             else:
-                kept.append(text if whole else b" ".join(text.split()))
+                kept.append(b" ".join(text.split()))
     new = {"n_words": n_words, "n_removed": n_removed, "removed": spans, "kept": kept}
     columns = [table.column(f.name) if f.name not in new else pa.array(new[f.name], pa.binary() if f.name == "kept" else f.type).cast(f.type) for f in schema]
     return pa.table(columns, schema=schema)
@@ -143,23 +144,22 @@ def _group_of(bounds: list[int]):
     return block * step + F.size(F.filter(F.get(fine, block), lambda x: x < F.col("doc_id")))
 
 
-def without_repeats(docs: DataFrame, width: int = 13, group_bytes: int = 8 << 20, rest: list[str] | None = None, whole: bool = False) -> DataFrame:
-    """Each row of docs (the columns in `rest`; by default doc_id) with n_words, n_removed, removed
+def without_repeats(docs: DataFrame, width: int = 13, group_bytes: int = 8 << 20, whole: bool = False) -> DataFrame:
+    """docs (all columns but text in a struct `doc`) with n_words, n_removed, removed
     (the maximal intervals [start, end) of removed words) and kept (the other words, joined by one
-    space; with `whole`, the text unchanged where nothing is removed).
+    space; with `whole`, the text as it is, null too, where nothing is removed).
 
     A word goes if a window of `width` words of its document covers it that also starts in a
     document with a smaller doc_id. Windows are judged on the input. A null text has no words; a
     text of fewer words than `width` loses none. Rows with the same doc_id don't remove each
     other's words. A row without a doc_id neither loses words nor takes any. No rows give no rows."""
-    rest = ["doc_id"] if rest is None else rest
-    source = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce(F.col("text").cast("string"), F.lit("")).alias("text"), F.struct(*[docs[c] for c in rest]).alias("rest"))
+    source = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"), F.struct(*[docs[c] for c in docs.columns if c != "text"]).alias("rest"))
     size, n = source.agg(F.sum(F.octet_length("text")), F.count("doc_id")).first()
     n_groups = max(1, min(n, -(-(size or 0) // group_bytes)))
     shares = [i / n_groups for i in range(1, n_groups)]
     bounds = source.agg(F.percentile_approx("doc_id", shares, 20 * n_groups)).first()[0] if shares else []
     bits = max(0, math.ceil(math.log2(max(1, (size or 0) / _BYTES_A_WORD / 2**20))))
-    spread = -1 - F.pmod(F.xxhash64("text"), F.lit(1024)).cast("int")
+    spread = -1 - F.pmod(F.xxhash64("text"), F.lit(1 << 16)).cast("int")
     dealt = source.withColumn("g", F.when(F.col("doc_id").isNull(), spread).otherwise(_group_of(sorted(set(bounds))).cast("int")))
     sent = dealt.groupBy("g").applyInArrow(lambda table: _send(table, width, bits), "bucket int, g int, hashes binary")
     told = sent.groupBy("bucket").applyInArrow(lambda table: _tell(table), "g int, hashes binary")
@@ -167,5 +167,5 @@ def without_repeats(docs: DataFrame, width: int = 13, group_bytes: int = 8 << 20
     new = [T.StructField("n_words", T.LongType()), T.StructField("n_removed", T.LongType()), T.StructField("removed", T.ArrayType(span)), T.StructField("kept", T.StringType())]
     out = T.StructType([*dealt.select("rest").schema, *new])
     made = dealt.groupBy("g").cogroup(told.groupBy("g")).applyInArrow(lambda table, known: _drop(table, known, width, whole), out)
-    return made.select("rest.*", "n_words", "n_removed", "removed", "kept")
+    return made.select(F.col("rest").alias("doc"), "n_words", "n_removed", "removed", "kept")
 
