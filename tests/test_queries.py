@@ -1,0 +1,21 @@
+"""Each query of the reference's operators against DuckDB on the smallest tables."""
+
+import duckdb
+import pytest
+
+from corpusward.plans.queries import ORACLES, QUERIES
+
+FOLDER = "/root/testdata/sf0.001"
+TABLES = "region nation customer supplier part orders lineitem events documents embeddings pages benchmark labels conversations".split()
+
+
+@pytest.mark.parametrize("name", list(QUERIES))
+def test_same_rows_as_sql(spark, name):
+    made = QUERIES[name](spark, FOLDER)
+    columns = sorted(made.columns)
+    con = duckdb.connect()
+    con.execute("SET timezone = 'UTC'")
+    for table in TABLES:
+        con.execute(f"CREATE VIEW {table} AS SELECT * FROM '{FOLDER}/{table}.parquet'")
+    want = con.execute(f"SELECT {', '.join(columns)} FROM ({ORACLES[name]})").fetchall()
+    assert sorted(map(repr, map(tuple, made.select(*columns).collect()))) == sorted(map(repr, want))
