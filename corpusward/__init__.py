@@ -1,0 +1 @@
+"""Scans source repositories and prepares training data, as Spark jobs."""

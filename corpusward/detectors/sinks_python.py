@@ -2,35 +2,21 @@
 
 from __future__ import annotations
 
-from functools import reduce
-
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from corpusward.detectors.python_calls import parsed
-from corpusward.functions.text import snippet
-from corpusward.schemas import Found, Tables, findings
-
-ID = "dangerous-sinks"
 # Fixed values.
 SHELL_RUNNERS = "run call Popen check_output check_call getoutput getstatusoutput".split()
 SQL_RUNNERS = "execute executemany executescript".split()
-SQL_VERB = r"(?i)^\s*(?:select|insert|update|delete|drop|alter|create|replace|merge|truncate|with)\b"
-KINDS = {
-    "shell": ("critical", "Shell command with run-time parts", "Text from elsewhere may end up as a command.", "Pass a list of arguments, without a shell."),
-    "sql": ("critical", "SQL with run-time parts", "Text from elsewhere may change the statement.", "Pass values as parameters."),
-    "tls": ("critical", "Certificates aren't verified", "Anyone on the way can read and change the traffic.", "Leave verification on."),
-    "code-exec": ("critical", "Run-time text is run as code", "Text from elsewhere may be run.", "Parse the data instead of evaluating it."),
-    "deserialization": ("critical", "Unsafe deserialisation", "Loading such data may run code from it.", "Use a format that holds data only."),
-}
+SQL_VERB = r"(?i)^\s*(?:SELECT|INSERT|UPDATE|DELETE|WITH|REPLACE|MERGE)\b"
 
 
 def rules(calls: DataFrame) -> list[DataFrame]:
-    """kind, rule, severity with the columns of calls; severity null: the kind's."""
+    """kind, rule, severity with the columns of calls."""
     last = F.element_at(F.split("callee", r"\."), -1)
     module = F.regexp_extract("callee", r"^(.*)\.[^.]*$", 1)
     kw = lambda name: F.try_element_at("kwargs", F.lit(name))
-    hit = lambda kind, rule, held, severity=None: calls.where(F.coalesce(held, F.lit(False))).withColumns({"kind": F.lit(kind), "rule": F.lit(rule), "severity": F.lit(severity).cast("string")})
+    hit = lambda kind, rule, held, severity="critical": calls.where(F.coalesce(held, F.lit(False))).withColumns({"kind": F.lit(kind), "rule": F.lit(rule), "severity": F.lit(severity)})
     dynamic = F.col("arg0_dynamic")
     given = F.exists(F.map_values("kwargs"), lambda v: v.rlike(r"(?:^|\.)CERT_NONE$"))
     return [
@@ -44,26 +30,3 @@ def rules(calls: DataFrame) -> list[DataFrame]:
         hit("deserialization", "py-pickle", (F.element_at(F.split(module, r"\."), -1).isin("pickle", "cPickle", "_pickle")) & last.isin("load", "loads")),
         hit("deserialization", "py-yaml-load", F.col("callee") == "yaml.load", "high"),
     ]
-
-
-def detect(tables: Tables) -> Found:
-    files = tables.files.where("in_text_walk and issue_code is null and ext = '.py' and text is not null")
-    read = parsed(files.select("repo_id", "path", "text"))
-    calls = read.select("repo_id", "path", F.explode("p.calls").alias("c")).select("repo_id", "path", "c.*")
-    hits = reduce(lambda a, b: a.unionByName(b), rules(calls))
-    told = lambda k: reduce(lambda w, x: w.when(F.col("kind") == x[0], F.lit(x[1][k])), KINDS.items(), F.when(F.lit(False), ""))
-    at = F.concat_ws(":", F.col("path"), F.col("line"))
-    made = findings(
-        hits,
-        id=F.concat_ws(":", F.lit(ID), "rule", "path", "line", "col"),
-        detector_id=ID,
-        severity=F.coalesce("severity", told(0)),
-        title=told(1),
-        explanation=told(2),
-        fix_prompt=F.concat(told(3), F.lit(" See "), at, F.lit(".")),
-        file=F.col("path"),
-        evidence=snippet(F.col("text")),
-        metadata=F.to_json(F.struct("kind", F.col("rule").alias("ruleId"))),
-    )
-    issues = read.where("p.failed").select("repo_id", F.lit(ID).alias("detector_id"), F.lit("dangerous-sinks-parse-failed").alias("code"), F.concat(F.lit('Could not parse "'), F.col("path"), F.lit('".')).alias("message"), F.col("path").alias("file"))
-    return Found(made, issues, files.select("repo_id", "path"))

@@ -9,7 +9,7 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from corpusward.detectors import ai_presence, ai_unreviewed, crypto, env_leak, ghost_deps, secrets, sinks_python, supply_chain
+from corpusward.detectors import ai_presence, ai_unreviewed, crypto, env_leak, ghost_deps, secrets, sinks, supply_chain
 from corpusward.operators import scope, scoring
 from corpusward.policy import Policy
 from corpusward.schemas import ISSUE, Found, Tables, with_text
@@ -17,7 +17,7 @@ from corpusward.sources.tree import read_trees
 
 Detector = Callable[[Tables], Found]
 #: Detectors in their default order; pass others to scan() to extend or replace them.
-DETECTORS: dict[str, Detector] = {m.ID: m.detect for m in (ghost_deps, secrets, ai_unreviewed, sinks_python, supply_chain, env_leak, crypto, ai_presence)}
+DETECTORS: dict[str, Detector] = {m.ID: m.detect for m in (ghost_deps, secrets, ai_unreviewed, sinks, supply_chain, env_leak, crypto, ai_presence)}
 
 
 def select(only: Iterable[str] | None = None, skip: Iterable[str] | None = None, known: dict[str, Detector] | None = None) -> dict[str, Detector]:
