@@ -59,7 +59,7 @@ class Result:
 
 def _stats(repos: DataFrame, found: dict[str, Found], findings: DataFrame, issues: DataFrame) -> DataFrame:
     spark = repos.sparkSession
-    every = repos.crossJoin(F.broadcast(spark.createDataFrame([(d,) for d in found], "detector_id string")))
+    every = repos.select("repo_id", F.explode(F.array(*map(F.lit, found))).alias("detector_id"))
     none = spark.createDataFrame([], "repo_id string, detector_id string, n long")
     counted = lambda df: df.groupBy("repo_id", "detector_id").agg(F.count("*").alias("n"))
     analysed = reduce(lambda a, b: a.unionByName(b), [none] + [counted(f.analysed.withColumn("detector_id", F.lit(d))) for d, f in found.items() if f.analysed is not None])
