@@ -6,7 +6,7 @@ from functools import reduce
 
 from pyspark.sql import functions as F
 
-from corpusward.operators.regexscan import scan
+from corpusward.operators.regexscan import scan_all
 from corpusward.schemas import Found, Tables, findings, language
 
 ID = "insecure-crypto"
@@ -30,11 +30,20 @@ def _context(text, line, match):
 
 def detect(tables: Tables) -> Found:
     files = tables.files.where("in_text_walk and issue_code is null").withColumn("lang", language(F.col("ext"))).where("lang is not null and text is not null")
-    parts = []
-    for rule, severity, python, near, pattern, title, why, todo in RULES:
-        hits = scan(files.where("lang = 'python'") if python else files, pattern)
-        if near:
-            hits = hits.where(_context(F.col("text"), "line", F.col("match")).rlike(_SECURITY_WORD))
-        at = F.concat(F.col("path"), F.lit(":"), F.col("line"))
-        parts.append(findings(hits, id=F.concat(F.lit(f"{ID}:{rule}:"), at), detector_id=ID, severity=severity, title=title, explanation=why, fix_prompt=F.concat(F.lit(todo + " See "), at, F.lit(".")), file=F.col("path"), evidence=F.substring("match", 1, 80), metadata=F.to_json(F.struct(F.lit(rule).alias("ruleId")))))
-    return Found(reduce(lambda a, b: a.unionByName(b), parts), analysed=files.select("repo_id", "path"))
+    hits = scan_all(files, {r[0]: r[4] for r in RULES})
+    told = lambda k: reduce(lambda w, r: w.when(F.col("rule") == r[0], F.lit(r[k])), RULES, F.when(F.lit(False), F.lit(RULES[0][k])))
+    hits = hits.where(~told(2) | (F.col("lang") == "python")).where(~told(3) | _context(F.col("text"), "line", F.col("match")).rlike(_SECURITY_WORD))
+    at = F.concat(F.col("path"), F.lit(":"), F.col("line"))
+    made = findings(
+        hits,
+        id=F.concat_ws(":", F.lit(ID), F.col("rule"), at),
+        detector_id=ID,
+        severity=told(1),
+        title=told(5),
+        explanation=told(6),
+        fix_prompt=F.concat(told(7), F.lit(" See "), at, F.lit(".")),
+        file=F.col("path"),
+        evidence=F.substring("match", 1, 80),
+        metadata=F.to_json(F.struct(F.col("rule").alias("ruleId"))),
+    )
+    return Found(made, analysed=files.select("repo_id", "path"))

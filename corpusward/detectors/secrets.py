@@ -2,13 +2,11 @@
 
 from __future__ import annotations
 
-from functools import reduce
-
 from pyspark.sql import functions as F
 
 from corpusward.functions.text import is_placeholder, masked, shannon_entropy
 from corpusward.operators.references import first_by
-from corpusward.operators.regexscan import scan
+from corpusward.operators.regexscan import scan, scan_all
 from corpusward.schemas import Found, Tables, findings
 
 ID = "secrets"
@@ -32,7 +30,7 @@ FORMATS = [
 
 def detect(tables: Tables, entropy: bool = True) -> Found:
     files = tables.files.where("in_text_walk and issue_code is null and text is not null")
-    rows = reduce(lambda a, b: a.unionByName(b), [scan(files, pattern).select("repo_id", "path", "match", "line", F.lit(rule).alias("rule")) for rule, pattern in FORMATS])
+    rows = scan_all(files, dict(FORMATS)).select("repo_id", "path", "match", "line", "rule")
     hits = findings(
         rows,
         id=F.concat_ws(":", F.lit(ID), "rule", "path", "line"),

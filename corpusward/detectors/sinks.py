@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from functools import reduce
 
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from corpusward.detectors import js_calls, python_calls, sinks_js, sinks_python
@@ -21,16 +22,23 @@ TOLD = {
     "cors": ("Any origin may read responses", "Pages of other sites can read what a visitor may see.", "List the origins that need access."),
     "xss": ("HTML from run-time text", "Text from elsewhere may run in a visitor's browser.", "Set text content, or sanitise the HTML."),
 }
-_COLUMNS = ["repo_id", "path", "line", "col", "text", "kind", "rule", "severity"]
+
+
+def flagged(rows: DataFrame, rules: list[tuple]) -> DataFrame:
+    """rows with kind, rule, severity: one for each rule that flags it, in one pass over rows."""
+    one = lambda kind, rule, severity: F.struct(F.lit(kind).alias("kind"), F.lit(rule).alias("rule"), F.lit(severity).alias("severity"))
+    hits = F.array_compact(F.array(*[F.when(held, one(kind, rule, severity)) for kind, rule, severity, held in rules]))
+    made = rows.withColumn("_hit", F.explode(hits))
+    return made.select("repo_id", "path", "line", "col", "text", F.col("_hit")["kind"].alias("kind"), F.col("_hit")["rule"].alias("rule"), F.col("_hit")["severity"].alias("severity"))
 
 
 def detect(tables: Tables) -> Found:
     files = tables.files.where("in_text_walk and issue_code is null and text is not null").withColumn("lang", language(F.col("ext"))).where("lang is not null").select("repo_id", "path", "text", "lang")
     py = python_calls.parsed(files.where("lang = 'python'"))
     js = js_calls.parsed(files.where("lang <> 'python'"))
-    hits = sinks_python.rules(py.select("repo_id", "path", F.explode("p.calls").alias("c")).select("repo_id", "path", "c.*"))
-    hits += sinks_js.rules(js.select("repo_id", "path", F.explode("p.rows").alias("c")).select("repo_id", "path", "c.*"))
-    rows = reduce(lambda a, b: a.unionByName(b), [h.select(_COLUMNS) for h in hits])
+    calls = py.select("repo_id", "path", F.explode("p.calls").alias("c")).select("repo_id", "path", "c.*")
+    others = js.select("repo_id", "path", F.explode("p.rows").alias("c")).select("repo_id", "path", "c.*")
+    rows = flagged(calls, sinks_python.rules()).unionByName(flagged(others, sinks_js.rules()))
     told = lambda k: reduce(lambda w, x: w.when(F.col("kind") == x[0], F.lit(x[1][k])), TOLD.items(), F.when(F.lit(False), ""))
     at = F.concat_ws(":", F.col("path"), F.col("line"))
     made = findings(

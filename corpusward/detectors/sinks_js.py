@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 # Fixed values.
@@ -15,12 +15,12 @@ ORIGIN_HEADER = ["Access-Control-Allow-Origin", "access-control-allow-origin"]
 _STAR, _PLAIN = r"^[\"'`]\*[\"'`]$", r"^(?:\"(?:[^\"\\]|\\.)*\"|'(?:[^'\\]|\\.)*'|`(?:[^`\\]|\\.)*`)$"
 
 
-def rules(rows: DataFrame) -> list[DataFrame]:
-    """kind, rule, severity with the columns of rows."""
+def rules() -> list[tuple[str, str, str, Column]]:
+    """kind, rule, severity, and what holds of a row that it flags."""
     c = F.col
     call = lambda *names: (c("what") == "call") & c("name").isin(*names)
     prop = lambda name: F.try_element_at("props", F.lit(name))
-    hit = lambda kind, rule, severity, held: rows.where(F.coalesce(held, F.lit(False))).withColumns({"kind": F.lit(kind), "rule": F.lit(rule), "severity": F.lit(severity)})
+    hit = lambda kind, rule, severity, held: (kind, rule, severity, held)
     shell = (call("exec", "execSync") & c("dynamic")) | (call(*SHELL_RUNNERS) & (prop("shell") == "true") & c("any_dynamic"))
     header = F.regexp_replace("first", r"^[\"'`]|[\"'`]$", "").isin(ORIGIN_HEADER)
     inner = F.trim(F.regexp_extract("first", r"(?s)__html\s*:\s*(.+?)\s*$", 1))

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 # Fixed values.
@@ -11,12 +11,12 @@ SQL_RUNNERS = "execute executemany executescript".split()
 SQL_VERB = r"(?i)^\s*(?:SELECT|INSERT|UPDATE|DELETE|WITH|REPLACE|MERGE)\b"
 
 
-def rules(calls: DataFrame) -> list[DataFrame]:
-    """kind, rule, severity with the columns of calls."""
+def rules() -> list[tuple[str, str, str, Column]]:
+    """kind, rule, severity, and what holds of a call that it flags."""
     last = F.element_at(F.split("callee", r"\."), -1)
     module = F.regexp_extract("callee", r"^(.*)\.[^.]*$", 1)
     kw = lambda name: F.try_element_at("kwargs", F.lit(name))
-    hit = lambda kind, rule, held, severity="critical": calls.where(F.coalesce(held, F.lit(False))).withColumns({"kind": F.lit(kind), "rule": F.lit(rule), "severity": F.lit(severity)})
+    hit = lambda kind, rule, held, severity="critical": (kind, rule, severity, held)
     dynamic = F.col("arg0_dynamic")
     given = F.exists(F.map_values("kwargs"), lambda v: v.rlike(r"(?:^|\.)CERT_NONE$"))
     return [

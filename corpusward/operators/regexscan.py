@@ -27,3 +27,10 @@ def matches(text: Column, pattern: str) -> Column:
 def scan(files: DataFrame, pattern: str, text: str = "text") -> DataFrame:
     """files with match and line, one row for each match; files that can't match aren't exploded."""
     return files.where(F.col(text).rlike(pattern)).withColumn("_m", F.explode(matches(F.col(text), pattern))).select("*", "_m.match", "_m.line").drop("_m")
+
+
+def scan_all(files: DataFrame, patterns: dict[str, str], text: str = "text") -> DataFrame:
+    """files with rule, match and line for each match of each pattern (by rule), in one pass."""
+    one = lambda rule, pattern: F.when(F.col(text).rlike(pattern), F.transform(matches(F.col(text), pattern), lambda m: F.struct(F.lit(rule).alias("rule"), m["match"].alias("match"), m["line"].alias("line"))))
+    found = F.flatten(F.array_compact(F.array(*[one(r, p) for r, p in patterns.items()])))
+    return files.withColumn("_m", F.explode(found)).select("*", "_m.rule", "_m.match", "_m.line").drop("_m")

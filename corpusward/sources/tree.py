@@ -1,7 +1,7 @@
 """Source trees as a table: one row for each file of each repository.
 
 Spark's own file sources leave out names that begin with . or _, which are the ones that matter
-here; so this is a data source of its own. Each top-level entry of each repository is a partition.
+here; so this is a data source of its own. A repository's top-level entries are dealt to a few partitions.
 A row says which of the two walks reaches the file: the text walk (configuration and sources of
 bounded size) or the package walk (manifests, imports, docs). Contents are only read on request.
 """
@@ -24,6 +24,8 @@ TRACES = ".agent-trace"
 BINARY_ENDINGS = frozenset(".png .jpg .jpeg .gif .webp .ico .svg .woff .woff2 .ttf .eot .mp3 .mp4 .zip .gz .tar .7z .pdf .wasm .map .lock .pyc .class .o .so .dll .exe".split())
 LOCK_FILES = frozenset("package-lock.json yarn.lock pnpm-lock.yaml bun.lock bun.lockb Cargo.lock poetry.lock composer.lock".split())
 LARGEST_TEXT = 512 * 1024
+#: Partitions of a repository at most.
+PARTS = 4
 
 SCHEMA = "repo_id string, path string, basename string, ext string, size long, content binary, in_text_walk boolean, in_package_walk boolean, issue_code string, issue_message string"
 
@@ -34,8 +36,10 @@ def _extension(name: str) -> str:
 
 
 class _Part(InputPartition):
-    def __init__(self, repo: str, root: str, entry: str | None):
-        self.repo, self.root, self.entry = repo, root, entry
+    """Some top-level entries of a repository; None if its folder can't be listed."""
+
+    def __init__(self, repo: str, root: str, entries: list[str] | None):
+        self.repo, self.root, self.entries = repo, root, entries
 
 
 class _Reader(DataSourceReader):
@@ -49,16 +53,18 @@ class _Reader(DataSourceReader):
             try:
                 entries = sorted(os.listdir(root))
             except OSError:
-                entries = [None]
-            parts += [_Part(repo, root, e) for e in entries]
-        return parts or [_Part("", "", "")]
+                parts.append(_Part(repo, root, None))
+                continue
+            n = min(PARTS, len(entries))
+            parts += [_Part(repo, root, entries[k::n]) for k in range(n)]
+        return parts or [_Part("", "", [])]
 
     def read(self, part):
-        if part.entry is None:
+        if part.entries is None:
             for walk in ("text", "package"):
                 yield self._issue(part.repo, ".", walk, True)
-        elif part.entry:
-            yield from self._visit(part.repo, part.root, part.entry, True, True)
+        for entry in part.entries or []:
+            yield from self._visit(part.repo, part.root, entry, True, True)
 
     def _issue(self, repo: str, path: str, walk: str, folder: bool):
         code = f"{'text' if walk == 'text' else 'ghost-deps'}-walk-{'directory' if folder else 'stat'}-failed"
