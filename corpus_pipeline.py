@@ -41,8 +41,7 @@ def decontamination(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFr
 
 def encode(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """The token ids of each document, and whether they decode to its text."""
-    path = vocabulary("byte_bpe_50k.json")
-    made = bpe.decode(bpe.encode(docs, path), path)
+    made = bpe.encode_decode(docs, vocabulary("byte_bpe_50k.json"))
     return made.select("doc.doc_id", "doc.lang", "doc.source", "n_tokens", "ids", (F.col("decoded") == F.coalesce("doc.text", F.lit(""))).alias("round_trip"))
 
 

@@ -173,6 +173,11 @@ def _decode_batches(batches, path):
             yield pa.RecordBatch.from_arrays([batch.column("doc")[low:high], batch.column("n_tokens")[low:high], batch.column("ids")[low:high], pa.array(some, pa.binary()).cast(pa.string())], ["doc", "n_tokens", "ids", "decoded"])
 
 
+def _both_batches(batches, path):
+    for batch in _encode_batches(batches, path):
+        yield from _decode_batches((batch,), path)
+
+
 def encode(docs: DataFrame, path: str) -> DataFrame:
     """docs (all columns in a struct `doc`) with n_tokens and ids (little-endian unsigned 32-bit
     numbers, one after the other). path: a byte-level vocabulary file that every executor has.
@@ -188,3 +193,11 @@ def decode(encoded: DataFrame, path: str) -> DataFrame:
     """encoded (doc, n_tokens, ids) with decoded, the ids' text."""
     out = encoded.withColumn("decoded", F.lit(None).cast("string")).schema
     return encoded.mapInArrow(partial(_decode_batches, path=path), out)
+
+
+def encode_decode(docs: DataFrame, path: str) -> DataFrame:
+    """What decode(encode(docs)) gives, in one pass: a task needs one Python worker, not two."""
+    texts = docs.select(F.struct(*[docs[c] for c in docs.columns]).alias("doc"), docs["text"].cast("string").alias("text"))
+    null = lambda kind, name: F.lit(None).cast(kind).alias(name)
+    out = texts.select("doc", null("long", "n_tokens"), null("binary", "ids"), null("string", "decoded")).schema
+    return texts.mapInArrow(partial(_both_batches, path=path), out)
