@@ -19,6 +19,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from corpusward.llm.shared import left_join_spread
 from corpusward.llm.urls import url_host
 
 _TOKEN = re.compile(r"""<!--.*?(?:-->|\Z)|<!\[CDATA\[.*?(?:\]\]>|\Z)|<[!?][^>]*(?:>|\Z)|<(/?)([a-zA-Z][^\s/>]*)((?:[^>"']|"[^"]*"|'[^']*')*)>|[^<]+|<""", re.S)
@@ -49,6 +50,7 @@ DROPPED_WORDS = frozenset(
     "ad ads advert adverts advertisement advertising adbox sponsor sponsored promo promotion banner nav navbar navigation menu breadcrumb breadcrumbs header masthead footer sidebar aside cookie cookies consent gdpr notice notices alert popup modal overlay newsletter subscribe subscription signup login share sharing social related recommended comment comments disqus respond reply replies pagination pager toolbar widget skip".split()
 )
 ARTICLE = frozenset(("article", "main"))
+_OTHER_BLOCKS = BLOCKS - {"p"}
 
 
 def _is_dropped(tag: str, attributes: str) -> bool:
@@ -66,10 +68,10 @@ def _is_dropped(tag: str, attributes: str) -> bool:
 
 
 class _Open:
-    __slots__ = ("tag", "dropped", "in_article", "start", "first_block", "words")
+    __slots__ = ("tag", "dropped", "in_article", "parts", "first_block", "words")
 
-    def __init__(self, tag, dropped, in_article, start, first_block):
-        self.tag, self.dropped, self.in_article, self.start, self.first_block, self.words = tag, dropped, in_article, start, first_block, False
+    def __init__(self, tag, dropped, in_article, first_block):
+        self.tag, self.dropped, self.in_article, self.parts, self.first_block, self.words = tag, dropped, in_article, [], first_block, False
 
 
 class Page:
@@ -80,9 +82,9 @@ class Page:
     def __init__(self, source: str):
         self.blocks: list[tuple[str, bool]] = []
         self.subtrees: list[tuple[int, int, int]] = []
-        self._canon: list[str] = []
         self._text: list[str] = []
-        self._stack = [_Open("", False, False, 0, 0)]
+        self._stack = [_Open("", False, False, 0)]
+        self._paragraphs = 0  # open ones
         at, n = 0, len(source)
         while at < n:
             found = _TOKEN.match(source, at)
@@ -109,8 +111,8 @@ class Page:
 
     def _say(self, raw: str) -> None:
         top = self._stack[-1]
-        self._canon.append(" ".join(raw.split()))
-        if self._canon[-1]:
+        top.parts.append(" ".join(raw.split()))
+        if top.parts[-1]:
             top.words = True
         if not top.dropped:
             self._text.append(raw)
@@ -125,8 +127,8 @@ class Page:
     def _begin(self, tag: str, attributes: str) -> None:
         if tag in BLOCKS:
             self._flush()
-            if any(x.tag == "p" for x in self._stack[1:]):  # a block ends an open paragraph, and what it holds
-                self._close_to("p", BLOCKS - {"p"})
+            if self._paragraphs:  # a block ends an open paragraph, and what it holds
+                self._close_to("p", _OTHER_BLOCKS)
         if tag in IMPLIED:
             ends, within = IMPLIED[tag]
             for k in range(len(self._stack) - 1, 0, -1):
@@ -138,17 +140,17 @@ class Page:
         if tag == "br":
             if not self._stack[-1].dropped:
                 self._text.append(" ")
-            self._canon.append("<br>")
+            self._stack[-1].parts.append("<br>")
             return
         if tag in VOID:
-            self._canon.append(f"<{tag}>")
+            self._stack[-1].parts.append(f"<{tag}>")
             return
         top = self._stack[-1]
         dropped = top.dropped or _is_dropped(tag, attributes)
         if dropped and not top.dropped and tag in BLOCKS:
             self._flush()
-        self._stack.append(_Open(tag, dropped, top.in_article or tag in ARTICLE, len(self._canon), len(self.blocks)))
-        self._canon.append(f"<{tag}>")
+        self._stack.append(_Open(tag, dropped, top.in_article or tag in ARTICLE, len(self.blocks)))
+        self._paragraphs += tag == "p"
 
     def _close_to(self, tag: str, barrier: frozenset) -> None:
         for k in range(len(self._stack) - 1, 0, -1):
@@ -178,10 +180,13 @@ class Page:
         if x.tag in BLOCKS:
             self._flush()
         self._stack.pop()
+        self._paragraphs -= x.tag == "p"
+        subtree = xxhash.xxh64_intdigest("\x1f".join((x.tag, *x.parts)))
+        self._stack[-1].parts.append(f"\x1e{subtree}")  # a parent's hash is made of its children's; texts have no such sign
         if x.words:
             self._stack[-1].words = True
         if x.words and x.tag in BLOCKS and not x.in_article and x.tag not in ("html", "body", "head"):
-            self.subtrees.append((xxhash.xxh64_intdigest("\x1f".join(self._canon[x.start :])) - (1 << 63), x.first_block, len(self.blocks)))
+            self.subtrees.append((subtree - (1 << 63), x.first_block, len(self.blocks)))
 
     def text(self, template: frozenset | set = frozenset()) -> str:
         """The page's main text without the subtrees whose hashes are in template."""
@@ -226,8 +231,8 @@ def main_text(pages: DataFrame, share: float = 0.5, least: int = 5) -> DataFrame
 
     A null or empty html has an empty text. Pages without a host (a null url too) have no site, so
     only markup decides there. Repeated rows come out repeated and count as pages of their site; no
-    rows give no rows; other columns play no part."""
+    rows give no rows; other columns play no part. The pages of a large host are dealt to many tasks."""
     rows = pages.select(F.col("page_id").cast("long").alias("page_id"), F.col("url").cast("string").alias("url"), url_host(F.col("url").cast("string")).alias("host"), F.coalesce(F.col("html").cast("string"), F.lit("")).alias("html"))
-    known = templates(rows, share, least).withColumnRenamed("host", "site")
-    joined = rows.join(known, rows.host == known.site, "left").select("page_id", "url", "html", "template")
+    sizes = rows.groupBy("host").agg(F.count("*").alias("n"))
+    joined = left_join_spread(rows, templates(rows, share, least), "host", sizes, pages.count()).select("page_id", "url", "html", "template")
     return joined.mapInArrow(_text_batches, "page_id long, url string, text string")

@@ -5,6 +5,7 @@ from __future__ import annotations
 import tempfile
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 
 def shared_folder(spark: SparkSession) -> str:
@@ -16,6 +17,22 @@ def shared_folder(spark: SparkSession) -> str:
     return folder or spark.sparkContext.getCheckpointDir()
 
 
+def left_join_spread(rows: DataFrame, table: DataFrame, key: str, sizes: DataFrame, total: int, least: int = 256, most_keys: int = 1000) -> DataFrame:
+    """rows with the columns of table, which has one row for each key at most, by a left join that
+    parts the keys that many rows share.
+
+    sizes: key and n, how many of the `total` rows have it. A key of more than `least` rows, and of
+    more than a share of 1 / most_keys of all rows, is dealt out in parts of about that many, by a
+    hash of the whole row; its row of table is repeated for each. There are fewer than most_keys such
+    keys, so they are broadcast. A null key joins nothing, and its rows are dealt out too."""
+    block = max(least, -(-total // most_keys))
+    parts = sizes.where(F.col("n") > block).select(F.col(key).alias("_hot"), F.ceil(F.col("n") / F.lit(block)).cast("int").alias("_parts"))
+    many = F.coalesce("_parts", F.when(F.col(key).isNull(), most_keys), F.lit(1))
+    dealt = rows.join(F.broadcast(parts), rows[key] == F.col("_hot"), "left").withColumn("_part", F.pmod(F.xxhash64(*[rows[c] for c in rows.columns]), many).cast("int")).drop("_hot", "_parts")
+    held = table.withColumnRenamed(key, "_key").join(F.broadcast(parts), F.col("_key") == F.col("_hot"), "left").withColumn("_of", F.explode(F.sequence(F.lit(0), F.coalesce("_parts", F.lit(1)) - 1))).drop("_hot", "_parts")
+    return dealt.join(held, (F.col(key) == F.col("_key")) & (F.col("_part") == F.col("_of")), "left").drop("_key", "_part", "_of")
+
+
 def cut(df: DataFrame) -> DataFrame:
     """df, computed once and kept in the shared folder; lost executors don't lose it."""
     shared_folder(df.sparkSession)

@@ -45,3 +45,10 @@ def test_site_templates(spark):
 def test_long_pages_and_depth():
     assert Page("<div>" * 3000 + "deep").text() == "deep"
     assert len(Page("<p>word</p>" * 20_000).text()) == 5 * 20_000 - 1
+
+
+def test_large_hosts_are_dealt_out(spark):
+    rows = [(i, "http://a.example/", f"<div><p>site</p></div><p>story {i}</p>") for i in range(900)] + [(1000 + i, None, f"<p>{i}</p>") for i in range(300)]
+    pages = spark.createDataFrame(rows, "page_id long, url string, html string")
+    got = {r.page_id: r.text for r in html.main_text(pages).collect()}
+    assert len(got) == 1200 and all(got[i] == f"story {i}" for i in range(900)) and all(got[1000 + i] == str(i) for i in range(300))
