@@ -4,8 +4,10 @@ A page is cut into tags and texts by one pattern; a stack of open elements follo
 with the usual implied ends. Subtrees of every page are hashed and counted by host in Spark; a
 subtree that recurs on many pages of its host is a part of the site's template, and is left out,
 as are elements that are menus, headers, footers, sidebars, notices, adverts, forms, scripts,
-styles or reader comments by their tag, role, class or id. Where a page marks its article, the
-text is the article's, and template counts leave the article's own paragraphs alone.
+styles or reader comments by their tag, role, class or id. Where a page marks its article or main
+part, the text is that part's, again without the subtrees that recur. Only prose inside an <article>
+(PROSE: paragraphs, headings, quotes, single items and cells) stays if it recurs, as passages that
+articles share are no template; containers of it, such as lists and divisions, go.
 """
 
 from __future__ import annotations
@@ -19,7 +21,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from corpusward.llm.shared import left_join_spread
+from corpusward.llm.shared import cut, left_join_spread
 from corpusward.llm.urls import url_host
 
 _TOKEN = re.compile(r"""<!--.*?(?:-->|\Z)|<!\[CDATA\[.*?(?:\]\]>|\Z)|<[!?][^>]*(?:>|\Z)|<(/?)([a-zA-Z][^\s/>]*)((?:[^>"']|"[^"]*"|'[^']*')*)>|[^<]+|<""", re.S)
@@ -51,6 +53,10 @@ DROPPED_WORDS = frozenset(
 )
 ARTICLE = frozenset(("article", "main"))
 _OTHER_BLOCKS = BLOCKS - {"p"}
+#: Blocks that are an article's own words, even if other articles have them too.
+PROSE = frozenset("p h1 h2 h3 h4 h5 h6 hgroup blockquote pre figcaption summary li dt dd tr td th tbody thead tfoot".split())
+#: Elements that are no template as a whole.
+_WHOLE = ARTICLE | {"html", "body", "head"}
 
 
 def _is_dropped(tag: str, attributes: str) -> bool:
@@ -68,10 +74,11 @@ def _is_dropped(tag: str, attributes: str) -> bool:
 
 
 class _Open:
-    __slots__ = ("tag", "dropped", "in_article", "parts", "first_block", "words")
+    __slots__ = ("tag", "dropped", "in_article", "own_prose", "parts", "first_block", "words", "holds_article")
 
-    def __init__(self, tag, dropped, in_article, first_block):
-        self.tag, self.dropped, self.in_article, self.parts, self.first_block, self.words = tag, dropped, in_article, [], first_block, False
+    def __init__(self, tag, dropped, in_article, own_prose, first_block):
+        self.tag, self.dropped, self.in_article, self.own_prose, self.parts, self.first_block = tag, dropped, in_article, own_prose, [], first_block
+        self.words = self.holds_article = False
 
 
 class Page:
@@ -83,7 +90,7 @@ class Page:
         self.blocks: list[tuple[str, bool]] = []
         self.subtrees: list[tuple[int, int, int]] = []
         self._text: list[str] = []
-        self._stack = [_Open("", False, False, 0)]
+        self._stack = [_Open("", False, False, False, 0)]
         self._paragraphs = 0  # open ones
         at, n = 0, len(source)
         while at < n:
@@ -149,7 +156,7 @@ class Page:
         dropped = top.dropped or _is_dropped(tag, attributes)
         if dropped and not top.dropped and tag in BLOCKS:
             self._flush()
-        self._stack.append(_Open(tag, dropped, top.in_article or tag in ARTICLE, len(self.blocks)))
+        self._stack.append(_Open(tag, dropped, top.in_article or tag in ARTICLE, top.own_prose or tag == "article", len(self.blocks)))
         self._paragraphs += tag == "p"
 
     def _close_to(self, tag: str, barrier: frozenset) -> None:
@@ -185,28 +192,35 @@ class Page:
         self._stack[-1].parts.append(f"\x1e{subtree}")  # a parent's hash is made of its children's; texts have no such sign
         if x.words:
             self._stack[-1].words = True
-        if x.words and x.tag in BLOCKS and not x.in_article and x.tag not in ("html", "body", "head"):
+        if x.holds_article or x.tag in ARTICLE:
+            self._stack[-1].holds_article = True
+        elif x.first_block < len(self.blocks) and x.tag in BLOCKS and x.tag not in _WHOLE and not (x.own_prose and x.tag in PROSE):
             self.subtrees.append((subtree - (1 << 63), x.first_block, len(self.blocks)))
 
     def text(self, template: frozenset | set = frozenset()) -> str:
-        """The page's main text without the subtrees whose hashes are in template."""
-        if any(a for _, a in self.blocks):
-            return "\n".join(t for t, a in self.blocks if a)
+        """The page's main text without the subtrees whose hashes are in template. An article of
+        which nothing would be left stays whole."""
         out = [False] * len(self.blocks)
         for h, low, high in self.subtrees:
             if h in template:
                 out[low:high] = [True] * (high - low)
+        if any(a for _, a in self.blocks):
+            left = [t for (t, a), gone in zip(self.blocks, out) if a and not gone]
+            return "\n".join(left or (t for t, a in self.blocks if a))
         return "\n".join(t for (t, _), gone in zip(self.blocks, out) if not gone)
 
 
 def _subtree_batches(batches):
+    """host, hash of a subtree, hash of the page's text; and one row of each page with a null subtree."""
     for batch in batches:
-        hosts, hashes = [], []
+        hosts, hashes, texts = [], [], []
         for host, source in zip(batch.column("host").to_pylist(), batch.column("html").to_pylist()):
-            some = {h for h, *_ in Page(source).subtrees}
+            page = Page(source)
+            some = [None, *{h for h, *_ in page.subtrees}]
             hosts += [host] * len(some)
             hashes += some
-        yield pa.RecordBatch.from_arrays([pa.array(hosts, pa.string()), pa.array(hashes, pa.int64())], ["host", "hash"])
+            texts += [xxhash.xxh64_intdigest(page.text()) - (1 << 63)] * len(some)
+        yield pa.RecordBatch.from_arrays([pa.array(hosts, pa.string()), pa.array(hashes, pa.int64()), pa.array(texts, pa.int64())], ["host", "hash", "text"])
 
 
 def _text_batches(batches):
@@ -215,13 +229,17 @@ def _text_batches(batches):
         yield pa.RecordBatch.from_arrays([batch.column("page_id"), batch.column("url"), pa.array(texts, pa.string())], ["page_id", "url", "text"])
 
 
-def templates(rows: DataFrame, share: float = 0.5, least: int = 5) -> DataFrame:
+def templates(rows: DataFrame, share: float = 0.5, least: int = 5, many: int = 20, few: float = 0.1) -> DataFrame:
     """host, template: the hashes of subtrees that stand on `share` of the host's pages, and on
-    `least` of them. A host has no more of them than its mean page has subtrees, divided by share."""
+    `least` of them; or on `many`, if these are `few` of its pages. Pages of one text count once, so
+    that copies of a page make no template of it. A host has no more templates than its mean page
+    has subtrees, divided by few."""
     rows = rows.where("host <> ''")
-    counts = rows.select("host", "html").mapInArrow(_subtree_batches, "host string, hash long").groupBy("host", "hash").agg(F.count("*").alias("n"))
-    pages = rows.groupBy("host").agg(F.count("*").alias("pages"))
-    often = counts.where(F.col("n") >= least).join(pages, "host").where(F.col("n") >= share * F.col("pages"))
+    found = rows.select("host", "html").mapInArrow(_subtree_batches, "host string, hash long, text long").distinct()
+    counts = cut(found.groupBy("host", "hash").agg(F.count("*").alias("n")).where(F.col("hash").isNull() | (F.col("n") >= min(least, many))))
+    pages = counts.where("hash is null").select("host", F.col("n").alias("pages"))
+    enough = lambda n, part: (F.col("n") >= n) & (F.col("n") >= part * F.col("pages"))
+    often = counts.where("hash is not null").join(pages, "host").where(enough(least, share) | enough(many, few))
     return often.groupBy("host").agg(F.collect_list("hash").alias("template"))
 
 
@@ -230,7 +248,7 @@ def main_text(pages: DataFrame, share: float = 0.5, least: int = 5) -> DataFrame
     space, joined by newlines.
 
     A null or empty html has an empty text. Pages without a host (a null url too) have no site, so
-    only markup decides there. Repeated rows come out repeated and count as pages of their site; no
+    only markup decides there. Repeated rows come out repeated and count as one page of their site; no
     rows give no rows; other columns play no part. The pages of a large host are dealt to many tasks."""
     rows = pages.select(F.col("page_id").cast("long").alias("page_id"), F.col("url").cast("string").alias("url"), url_host(F.col("url").cast("string")).alias("host"), F.coalesce(F.col("html").cast("string"), F.lit("")).alias("html"))
     sizes = rows.groupBy("host").agg(F.count("*").alias("n"))

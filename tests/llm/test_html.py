@@ -52,3 +52,26 @@ def test_large_hosts_are_dealt_out(spark):
     pages = spark.createDataFrame(rows, "page_id long, url string, html string")
     got = {r.page_id: r.text for r in html.main_text(pages).collect()}
     assert len(got) == 1200 and all(got[i] == f"story {i}" for i in range(900)) and all(got[1000 + i] == str(i) for i in range(300))
+
+
+def test_templates_inside_articles(spark):
+    def page(url, i, html):
+        return (i, f"http://{url}/{i}", html)
+
+    bar = "<div><p>Share this</p><ul><li>one</li><li>two</li></ul></div>"
+    rows = [page("m.example", i, f"<div><main><div><p>Our notice</p></div><h1>T {i}</h1><p>story {i}</p></main></div>") for i in range(8)]
+    rows += [page("r.example", 10 + i, f"<article><p>shared passage</p><p>own {i}</p>{bar}</article>") for i in range(8)]
+    # copies of a page, under another advert each, make no template of its article
+    rows += [page("c.example", 20 + i, f"<div class='ad'>{i}</div><div><article><h1>T</h1><div><p>whole story</p></div></article></div>") for i in range(8)]
+    # nothing else in the article
+    rows += [page("o.example", 30 + i, f"<article>{bar}</article><p>{i}</p>") for i in range(8)]
+    # on 40 % of a large host's pages
+    rows += [page("l.example", 100 + i, f"<main>{bar if i % 5 < 2 else ''}<p>text {i}</p></main>") for i in range(100)]
+    pages = spark.createDataFrame(rows, "page_id long, url string, html string")
+    got = {r.page_id: r.text for r in html.main_text(pages).collect()}
+    for i in range(8):
+        assert got[i] == f"T {i}\nstory {i}"
+        assert got[10 + i] == f"shared passage\nown {i}"
+        assert got[20 + i] == "T\nwhole story"
+        assert got[30 + i] == "Share this\none\ntwo"
+    assert all(got[100 + i] == f"text {i}" for i in range(100))
