@@ -51,6 +51,10 @@ DROPPED_ROLES = frozenset("navigation banner contentinfo complementary search fo
 DROPPED_WORDS = frozenset(
     "ad ads advert adverts advertisement advertising adbox sponsor sponsored promo promotion banner nav navbar navigation menu breadcrumb breadcrumbs header masthead footer sidebar aside cookie cookies consent gdpr notice notices alert popup modal overlay newsletter subscribe subscription signup login share sharing social related recommended comment comments disqus respond reply replies pagination pager toolbar widget skip".split()
 )
+#: Words that stand beside them in a class or id without another meaning, as in sidebar-left or site-header.
+BESIDE = frozenset("left right top bottom main primary secondary site global mobile desktop sticky fixed small large list area box bar block container wrapper wrap inner outer item items link links button buttons icon icons form text section unit slot media google posts articles stories".split())
+#: Words that mark an article as a reader's comment.
+COMMENT_WORDS = frozenset("comment comments disqus respond reply replies".split())
 ARTICLE = frozenset(("article", "main"))
 _OTHER_BLOCKS = BLOCKS - {"p"}
 #: Blocks that are an article's own words, even if other articles have them too.
@@ -59,38 +63,51 @@ PROSE = frozenset("p h1 h2 h3 h4 h5 h6 hgroup blockquote pre figcaption summary
 _WHOLE = ARTICLE | {"html", "body", "head"}
 
 
-def _is_dropped(tag: str, attributes: str) -> bool:
+def _marks(value: str, words: frozenset) -> bool:
+    """Whether a class or id holds a token that says one of these words and nothing else."""
+    for token in value.split():
+        pieces = [x for x in re.split(r"[^a-z0-9]+", token) if x and not x.isdigit()]
+        if not words.isdisjoint(pieces) and all(x in DROPPED_WORDS or x in BESIDE for x in pieces):
+            return True
+    return False
+
+
+def _dropped_by(tag: str, attributes: str) -> str:
+    """'tag' (or a role, or hidden), 'word' (in class or id), or empty. An article is not dropped by
+    its own class, unless that makes it a comment."""
     if tag in DROPPED:
-        return True
+        return "tag"
     if not attributes or tag in ("body", "html"):
-        return False
+        return ""
+    by, words = "", COMMENT_WORDS if tag in ARTICLE else DROPPED_WORDS
     for name, value in _ATTRIBUTE.findall(attributes):
         name, value = name.lower(), value.strip("\"'").lower()
         if name == "hidden" or name == "aria-hidden" and value == "true" or name == "role" and value in DROPPED_ROLES:
-            return True
-        if name in ("class", "id") and not DROPPED_WORDS.isdisjoint(re.split(r"[^a-z0-9]+", value)):
-            return True
-    return False
+            return "tag"
+        if name in ("class", "id") and _marks(value, words):
+            by = "word"
+    return by
 
 
 class _Open:
-    __slots__ = ("tag", "dropped", "in_article", "own_prose", "parts", "first_block", "words", "holds_article")
+    __slots__ = ("tag", "dropped", "by_word", "doubtful", "in_article", "own_prose", "parts", "first_block", "words", "holds_article")
 
-    def __init__(self, tag, dropped, in_article, own_prose, first_block):
+    def __init__(self, tag, dropped, by_word, doubtful, in_article, own_prose, first_block):
         self.tag, self.dropped, self.in_article, self.own_prose, self.parts, self.first_block = tag, dropped, in_article, own_prose, [], first_block
+        self.by_word, self.doubtful = by_word, doubtful  # dropped by a class word only; an article within such an element
         self.words = self.holds_article = False
 
 
 class Page:
     """A page's blocks of text, and its subtrees that may belong to a template.
 
-    blocks: (text, in an article). subtrees: (hash, first block, block after the last)."""
+    blocks: (text, in an article, in one that a class word would drop). subtrees: (hash, first block, block after the last)."""
 
     def __init__(self, source: str):
-        self.blocks: list[tuple[str, bool]] = []
+        self.blocks: list[tuple[str, bool, bool]] = []
         self.subtrees: list[tuple[int, int, int]] = []
         self._text: list[str] = []
-        self._stack = [_Open("", False, False, False, 0)]
+        self._stack = [_Open("", False, False, False, False, False, 0)]
         self._paragraphs = 0  # open ones
         at, n = 0, len(source)
         while at < n:
@@ -128,7 +145,7 @@ class Page:
         if self._text:
             text = " ".join(html.unescape("".join(self._text)).split())
             if text:
-                self.blocks.append((text, self._stack[-1].in_article))
+                self.blocks.append((text, self._stack[-1].in_article, self._stack[-1].doubtful))
             self._text = []
 
     def _begin(self, tag: str, attributes: str) -> None:
@@ -153,10 +170,15 @@ class Page:
             self._stack[-1].parts.append(f"<{tag}>")
             return
         top = self._stack[-1]
-        dropped = top.dropped or _is_dropped(tag, attributes)
+        by = _dropped_by(tag, attributes)
+        dropped, by_word, doubtful = top.dropped or by != "", top.by_word if top.dropped else by == "word", top.doubtful
+        if by == "tag":
+            by_word = False
+        elif tag in ARTICLE and by_word:  # kept for a page that has no other article
+            dropped, by_word, doubtful = False, False, True
         if dropped and not top.dropped and tag in BLOCKS:
             self._flush()
-        self._stack.append(_Open(tag, dropped, top.in_article or tag in ARTICLE, top.own_prose or tag == "article", len(self.blocks)))
+        self._stack.append(_Open(tag, dropped, by_word, doubtful, top.in_article or tag in ARTICLE, top.own_prose or tag == "article", len(self.blocks)))
         self._paragraphs += tag == "p"
 
     def _close_to(self, tag: str, barrier: frozenset) -> None:
@@ -199,15 +221,17 @@ class Page:
 
     def text(self, template: frozenset | set = frozenset()) -> str:
         """The page's main text without the subtrees whose hashes are in template. An article of
-        which nothing would be left stays whole."""
+        which nothing would be left stays whole. Articles that a class word marks as dropped, or that
+        stand in such an element, are the text of pages that have no other."""
         out = [False] * len(self.blocks)
         for h, low, high in self.subtrees:
             if h in template:
                 out[low:high] = [True] * (high - low)
-        if any(a for _, a in self.blocks):
-            left = [t for (t, a), gone in zip(self.blocks, out) if a and not gone]
-            return "\n".join(left or (t for t, a in self.blocks if a))
-        return "\n".join(t for (t, _), gone in zip(self.blocks, out) if not gone)
+        for doubt in (False, True):
+            own = [(t, gone) for (t, a, d), gone in zip(self.blocks, out) if a and d is doubt]
+            if own:
+                return "\n".join([t for t, gone in own if not gone] or [t for t, _ in own])
+        return "\n".join(t for (t, *_), gone in zip(self.blocks, out) if not gone)
 
 
 def _subtree_batches(batches):

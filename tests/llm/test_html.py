@@ -75,3 +75,21 @@ def test_templates_inside_articles(spark):
         assert got[20 + i] == "T\nwhole story"
         assert got[30 + i] == "Share this\none\ntwo"
     assert all(got[100 + i] == f"text {i}" for i in range(100))
+
+
+@pytest.mark.parametrize(
+    "source, want",
+    [
+        ("<article class='post has-sidebar'><h2 class='entry-header'>T</h2><p class='share-price'>up</p></article>", "T\nup"),
+        ("<main id='content' class='no-header'><p>in</p></main>", "in"),
+        ("<div class='with-menu'><p>around</p></div>", "around"),
+        ("<div class='sidebar'><p>out</p><main><p>in</p><div class='ad'>a</div></main></div>", "in"),
+        ("<article class='promo'><p>in</p></article>", "in"),
+        ("<article><p>in</p></article><div class='comments'><article><p>said</p></article></div><article class='comment' id='comment-12'>said</article>", "in"),
+        ("<main><article class='sponsored'><p>in</p></article><div id='comments'><article class=x>said</article></div></main>", "in"),
+        ("<div class='comments'><aside><article>aside</article></aside><p>kept out</p></div><p>kept</p>", "kept"),
+        ("<div class='site-header'>h</div><ul class='main-nav'><li>n</ul><div class='post share-buttons'>s</div><div class='ad__slot'>a</div><p>kept</p>", "kept"),
+    ],
+)
+def test_class_words(source, want):
+    assert Page(source).text() == want
