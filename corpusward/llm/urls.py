@@ -1,7 +1,7 @@
 """URL filters: an ordered rule list, and gradient-boosted trees on lexical features for the rest.
 
-The trees learn from labelled URLs by second-order boosting of the logistic loss over quantile
-bins. Features are lengths, depths, digit ratios, entropies, parameter counts, and how many pages
+The trees learn from labelled URLs, those with a rule's verdict and a short list (LABELLED), by
+second-order boosting of the logistic loss over quantile bins. URLs without a label teach nothing. Features are lengths, depths, digit ratios, entropies, parameter counts, and how many pages
 and hosts share the URL's top suffix, counted over all pages.
 """
 
@@ -141,21 +141,54 @@ def boost(x: np.ndarray, y: np.ndarray, weight: np.ndarray, rounds: int = 40, de
     return Trees(base, trees, 2.0)
 
 
+#: Invented URLs outside of any rule, of the forms that block lists and directories hold. The rules
+#: speak about few suffixes; these show both kinds under each.
+LABELLED = [
+    *(("block", u) for u in (f"http://{host}.{suffix}/{path}" for host, path in (
+        ("best-casino-777", "play/slots?bonus=100&ref=9381"), ("cheap-meds-4u", "order?id=88213"), ("win-free-bets", "bet/now"), ("www.hot-date-24", "profile/99812?aff=31"),
+        ("ads-click-track", "c?u=8123&s=7&k=aa91"), ("www.loan-fast-cash", "apply"), ("x7-q9-stream4", "watch/48213"), ("replica-watch-shop", "p/1-2-3"),
+        ("m.spam-link-farm", "a/b/c/9912"), ("crypto-double-2x", "join?ref=7731"), ("free-iphone-win", "claim"), ("poker-bonus-88", "en/12"),
+    ) for suffix in ("com", "org", "net", "info"))),
+    *(("allow", u) for u in (f"http://{host}.{suffix}/{path}" for host, path in (
+        ("www.library", "catalogue/8123"), ("gardening.example", "en/1570?page=2"), ("blog.mountains", "2019/04/walks"), ("m.citynews", "de/4410"),
+        ("museum.example", "fr/visit#hours"), ("www.bakery.example", "recipes/rye"), ("docs.compiler", "manual/index.html?v=3"), ("weather", ""),
+        ("m.recipes.example", "es/901?page=1&ref=x"), ("university", "research/papers/2021"), ("blog.trains.example", "en/77"), ("www.choir", "concerts"),
+    ) for suffix in ("com", "org", "net", "info"))),
+]
+
+
 def train(rows: list, precision: float = 0.9, least_blocked: int = 20) -> Trees | None:
-    """Trees from rows (features, verdict; null: unlisted). An unlisted URL counts as allowed with
-    half the weight. A quarter of the rows sets the threshold: the lowest at which at least
-    `precision` of what is blocked there is labelled so; if there is none, nothing is blocked."""
-    if not any(r.verdict == "block" for r in rows):
-        return None
+    """Trees from rows (features, verdict; listed: from the list; held: out of the learning part).
+
+    Rows without a verdict play no part. The list weighs as much as the rules' rows, and then both
+    verdicts weigh the same among the rows of a suffix. The held-out
+    rows (a quarter, if they don't say) set the threshold: the lowest at which at least `precision`
+    of what is blocked there is labelled so, by weight and among listed rows alone; if there is
+    none, nothing is blocked. No rows blocked by a rule give no trees."""
+    rows = [r for r in rows if r.verdict]
+    listed = np.array([getattr(r, "listed", False) for r in rows], bool)
     x = np.array([r.features for r in rows], float)
     y = np.array([r.verdict == "block" for r in rows], float)
-    weight = np.array([1.0 if r.verdict else 0.5 for r in rows])
-    held = np.arange(len(y)) % 4 == 3
-    model = boost(x[~held], y[~held], weight[~held])
-    p, truth = model.probability(x[held]), y[held]
+    if not (y > 0)[~listed].any():
+        return None
+    each = (~listed).sum() / max(1, listed.sum())
+    weight = np.where(listed, each, 1.0)
+    suffix = np.unique(x[:, -2:], axis=0, return_inverse=True)[1].reshape(-1)
+    for g in np.unique(suffix) if listed.any() else ():  # a rule for all of a suffix doesn't say that the suffix is bad
+        here = [(suffix == g) & (y == c) for c in (0, 1)]
+        if here[0].any() and here[1].any():
+            half = weight[suffix == g].sum() / 2
+            for some in here:
+                weight[some] *= half / weight[some].sum()
+    held = np.array([getattr(r, "held", k % 4 == 3) for k, r in enumerate(rows)], bool)
+    if held.all() or not held.any():
+        held = np.arange(len(y)) % 4 == 3
+    model = boost(x[~held], y[~held], weight[~held], least=max(10.0, each if listed.any() else 0.0))
+    p, truth, w, known = model.probability(x[held]), y[held], weight[held], listed[held]
     for t in np.unique(p):
         hit = p >= t
-        if hit.sum() >= least_blocked and truth[hit].mean() >= precision:
+        alone = truth[hit & known]
+        if hit.sum() >= least_blocked and np.average(truth[hit], weights=w[hit]) >= precision and (not len(alone) or alone.mean() >= precision):
             model.threshold = float(t)
             break
     return model
@@ -169,8 +202,9 @@ def _featured(batch: pa.RecordBatch) -> list[list[float]]:
 
 
 def _feature_batches(batches):
+    kept = ["url", "verdict", "listed", "held"]
     for batch in batches:
-        yield pa.RecordBatch.from_arrays([batch.column("verdict"), pa.array(_featured(batch), pa.list_(pa.float64()))], ["verdict", "features"])
+        yield pa.RecordBatch.from_arrays([*(batch.column(c) for c in kept), pa.array(_featured(batch), pa.list_(pa.float64()))], [*kept, "features"])
 
 
 def _judge_batches(batches, model):
@@ -185,11 +219,11 @@ def _judge_batches(batches, model):
         yield pa.RecordBatch.from_arrays([new[c] if c in new else batch.column(c) for c in names], names)
 
 
-def judge(pages: DataFrame, rules: list[UrlRule], sample: int = 20_000) -> DataFrame:
+def judge(pages: DataFrame, rules: list[UrlRule], sample: int = 20_000, labelled: list[tuple[str, str]] = LABELLED) -> DataFrame:
     """page_id, rule, verdict, host, path, probability (of being blocked, by the trees) of each page.
 
-    The trees learn from about `sample` pages, chosen by a hash of the URL (twice that at most);
-    suffixes are counted over all pages. A null URL, or one without ://, has an empty host and path
+    The trees learn from about `sample` different URLs with a rule's verdict, chosen by a hash, and
+    from `labelled` (verdict, URL); suffixes are counted over all pages. A null URL, or one without ://, has an empty host and path
     and no rule. If no page is blocked by a rule the trees allow everything. Repeated rows come out
     repeated, no rows give no rows."""
     spark = pages.sparkSession
@@ -200,9 +234,15 @@ def judge(pages: DataFrame, rules: list[UrlRule], sample: int = 20_000) -> DataF
     by_host = rows.groupBy("suffix", "host").agg(F.count("*").alias("n"))
     suffixes = by_host.groupBy("suffix").agg(F.sum("n").cast("double").alias("pages"), F.count("*").cast("double").alias("hosts"))
     rows = rows.join(suffixes, "suffix").drop("suffix")
-    n = pages.count()
-    share = min(1.0, sample / max(1, n))
-    some = rows.where(F.pmod(F.xxhash64("url"), F.lit(1 << 30)) < int(share * (1 << 30))) if share < 1 else rows
-    learned = some.mapInArrow(_feature_batches, "verdict string, features array<double>").limit(2 * sample).collect()
+    ruled = rows.where("verdict is not null")
+    n = ruled.agg(F.approx_count_distinct("url").alias("n")).first().n
+    part = lambda seed: F.pmod(F.xxhash64(F.lit(seed), "url"), F.lit(1 << 30))
+    some = ruled.where(part(1) < int(min(1.0, sample / max(1, n)) * (1 << 30))).dropDuplicates(["url"]).withColumn("listed", F.lit(False))
+    more = spark.createDataFrame(labelled, "verdict string, url string").withColumn("host", url_host(F.col("url"))).withColumn("path", url_path(F.col("url")))
+    more = more.withColumn("suffix", F.substring_index("host", ".", -1)).join(suffixes, "suffix", "left").fillna(0.0, ["pages", "hosts"]).withColumn("listed", F.lit(True))
+    names = ["url", "host", "path", "pages", "hosts", "verdict", "listed"]
+    rows_of = some.select(names).unionByName(more.select(names)).withColumn("held", part(2) % 4 == 3)
+    learned = rows_of.mapInArrow(_feature_batches, "url string, verdict string, listed boolean, held boolean, features array<double>").collect()
+    learned.sort(key=lambda r: (r.listed, r.url))
     model = spark.sparkContext.broadcast(train(learned))
     return rows.mapInArrow(partial(_judge_batches, model=model), "page_id long, rule string, verdict string, host string, path string, probability double")

@@ -65,3 +65,17 @@ def test_filter_blocks_what_is_alike():
     hit = [model.probability(np.array([features(bad)]))[0] >= model.threshold for bad in (True, False) for _ in range(100)]
     assert sum(hit[:100]) > 90 and sum(hit[100:]) < 10
     assert urls.train([Row(features(False), "allow") for _ in range(50)]) is None
+
+
+def test_unlisted_urls_teach_nothing(spark):
+    rng = random.Random(3)
+    bad = lambda: "-".join("".join(rng.choices("abc0123456789", k=5)) for _ in range(4))
+    good = lambda: "".join(rng.choices("abcdefghij", k=8))
+    rules = [urls.UrlRule("block", "bad.net"), urls.UrlRule("allow", "good.net")]
+    made = [f"http://{bad()}.bad.net/x" for _ in range(300)] + [f"http://{good()}.good.net/x" for _ in range(300)]
+    made += [f"http://{bad()}.new.net/x" for _ in range(900)] + [f"http://{good()}.site.net/x" for _ in range(900)]
+    made += [made[0]] * 1000  # one URL of a third of the rows
+    pages = spark.createDataFrame(list(enumerate(made)), "page_id long, url string")
+    got = {r.page_id: r.verdict for r in urls.judge(pages, rules).collect()}
+    assert sum(got[i] == "block" for i in range(600, 1500)) > 800
+    assert sum(got[i] == "block" for i in range(1500, 2400)) < 90
