@@ -1,4 +1,10 @@
+import random
+import time
+from collections import Counter
+from html.parser import HTMLParser
+
 import pytest
+from pyspark.sql import functions as F
 
 from corpusward.llm import html
 from corpusward.llm.html import Page
@@ -93,3 +99,148 @@ def test_templates_inside_articles(spark):
 )
 def test_class_words(source, want):
     assert Page(source).text() == want
+
+
+@pytest.mark.parametrize(
+    "source, want",
+    [
+        ('<p title="the hidden gem">kept</p><p data-x="see class=ad here">too</p><p title="class=ad">and</p>', "kept\ntoo\nand"),
+        ('<p title="x>unclosed</p><p>next</p>', "unclosed\nnext"),
+        ("<p title=5\">q</p><p a'b class=ad>no</p><p class = 'ad' x>no</p><p CLASS=\"ad\" class=ok>no</p>", "q"),
+        ('<div id="story"><p>A long story, told by and by.</p></div><article class="card"><p>A teaser</p></article>', "A long story, told by and by."),
+        ('<div id="story"><p>A long story, told by and by, at great length.</p></div><article><p>A teaser</p></article>', "A long story, told by and by, at great length."),
+        ("<article class='teaser card'><p>Another story, longer than this one</p></article><article><p>This story</p></article>", "This story"),
+        ("<main><ol class='crumbs'><li>Home</li></ol><div>Date</div><article><h1>T</h1><p>text of the story</p></article></main>", "T\ntext of the story"),
+        ("<main><p>The story itself is here, and long.</p><article><p>Also</p></article></main>", "The story itself is here, and long."),
+        ("<article><p>one</p></article><article><p>two</p></article>", "one\ntwo"),
+        ("<nav><article><p>out</p></article></nav><p>kept</p>", "kept"),
+        ("<p>kept</p><!-- open <p>no</p>", "kept"),
+        ("<table><tr><td>a<b>b</td><td>c</b>d</table>", "ab\ncd"),
+        ("<p>a<span class=ad>no <b>nor</b></span> b<button>c</button></p>", "a b"),
+    ],
+)
+def test_attributes_and_parts(source, want):
+    assert Page(source).text() == want
+
+
+BROKEN = {
+    "open tags": "<a", "open tags, closed at last": "<a<p", "quotes": '<a href="', "other quotes": "<p title='x\">", "nested": "<div><li><td><b>", "ends": "</x></div></b>",
+    "inline under a table": "<i></b>", "signs": "<", "comments": "<!--", "references": "&amp&", "items": "<li>x", "articles": "<article>x", "blanks": "<a ", "declarations": "<!x <?",
+}
+
+
+@pytest.mark.parametrize("name", BROKEN)
+def test_broken_markup_takes_linear_time(name):
+    def seconds(n):
+        source = ("<b><table>" if "table" in name else "") + BROKEN[name] * n
+        best = 1e9
+        for _ in range(2):
+            began = time.process_time()
+            Page(source + (">" if "last" in name else "")).text()
+            best = min(best, time.process_time() - began)
+        return best
+
+    assert seconds(40_000) < 6 * seconds(10_000) + 0.3
+    assert seconds(10_000) < 2
+
+
+def _tree(source):
+    """(tag, class, children) of a page whose tags are all closed, by the standard library's parser."""
+
+    class Builder(HTMLParser):
+        def __init__(self):
+            super().__init__()
+            self.stack = [("root", "", [])]
+
+        def handle_starttag(self, tag, attrs):
+            node = (tag, dict(attrs).get("class", ""), [])
+            self.stack[-1][2].append(node)
+            self.stack.append(node)
+
+        def handle_endtag(self, tag):
+            assert self.stack.pop()[0] == tag
+
+        def handle_data(self, data):
+            self.stack[-1][2].append(data)
+
+    builder = Builder()
+    builder.feed(source)
+    builder.close()
+    return builder.stack[0]
+
+
+def _key(node):
+    return node if isinstance(node, str) else (node[0], tuple(_key(x) for x in node[2]))
+
+
+def _holds_article(node):
+    return not isinstance(node, str) and (node[0] == "article" or any(map(_holds_article, node[2])))
+
+
+def _walk(node, in_article=False, above=()):
+    """(node, in an article, the nodes above it) of all elements."""
+    for child in node[2]:
+        if not isinstance(child, str):
+            yield child, in_article, (*above, node)
+            yield from _walk(child, in_article or child[0] == "article", (*above, node))
+
+
+def _brute(pages):
+    """url: the text of each page; leaves of these pages hold one text each."""
+    by_host, trees = {}, {}
+    for url, source in pages:
+        tree = trees[url] = _tree(source)
+        counts = by_host.setdefault(url.split("/")[2], Counter())
+        counts.update({_key(x) for x, inside, _ in _walk(tree) if not _holds_article(x) and not (inside and x[0] in html.PROSE)})
+        counts["pages"] += 1
+    out = {}
+    for url, tree in trees.items():
+        counts, lines = by_host[url.split("/")[2]], []
+        for x, inside, above in _walk(tree):
+            n, whole = counts[_key(x)], counts["pages"]
+            recurs = lambda y, at: not _holds_article(y) and not (at and y[0] in html.PROSE) and (counts[_key(y)] >= max(5, whole / 2) or counts[_key(y)] >= max(20, whole / 100))  # noqa: E731, B023
+            path = [*above[1:], x]
+            inner = [False] * len(path)
+            for k in range(1, len(path)):
+                inner[k] = inner[k - 1] or path[k - 1][0] == "article"
+            gone = any(recurs(y, at) for y, at in zip(path, inner)) or any(y[0] in ("nav", "footer") or y[1] == "ad" for y in path)
+            if not gone and inside and x[2] and isinstance(x[2][0], str):
+                lines.append(x[2][0])
+        out[url] = "\n".join(lines)
+    return out
+
+
+def test_against_brute_force(spark):
+    rng = random.Random(6)
+    say = lambda n: " ".join(rng.choice("abcdefgh") + str(rng.randrange(n)) for _ in range(3))
+    rows = []
+    for host, n in (("a.example", 400), ("b.example", 60), ("c.example", 9), ("d.example", 3)):
+        navs, bars = [f"<ul><li>{say(99)}</li><li>{say(99)}</li></ul>" for _ in range(8)], [f"<div><p>{say(9)}</p></div>" for _ in range(4)]
+        boxes = [f"<section><div><p>{say(9)}</p></div></section>" for _ in range(12)]
+        shared = f"<p>{say(9)}</p>"
+        for i in range(n):
+            body = "".join(rng.choice([f"<p>{say(999)}</p>", f"<p>{say(999)}</p>", shared, rng.choice(bars), rng.choice(boxes), f"<ul><li>{say(9)}</li></ul>"]) for _ in range(6))
+            top = rng.choice([f"<nav>{rng.choice(navs)}</nav>", f"<div>{rng.choice(navs)}</div>", ""])
+            rows.append((f"http://{host}/{i}", f"<html><body>{top}<div class='ad'>{say(9)}</div><div><article><h1>{say(9999)} {i}</h1><p>{i} {say(999)} {say(999)}</p>{body}</article></div><footer>{rng.choice(bars)}</footer></body></html>"))
+    pages = spark.createDataFrame([(i, *r) for i, r in enumerate(rows)], "page_id long, url string, html string")
+    want = _brute(rows)
+    for most_broadcast in (500_000, 0):
+        got = {r.url: r for r in html.main_text(pages, most_broadcast=most_broadcast).collect()}
+        assert {u: r.text for u, r in got.items()} == want
+    plain = {u: Page(h).text() for u, h in rows}
+    assert sum(plain[u] != t for u, t in want.items()) > 100 and sum(r.n_template > 0 for r in got.values()) > 300
+
+
+def test_templates_of_the_given_pages(spark):
+    """Navigation, adverts and footers of the given pages recur on their hosts: the counts alone find
+    them, whether or not a tag or class tells. (A menu stands on ten pages of the largest host here.)"""
+    pages = spark.read.parquet("/root/testdata/sf0.1/pages.parquet").where("url like '%://blog.tionsh.example.com%'")
+    rows = pages.select("html", F.lit("blog.tionsh.example.com").alias("host"))
+    found = {h for r in html.templates(rows, many=8).collect() for h in r.template}
+    changed = 0
+    for r in rows.collect():
+        page = Page(r.html)
+        bare, kept = page.text(marks=False), page.text(found, marks=False)
+        changed += bare != kept
+        assert page.text(found) == page.text() and page.text() in kept  # the article itself stays
+    assert changed > 50
