@@ -92,13 +92,14 @@ def _sparse(batches):
                 counts += np.bincount(b, minlength=BUCKETS)
             at = np.flatnonzero(counts)
             kept.append((at, counts[at] / max(1.0, counts.sum())))
-        yield pa.RecordBatch.from_arrays([batch.column("lang"), pa.array([a.tolist() for a, _ in kept], pa.list_(pa.int32())), pa.array([x.tolist() for _, x in kept], pa.list_(pa.float32()))], ["lang", "at", "share"])
+        lists = [pa.array([a.tolist() for a, _ in kept], pa.list_(pa.int32())), pa.array([x.tolist() for _, x in kept], pa.list_(pa.float32()))]
+        yield pa.RecordBatch.from_arrays([batch.column("order"), batch.column("lang"), *lists], ["order", "lang", "at", "share"])
 
 
 @dataclass
 class Model:
     languages: list[str]
-    weights: np.ndarray  # bucket, language; inverse document frequencies are in it
+    weights: np.ndarray  # bucket, language (each language's side by side); inverse document frequencies are in it
     temperature: float
 
     def scores(self, rows: int, texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
@@ -109,9 +110,8 @@ class Model:
             if has is not None:
                 letters[has] = True
                 continue
-            w = self.weights[bucket]
-            for c in range(k):
-                logits[:, c] += np.bincount(row, weights=w[:, c], minlength=rows)
+            for c in range(k):  # one language at a time, so that memory doesn't grow with their number
+                logits[:, c] += np.bincount(row, weights=self.weights[:, c][bucket], minlength=rows)
             total += np.bincount(row, minlength=rows)
         return logits / np.maximum(1, total)[:, None], letters
 
@@ -122,7 +122,9 @@ def _softmax(x: np.ndarray) -> np.ndarray:
 
 
 def train(rows: list, idf: np.ndarray, rounds: int = 4, alpha: float = 0.3, beta: float = 1.0, l1: float = 0.02, l2: float = 0.01, scale: float = 30.0) -> Model | None:
-    """A model of rows (lang, at, share); a fifth of them only serves to fit the temperature."""
+    """A model of rows (lang, at, share); a fifth of them only serves to fit the temperature.
+
+    The same rows in the same order give the same model."""
     languages = sorted({r.lang for r in rows})
     if not languages:
         return None
@@ -154,7 +156,7 @@ def train(rows: list, idf: np.ndarray, rounds: int = 4, alpha: float = 0.3, beta
     truth = np.array([sparse[i][2] for i in held])
     loss = lambda t: -np.log(np.maximum(_softmax(logits / t)[np.arange(len(truth)), truth], 1e-12)).mean()
     temperature = min(np.geomspace(0.05, 20, 61), key=loss)
-    return Model(languages, (w * idf[:, None] * scale).astype(np.float32), float(temperature))
+    return Model(languages, np.asfortranarray((w * idf[:, None] * scale).astype(np.float32)), float(temperature))
 
 
 def _predict(batches, model):
@@ -175,8 +177,8 @@ def identify(docs: DataFrame, sample: int = 4000) -> DataFrame:
     """doc_id, held_out (crc32 of doc_id as text leaves 1 when divided by 3), lang_pred and score.
 
     Learned from text and lang of rows that have a lang and aren't held out: document frequencies
-    from all of them, weights from about `sample` of them, chosen by a hash of doc_id (twice that at
-    most). A null text, or one without a letter, is `und` with score 0; so is every text if there is
+    from all of them, weights from about `sample` of them, chosen by a hash of the row (twice that at
+    most) and put in its order, so that the order in which rows arrive changes nothing. A null text, or one without a letter, is `und` with score 0; so is every text if there is
     nothing to learn from. A row without a doc_id isn't learned from, nor held out. Repeated rows come
     out repeated; ties go to the language that sorts first. No rows give no rows."""
     spark = docs.sparkSession
@@ -193,7 +195,8 @@ def identify(docs: DataFrame, sample: int = 4000) -> DataFrame:
             frequency[r.bucket] = r.n
     idf = np.log((1 + total) / (1 + frequency)) + 1
     share = min(1.0, sample / max(1, total))
-    some = learn.where(F.pmod(F.xxhash64(F.col("doc_id"), F.lit(7)), F.lit(1 << 30)) < int(share * (1 << 30))) if share < 1 else learn
-    made = some.select("lang", "text").mapInArrow(_sparse, "lang string, at array<int>, share array<float>").limit(2 * sample).collect() if total else []
+    by = F.xxhash64("doc_id", "text", "lang", F.lit(7))
+    some = learn.withColumn("order", by).where(F.pmod(by, F.lit(1 << 30)) < int(share * (1 << 30)) if share < 1 else F.lit(True))
+    made = some.select("order", "lang", "text").mapInArrow(_sparse, "order long, lang string, at array<int>, share array<float>").orderBy("order").limit(2 * sample).collect() if total else []
     model = spark.sparkContext.broadcast(train(made, idf))
     return rows.select("doc_id", "text", "held_out").mapInArrow(partial(_predict, model=model), "doc_id long, held_out boolean, lang_pred string, score double")

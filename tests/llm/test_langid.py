@@ -50,3 +50,13 @@ def test_temperature_and_sparsity():
     model = langid.train(rows, np.ones(langid.BUCKETS))
     assert model.temperature > 0 and (model.weights != 0).mean() < 0.01
     assert model.weights[100, 0] > 0 > model.weights[100, 1]
+
+
+def test_order_of_rows_changes_nothing(spark):
+    docs = spark.read.parquet(f"{SMALL}/documents.parquet")
+    odd = docs.limit(40).unionByName(docs.limit(1).selectExpr("doc_id", "'zwei Texte' as text", "'de' as lang", "source", "n_chars"))
+    docs = docs.unionByName(odd)
+    for sample in (4000, 100):
+        want = sorted(map(tuple, langid.identify(docs, sample).collect()), key=str)
+        again = docs.repartition(11, "n_chars").sortWithinPartitions("text")
+        assert sorted(map(tuple, langid.identify(again, sample).collect()), key=str) == want
