@@ -7,8 +7,9 @@ make one longest verbatim match.
 
 A suffix whose first words are no benchmark words in a row can't begin a match, so a shard only
 sorts suffixes whose first `stem` words stand in a row in a benchmark item; this drops no match.
-The benchmark is cut into blocks of bounded size; each block is broadcast, and the documents pass
-the blocks one after the other, so a larger benchmark takes more passes and no more memory.
+The benchmark is cut into blocks of bounded size. The driver makes and broadcasts one block's suffixes
+at a time; a task takes each batch of documents through the blocks in turn and holds one block's
+suffixes at a time, so a larger benchmark takes more time and disk, and no more memory.
 """
 
 from __future__ import annotations
@@ -111,26 +112,41 @@ class TestSuffixes:
 _MATCH = pa.struct([("item_id", pa.string()), ("start", pa.int32()), ("length", pa.int32())])
 
 
-def _search(batches, index):
-    suffixes: TestSuffixes = index.value
+def _suffixes(block) -> TestSuffixes:
+    """A block's suffixes, read from the executor's copy and not kept by this worker."""
+    value = block.value
+    block.__dict__.pop("_value", None)
+    return value
+
+
+def _search(batches, blocks):
+    only = blocks[0].value if len(blocks) == 1 else None
     for batch in batches:
-        n_words, n_hit, found = [], [], []
-        earlier = batch.column("matches")
+        parts = []  # rows, first words, word hashes of each run of rows, and what is found there
         for low, high, data, offsets in runs(batch.column("text")):
             data = FOLD[data]
             starts, ends, first = find_words(data, offsets, ALNUM)
-            row, item, place, length = suffixes.matches(hash_words(data, starts, ends), first)
-            old = [(i, m["start"], m["length"]) for i in range(high - low) for m in earlier[low + i].as_py()] if earlier.flatten() else []
-            at = np.concatenate([first[row] + place, np.array([first[i] + a for i, a, _ in old], np.int64)]).astype(np.int64)
-            hit = covered(len(starts), at, np.concatenate([length, np.array([n for *_, n in old], np.int64)]).astype(np.int64))
+            parts.append((high - low, first, hash_words(data, starts, ends), []))
+        for block in blocks:
+            suffixes = only or _suffixes(block)
+            for _, first, words, found in parts:
+                row, item, place, length = suffixes.matches(words, first)
+                if len(row):
+                    found.append((row, [suffixes.ids[i] for i in item.tolist()], place, length))
+            del suffixes
+        n_words, n_hit, matches = [], [], []
+        for n, first, words, found in parts:
+            at = np.concatenate([np.empty(0, np.int64), *(first[row] + place for row, _, place, _ in found)]).astype(np.int64)
+            hit = covered(len(words), at, np.concatenate([np.empty(0, np.int64), *(x[3] for x in found)]).astype(np.int64))
             n_words += np.diff(first).tolist()
             n_hit += sums(hit, first).tolist()
-            lists = [list(earlier[i].as_py()) for i in range(low, high)] if old else [[] for _ in range(high - low)]
-            for r, i, p, n in zip(row.tolist(), item.tolist(), place.tolist(), length.tolist()):
-                lists[r].append({"item_id": suffixes.ids[i], "start": p, "length": n})
-            found += lists
-        new = {"n_words": pa.array(n_words, pa.int64()), "n_hit": pa.array(n_hit, pa.int64()), "matches": pa.array(found, pa.list_(_MATCH))}
-        yield pa.RecordBatch.from_arrays([new.get(c, batch.column(c)) for c in batch.schema.names], batch.schema.names)
+            lists = [[] for _ in range(n)]
+            for row, ids, place, length in found:
+                for r, i, p, size in zip(row.tolist(), ids, place.tolist(), length.tolist()):
+                    lists[r].append({"item_id": i, "start": p, "length": size})
+            matches += lists
+        new = [pa.array(n_words, pa.int64()), pa.array(n_hit, pa.int64()), pa.array(matches, pa.list_(_MATCH))]
+        yield pa.RecordBatch.from_arrays([batch.column("doc"), *new], ["doc", "n_words", "n_hit", "matches"])
 
 
 def find_benchmark(docs: DataFrame, benchmark: DataFrame, width: int = 13, stem: int = 4, block_bytes: int = 16 << 20) -> DataFrame:
@@ -143,18 +159,20 @@ def find_benchmark(docs: DataFrame, benchmark: DataFrame, width: int = 13, stem:
     same id count as one in what the callers list; an item without an id still hits words. Repeated
     rows come out repeated; no documents give no rows, no items give no hits.
 
-    block_bytes bounds the benchmark text that is broadcast at once."""
+    block_bytes bounds the benchmark text whose suffixes a task or the driver holds at once; an item
+    is never parted."""
     spark = docs.sparkSession
     items = benchmark.select(F.col("item_id").cast("string").alias("item_id"), F.col("text").cast("string").alias("text")).where("text is not null")
     size = items.agg(F.sum(F.octet_length("text"))).first()[0] or 0
     n_blocks = max(1, -(-size // block_bytes))
-    kind = "array<struct<item_id:string,start:int,length:int>>"
-    made = docs.select(F.struct(*[docs[c] for c in docs.columns]).alias("doc"), docs["text"].cast("string").alias("text"), F.lit(0).cast("long").alias("n_words"), F.lit(0).cast("long").alias("n_hit"), F.array().cast(kind).alias("matches"))
+    blocks = []
     for k in range(n_blocks):
         block = items.where(F.pmod(F.xxhash64("item_id", "text"), F.lit(n_blocks)) == k).collect()
-        index = spark.sparkContext.broadcast(TestSuffixes([tuple(r) for r in block], width, stem))
-        made = made.mapInArrow(partial(_search, index=index), made.schema)
-    return made.drop("text")
+        blocks.append(spark.sparkContext.broadcast(TestSuffixes([tuple(r) for r in block], width, stem)))
+    rows = docs.select(F.struct(*[docs[c] for c in docs.columns]).alias("doc"), docs["text"].cast("string").alias("text"))
+    null = lambda kind, name: F.lit(None).cast(kind).alias(name)
+    out = rows.select("doc", null("long", "n_words"), null("long", "n_hit"), null("array<struct<item_id:string,start:int,length:int>>", "matches")).schema
+    return rows.mapInArrow(partial(_search, blocks=blocks), out)
 
 
 def contamination(docs: DataFrame, benchmark: DataFrame, **how) -> DataFrame:

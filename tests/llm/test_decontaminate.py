@@ -60,3 +60,16 @@ def test_empty(spark):
     assert decontaminate.contamination(docs, bench).collect() == []
     one = spark.createDataFrame([(1, "a b")], "doc_id long, text string")
     assert [(r.n_words, r.n_hit, r.contaminated) for r in decontaminate.contamination(one, bench).collect()] == [(2, 0, False)]
+
+
+def test_blocks_take_turns_in_one_operator(spark):
+    rng = random.Random(9)
+    items = [(i, " ".join("v%d" % rng.randrange(400) for _ in range(30))) for i in range(40)]
+    docs = [(d, "a b " + items[d][1] + " c " + items[(d + 7) % 40][1]) for d in range(40)] + [(90, None)]
+    frame, bench = spark.createDataFrame(docs, "doc_id long, text string"), spark.createDataFrame(items, "item_id long, text string")
+    plans = []
+    for block_bytes in (16 << 20, 200):
+        found = decontaminate.contamination(frame, bench, block_bytes=block_bytes)
+        assert sorted(((r.doc.doc_id, r.n_words, r.n_hit, r["items"], r.contaminated) for r in found.collect()), key=str) == brute(docs, items)
+        plans.append(found._jdf.queryExecution().executedPlan().toString())
+    assert [p.count("MapInArrow") for p in plans] == [1, 1] and abs(len(plans[0]) - len(plans[1])) < 200
