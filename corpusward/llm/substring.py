@@ -1,13 +1,16 @@
 """Removal of token windows that an earlier document has, by Rabin-Karp hashes.
 
 Documents are dealt into groups by ranges of doc_id, of some megabytes of text each, in doc_id
-order. A group sends the sorted set of its window hashes, cut by leading bits into buckets. A
-bucket finds, for every hash, the first group that has it, and tells the later ones. A group
-then knows each of its windows that an earlier group has, and sees repeats among its own
+order (rank). A group sends the sorted set of its window hashes, cut by leading bits into buckets. A
+bucket finds, for every hash, the first rank that has it, and tells the groups of later ones. A
+group then knows each of its windows that an earlier group has, and sees repeats among its own
 documents itself. So one hash for each window and group crosses the network, as packed sorted
 differences, and a passage in every document costs one hash in each group, not a pair of rows
 for each pair of documents.
 
+The driver only plans some thousand ranges; each is cut into groups evenly, by arithmetic, whatever
+the size of the input. Rows that share one doc_id have one rank, and may be dealt to many groups.
+
 Hashes have 64 bits: among n different windows the chance of any false repeat is under
 n * n / 2**65, some 1 in 10**4 for a gigabyte of text.
 """
@@ -26,6 +29,10 @@ from pyspark.sql import types as T
 from corpusward.llm.text import VISIBLE, covered, find_words, hash_words, runs, window_hashes, window_rows
 
 _BYTES_A_WORD = 6
+#: Ranges of doc_id that the driver plans, at most.
+RANGES = 4096
+#: Hashes of a bucket, about, and the fewest of a group in a bucket, on the average.
+_BUCKET, _LEAST_PACKED = 1 << 20, 8
 
 
 def packed(h: np.ndarray) -> bytes:
@@ -47,8 +54,8 @@ def _windows(texts, width):
         yield low, high, data, offsets, first, places, rows, window_hashes(hash_words(data, starts, ends), width)[places]
 
 
-_SENT = pa.schema([("bucket", pa.int32()), ("g", pa.int32()), ("hashes", pa.binary())])
-_TOLD = pa.schema([("g", pa.int32()), ("hashes", pa.binary())])
+_SENT = pa.schema([("bucket", pa.int32()), ("g", pa.int64()), ("rank", pa.int64()), ("hashes", pa.binary())])
+_TOLD = pa.schema([("g", pa.int64()), ("hashes", pa.binary())])
 
 
 def _send(table: pa.Table, width: int, bits: int) -> pa.Table:
@@ -59,24 +66,28 @@ def _send(table: pa.Table, width: int, bits: int) -> pa.Table:
     bucket = (h >> np.uint64(64 - bits)).astype(np.int64) if bits else np.zeros(len(h), np.int64)
     some, at = np.unique(bucket, return_index=True)
     blobs = [packed(x) for x in np.split(h, at[1:])] if len(h) else []
-    return pa.table([pa.array(some, pa.int32()), pa.array([group] * len(some), pa.int32()), pa.array(blobs, pa.binary())], schema=_SENT)
+    rank = table.column("rank")[0].as_py()
+    return pa.table([pa.array(some, pa.int32()), pa.array([group] * len(some), pa.int64()), pa.array([rank] * len(some), pa.int64()), pa.array(blobs, pa.binary())], schema=_SENT)
 
 
 def _tell(table: pa.Table) -> pa.Table:
-    """For each group the hashes of this bucket that an earlier group has."""
-    order = np.argsort(table.column("g").to_numpy())
-    groups = table.column("g").to_numpy()[order]
+    """For each group the hashes of this bucket that a group of an earlier rank has."""
+    groups, ranks = table.column("g").to_numpy(), table.column("rank").to_numpy()
+    order = np.lexsort((groups, ranks))
     parts = [unpacked(table.column("hashes")[int(i)].as_py()) for i in order]
-    h, g = np.concatenate(parts), np.repeat(groups, [len(x) for x in parts])
-    by = np.argsort(h, kind="stable")  # equal hashes stay in the order of groups
-    h, g = h[by], g[by]
-    again = np.flatnonzero(h[1:] == h[:-1]) + 1
-    h, g = h[again], g[again]
+    h, at = np.concatenate(parts), np.repeat(np.arange(len(order)), [len(x) for x in parts])
+    by = np.argsort(h, kind="stable")  # equal hashes stay in the order of ranks
+    h, at = h[by], at[by]
+    begins = np.concatenate([[True], h[1:] != h[:-1]]) if len(h) else np.empty(0, bool)
+    rank = ranks[order][at]
+    first = rank[begins][np.cumsum(begins) - 1]
+    again = rank > first
+    h, g = h[again], groups[order][at[again]]
     by = np.argsort(g, kind="stable")
     h, g = h[by], g[by]
     some, at = np.unique(g, return_index=True)
     blobs = [packed(x) for x in np.split(h, at[1:])] if len(h) else []
-    return pa.table([pa.array(some, pa.int32()), pa.array(blobs, pa.binary())], schema=_TOLD)
+    return pa.table([pa.array(some, pa.int64()), pa.array(blobs, pa.binary())], schema=_TOLD)
 
 
 _SPAN = pa.struct([("start", pa.int32()), ("end", pa.int32())])
@@ -133,7 +144,7 @@ def _drop(table: pa.Table, told: pa.Table, width: int, whole: bool) -> pa.Table:
     return pa.table(columns, schema=schema)
 
 
-def _group_of(bounds: list[int]):
+def _below(bounds: list[int]):
     """How many of the sorted bounds are below doc_id, looked up in two steps."""
     if not bounds:
         return F.lit(0)
@@ -144,6 +155,47 @@ def _group_of(bounds: list[int]):
     return block * step + F.size(F.filter(F.get(fine, block), lambda x: x < F.col("doc_id")))
 
 
+def grouped(source: DataFrame, group_bytes: int, size: int, n: int) -> DataFrame:
+    """source (doc_id, text, ...; of `size` bytes and `n` rows with a doc_id) with g and rank. Groups are numbered in the order of their doc_ids;
+    rank is g, but one number for all groups of a doc_id that fills more than one by itself. Rows
+    without a doc_id have negative groups.
+
+    The driver gets RANGES quantiles of doc_id and the bytes, least and largest doc_id of each range;
+    a range is cut into groups of about group_bytes by even steps of doc_id."""
+    n_ranges = max(1, min(n, RANGES, -(-size // group_bytes)))
+    shares = [i / n_ranges for i in range(1, n_ranges)]
+    cuts = source.agg(F.percentile_approx("doc_id", shares, 20 * n_ranges)).first()[0] if shares else []
+    bounds = sorted({*cuts, *(a - 1 for a, b in zip(cuts, cuts[1:]) if a == b)})  # a doc_id of many rows is a range of its own
+    ranged = source.where("doc_id is not null").select(_below(bounds).alias("r"), "doc_id", F.octet_length("text").alias("bytes"))
+    found = {x.r: x for x in ranged.groupBy("r").agg(F.sum("bytes").alias("bytes"), F.min("doc_id").alias("low"), F.max("doc_id").alias("high")).collect()}
+    low, width, parts, base, total = [], [], [], [], 0
+    for r in range(len(bounds) + 1):
+        x = found.get(r)
+        k = max(1, -(-((x.bytes if x else 0) or 0) // group_bytes))
+        span = x.high - x.low + 1 if x else 1
+        k = k if span == 1 else min(k, span)
+        low.append(x.low if x else 0)
+        width.append(0 if span == 1 else -(-span // k))
+        parts.append(k)
+        base.append(total)
+        total += k
+    of = lambda values: F.get(F.from_json(F.lit(json.dumps(values)), "array<bigint>"), F.col("r"))
+    one = F.col("width") == 0
+    step = F.when(one, F.pmod(F.xxhash64("text"), F.col("parts"))).otherwise(F.floor((F.col("doc_id") - F.col("low")) / F.greatest("width", F.lit(1))))
+    spread = -1 - F.pmod(F.xxhash64("text"), F.lit(1 << 16))
+    planned = source.withColumn("r", _below(bounds)).withColumns({"low": of(low), "width": of(width), "parts": of(parts), "base": of(base)})
+    g = F.when(F.col("doc_id").isNull(), spread).otherwise(F.col("base") + F.least(step, F.col("parts") - 1)).cast("long")
+    rank = F.when(one & F.col("doc_id").isNotNull(), F.col("base")).otherwise(g)
+    return planned.select(*source.columns, g.alias("g"), rank.cast("long").alias("rank"))
+
+
+def _bucket_bits(size: int, group_bytes: int) -> int:
+    """Leading bits of hashes that make a bucket: buckets of about _BUCKET hashes, but of so many bits
+    at most that a group still sends _LEAST_PACKED hashes to each on the average."""
+    wanted = math.ceil(math.log2(max(1, size / _BYTES_A_WORD / _BUCKET)))
+    return max(0, min(wanted, math.floor(math.log2(max(1, group_bytes / _BYTES_A_WORD / _LEAST_PACKED)))))
+
+
 def without_repeats(docs: DataFrame, width: int = 13, group_bytes: int = 8 << 20, whole: bool = False) -> DataFrame:
     """docs (all columns but text in a struct `doc`) with n_words, n_removed, removed
     (the maximal intervals [start, end) of removed words) and kept (the other words, joined by one
@@ -152,17 +204,16 @@ def without_repeats(docs: DataFrame, width: int = 13, group_bytes: int = 8 << 20
     A word goes if a window of `width` words of its document covers it that also starts in a
     document with a smaller doc_id. Windows are judged on the input. A null text has no words; a
     text of fewer words than `width` loses none. Rows with the same doc_id don't remove each
-    other's words. A row without a doc_id neither loses words nor takes any. No rows give no rows."""
+    other's words. A row without a doc_id neither loses words nor takes any. No rows give no rows.
+
+    group_bytes: text of a group, about; up to four times that from 16 TB of text on."""
     source = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"), F.struct(*[docs[c] for c in docs.columns if c != "text"]).alias("rest"))
-    size, n = source.agg(F.sum(F.octet_length("text")), F.count("doc_id")).first()
-    n_groups = max(1, min(n, -(-(size or 0) // group_bytes)))
-    shares = [i / n_groups for i in range(1, n_groups)]
-    bounds = source.agg(F.percentile_approx("doc_id", shares, 20 * n_groups)).first()[0] if shares else []
-    bits = max(0, math.ceil(math.log2(max(1, (size or 0) / _BYTES_A_WORD / 2**20))))
-    spread = -1 - F.pmod(F.xxhash64("text"), F.lit(1 << 16)).cast("int")
-    dealt = source.withColumn("g", F.when(F.col("doc_id").isNull(), spread).otherwise(_group_of(sorted(set(bounds))).cast("int")))
-    sent = dealt.groupBy("g").applyInArrow(lambda table: _send(table, width, bits), "bucket int, g int, hashes binary")
-    told = sent.groupBy("bucket").applyInArrow(lambda table: _tell(table), "g int, hashes binary")
+    size, n = (x or 0 for x in source.agg(F.sum(F.octet_length("text")), F.count("doc_id")).first())
+    group_bytes = max(group_bytes, min(4 * group_bytes, size >> 21))
+    bits = _bucket_bits(size, group_bytes)
+    dealt = grouped(source, group_bytes, size, n)
+    sent = dealt.groupBy("g").applyInArrow(lambda table: _send(table, width, bits), "bucket int, g long, rank long, hashes binary")
+    told = sent.groupBy("bucket").applyInArrow(lambda table: _tell(table), "g long, hashes binary")
     span = T.StructType([T.StructField("start", T.IntegerType()), T.StructField("end", T.IntegerType())])
     new = [T.StructField("n_words", T.LongType()), T.StructField("n_removed", T.LongType()), T.StructField("removed", T.ArrayType(span)), T.StructField("kept", T.StringType())]
     out = T.StructType([*dealt.select("rest").schema, *new])

@@ -54,3 +54,37 @@ def test_packing():
     h = np.sort(np.random.default_rng(1).integers(0, 2**64, 1000, dtype=np.uint64))
     assert (substring.unpacked(substring.packed(h)) == h).all()
     assert len(substring.unpacked(substring.packed(h[:0]))) == 0
+
+
+def test_groups_follow_doc_ids(spark):
+    """Some 10**5 groups from a few thousand planned ranges, and a doc_id with a third of the rows."""
+    rng = random.Random(3)
+    ids = sorted({rng.randrange(10**6) for _ in range(60_000)} | {10**12 + i for i in range(40_000)})
+    docs = spark.createDataFrame([(i, "0123456789abcdef") for i in ids], "doc_id long, text string").repartition(8)
+    rows = substring.grouped(docs, 16, 16 * len(ids), len(ids)).collect()
+    assert len({r.g for r in rows}) > 60_000 and all(r.rank == r.g for r in rows)
+    rows.sort(key=lambda r: r.doc_id)
+    assert all(a.g <= b.g for a, b in zip(rows, rows[1:]))
+    hot = spark.createDataFrame([(i, f"text {i}") for i in range(2000)] + [(1000, f"text {i} x") for i in range(1000)] + [(None, f"text {i}") for i in range(9)], "doc_id long, text string")
+    rows = substring.grouped(hot, 400, 30_000, 3000).collect()
+    own = [r for r in rows if r.doc_id == 1000]
+    assert len({r.rank for r in own}) == 1 and len({r.g for r in own}) > 10
+    assert all(r.g < 0 for r in rows if r.doc_id is None)
+    order = sorted((r for r in rows if r.doc_id is not None), key=lambda r: r.doc_id)
+    assert all(a.rank <= b.rank and (a.rank < b.rank or a.g == b.g or a.doc_id == b.doc_id == 1000) for a, b in zip(order, order[1:]))
+
+
+def test_buckets_are_bounded():
+    for size in (0, 10**9, 30 * 10**9, 10**12, 10**14):
+        bits = substring._bucket_bits(size, 32 << 20)
+        assert size / 6 / 2**bits < 2**26 and bits <= 20
+
+
+def test_one_doc_id_in_many_groups(spark):
+    rng = random.Random(4)
+    words = ["w%d" % i for i in range(20)]
+    passages = [" ".join(rng.choices(words, k=20)) for _ in range(5)]
+    rows = [(rng.choice([3, 3, *range(9)]), rng.choice(passages) + " " + " ".join(rng.choices(words, k=10))) for _ in range(150)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    got = substring.without_repeats(docs, group_bytes=300)
+    assert sorted(((r.doc.doc_id, r.n_words, r.n_removed, r.kept) for r in got.collect()), key=str) == brute(rows, 13)
