@@ -6,29 +6,70 @@ import argparse
 import os
 import sys
 
+from corpusward import __version__
 from corpusward import policy as policies
 
 
+def _score(text: str) -> int:
+    value = int(text)
+    if not 0 <= value <= 100:
+        raise argparse.ArgumentTypeError("an integer from 0 to 100 is needed")
+    return value
+
+
 def parser() -> argparse.ArgumentParser:
-    p = argparse.ArgumentParser(prog="corpusward", description="Scans source repositories.")
+    p = argparse.ArgumentParser(prog="corpusward", description="Scans source repositories.", allow_abbrev=False)
     p.add_argument("folders", nargs="*", default=["."])
+    p.add_argument("--version", "-V", action="version", version=__version__)
+    p.add_argument("--repos", help="a text file: one folder a line, # begins a comment")
+    p.add_argument("--limit", type=int, help="only so many of the folders")
     p.add_argument("--only", help="detectors to run, with commas")
     p.add_argument("--skip", help="detectors to leave out, with commas")
     p.add_argument("--ghosts", action="store_true", help="only package references")
     p.add_argument("--registry", help="a Parquet table: ecosystem, name, exists, created_at, weekly_downloads")
-    p.add_argument("--since", help="only what changed since this commit")
-    p.add_argument("--policy", help="a policy file")
-    p.add_argument("--min-score", type=int, choices=range(101), metavar="0..100")
+    p.add_argument("--offline", action="store_true", help="without the registry: every name is unknown")
+    p.add_argument("--changed", "--since", dest="since", nargs="?", const="", help="only what changed, since this commit if one is given")
+    p.add_argument("--policy", help="a policy file for all folders; else each folder's own")
+    p.add_argument("--fail-below", "--min-score", dest="min_score", type=_score, metavar="0..100")
     p.add_argument("--fail-on", help="severities, with commas")
-    p.add_argument("--fail-on-incomplete", action="store_true", default=None)
-    p.add_argument("--sarif")
-    p.add_argument("--html")
-    p.add_argument("--badge")
+    p.add_argument("--fail-on-incomplete", dest="fail_on_incomplete", action="store_true", default=None)
+    p.add_argument("--allow-incomplete", dest="fail_on_incomplete", action="store_false")
+    p.add_argument("--sarif", nargs="?", const="corpusward.sarif")
+    p.add_argument("--html", nargs="?", const="corpusward.html")
+    p.add_argument("--no-html", dest="html", action="store_const", const=None)
+    p.add_argument("--badge", nargs="?", const="corpusward.svg")
+    p.add_argument("--no-badge", dest="badge", action="store_const", const=None)
     p.add_argument("--out", help="a folder for the findings as Parquet")
-    p.add_argument("--verbose", action="store_true")
+    p.add_argument("--report", help="a folder for the figures over all folders, as JSON")
+    p.add_argument("--verbose", "--debug", "-v", action="store_true")
     return p
 
 
+def repo_folders(folders: list[str], listed: str | None = None, limit: int | None = None) -> dict[str, str]:
+    """Ids and absolute folders, each folder once. The id is the folder's name; further folders of that
+    name get a number."""
+    if listed:
+        with open(listed, encoding="utf-8") as f:
+            folders = [x for x in (line.partition("#")[0].strip() for line in f) if x]
+    found: dict[str, str] = {}
+    for folder in dict.fromkeys(os.path.abspath(f) for f in folders):
+        name = id_ = os.path.basename(folder) or "root"
+        n = 1
+        while id_ in found:
+            n += 1
+            id_ = f"{name}-{n}"
+        found[id_] = folder
+    return dict(list(found.items())[:limit])
+
+
+def _path_for(path: str, repo: str, several: bool) -> str:
+    """One report for each repository, where there are several."""
+    from corpusward.sinks.reports import slug
+
+    stem, ending = os.path.splitext(path)
+    return f"{stem}-{slug(repo)}{ending}" if several else path
+
+
 def run(args: argparse.Namespace) -> int:
     from pyspark.sql import SparkSession
 
@@ -38,30 +79,35 @@ def run(args: argparse.Namespace) -> int:
 
     words = lambda s: [x.strip() for x in s.split(",") if x.strip()] if s else []
     chosen = scan.select(["ghost-deps"] if args.ghosts else words(args.only), words(args.skip))
-    folders = {os.path.basename(os.path.abspath(f)) or "root": os.path.abspath(f) for f in args.folders}
+    folders = repo_folders(args.folders, args.repos, args.limit)
+    if not folders:
+        raise ValueError("There is no folder to scan.")
+    over = {"minimum_score": args.min_score, "fail_on": tuple(words(args.fail_on)) or None, "fail_on_incomplete": args.fail_on_incomplete}
+    rules = {repo: policies.load(root, args.policy).merged(**over) for repo, root in folders.items()}
     spark = SparkSession.builder.appName("corpusward").config("spark.sql.session.timeZone", "UTC").getOrCreate()
-    registry = spark.read.parquet(args.registry) if args.registry else None
+    registry = spark.read.parquet(args.registry) if args.registry and not args.offline else None
     result = scan.scan_folders(spark, folders, chosen, registry, git.commits(spark, folders) if "ai-presence" in chosen else None)
-    first, root = next(iter(folders.items()))
-    policy = policies.load(root, args.policy).merged(minimum_score=args.min_score, fail_on=tuple(words(args.fail_on)) or None, fail_on_incomplete=args.fail_on_incomplete)
-    if args.since:
-        result = scan.changed_only(result, git.changed_files(spark, root, args.since))
-    result = scan.with_policy(result, policy)
+    if args.since is not None:
+        result = scan.changed_only(result, git.changed_files(spark, folders, args.since or None))
+    result = scan.with_policy(result, rules)
     result.findings, result.issues = result.findings.persist(), result.issues.persist()
-    gated = result.gated(policy).persist()
+    gated = result.gated(rules).persist()
     for repo in folders:
         print(f"== {repo}\n{reports.terminal(result, gated, repo)}")
+        score = gated.where(gated.repo_id == repo).first().trust_score
+        if args.sarif:
+            reports.write_json(reports.sarif(result, repo), _path_for(args.sarif, repo, len(folders) > 1))
+        for path, text in ((args.html, lambda repo=repo, score=score: reports.page(result, repo, score)), (args.badge, lambda score=score: reports.badge(score))):
+            if path:
+                with open(_path_for(path, repo, len(folders) > 1), "w", encoding="utf-8") as f:
+                    f.write(text())
     if args.verbose:
         result.stats.orderBy("repo_id", "detector_id").show(1000, False)
-    score = gated.where(gated.repo_id == first).first().trust_score
-    if args.sarif:
-        reports.write_json(reports.sarif(result, first), args.sarif)
-    for path, text in ((args.html, lambda: reports.page(result, first, score)), (args.badge, lambda: reports.badge(score))):
-        if path:
-            with open(path, "w", encoding="utf-8") as f:
-                f.write(text())
+        reports.patterns(result.findings).show(1000, False)
     if args.out:
         result.findings.write.mode("overwrite").partitionBy("repo_id").parquet(args.out)
+    if args.report:
+        reports.corpus(result).write.mode("overwrite").json(args.report)
     return 0 if gated.where("not passed").isEmpty() else 1
 
 

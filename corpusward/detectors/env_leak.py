@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from corpusward.schemas import Found, Tables, findings
@@ -29,10 +30,14 @@ def locally_ignored(envs, files):
     return met.groupBy("repo_id", "path").agg(F.max_by(~F.col("negated"), "pos").alias("ignored"))
 
 
-def detect(tables: Tables) -> Found:
+def env_paths(files: DataFrame) -> DataFrame:
+    """The environment files among files, without templates."""
     name = F.col("basename")
-    files = tables.files.where("in_text_walk and issue_code is null")
-    envs = files.where(((name == ".env") | name.startswith(".env.")) & ~name.rlike(TEMPLATE))
+    return files.where("in_text_walk and issue_code is null").where(((name == ".env") | name.startswith(".env.")) & ~name.rlike(TEMPLATE))
+
+
+def detect(tables: Tables) -> Found:
+    envs = env_paths(tables.files)
     state = envs.join(locally_ignored(envs, tables.files).withColumnRenamed("ignored", "by_rules"), ["repo_id", "path"], "left")
     if tables.git_files is not None:
         state = state.join(tables.git_files.select("repo_id", "path", "tracked", F.col("ignored").alias("by_git")), ["repo_id", "path"], "left")

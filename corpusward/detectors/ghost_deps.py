@@ -46,14 +46,15 @@ def near_popular(refs: DataFrame) -> DataFrame:
     return reduce(lambda a, b: a.unionByName(b), parts)
 
 
-def detect(tables: Tables) -> Found:
+def detect(tables: Tables, **thresholds) -> Found:
+    """thresholds: min_age_days, min_downloads, mature_days of references.decisions."""
     refs = resolved(package_references(tables.files), tables.files)
     spark = refs.sparkSession
     registry = tables.registry if tables.registry is not None else spark.createDataFrame([], "ecosystem string, name string, exists boolean, created_at timestamp, weekly_downloads long")
-    known = references.first_by(registry.withColumn("norm", names.normalize_name(F.col("name"), F.col("ecosystem"))), ["ecosystem", "norm"], [F.col("exists").desc_nulls_last()]).drop("name")
+    known = references.first_by(registry.withColumn("norm", names.normalize_name(F.col("name"), F.col("ecosystem"))), ["ecosystem", "norm"], [~F.coalesce("exists", F.lit(False)), F.col("exists").isNull(), F.col("created_at"), F.col("weekly_downloads")]).drop("name")
     looked = references.with_registry(refs.join(near_popular(refs), ["ecosystem", "norm"], "left"), known, ["ecosystem", "norm"])
     age = days_between(F.col("created_at"), tables.now)
-    flags = references.decisions(F.col("exists"), F.col("blind"), F.col("typo_of").isNotNull(), age, F.col("weekly_downloads"), F.col("ecosystem") == "npm")
+    flags = references.decisions(F.col("exists"), F.col("blind"), F.col("typo_of").isNotNull(), age, F.col("weekly_downloads"), F.col("ecosystem") == "npm", **thresholds)
     rows = looked.withColumn("flag", F.explode(flags))
     title = (
         F.when(F.col("flag.kind").startswith("nonexistent"), F.concat(F.lit("Package does not exist: "), F.col("name")))

@@ -28,7 +28,7 @@ FORMATS = [
 ]
 
 
-def detect(tables: Tables, entropy: bool = True) -> Found:
+def detect(tables: Tables, entropy: bool = True, shortest: int = SHORTEST, least_entropy: float = LEAST_ENTROPY) -> Found:
     files = tables.files.where("in_text_walk and issue_code is null and text is not null")
     rows = scan_all(files, dict(FORMATS)).select("repo_id", "path", "match", "line", "rule")
     hits = findings(
@@ -46,7 +46,7 @@ def detect(tables: Tables, entropy: bool = True) -> Found:
     if entropy:
         named = scan(files, NAMED).select("repo_id", "path", "match", "line", F.regexp_extract("match", r"[\"'`]([^\"'`]+)[\"'`]$", 1).alias("value"))
         bits = shannon_entropy(F.col("value"))
-        named = named.where((F.length("value") >= SHORTEST) & ~is_placeholder(F.col("value"))).withColumn("bits", bits).where(F.col("bits") >= LEAST_ENTROPY)
+        named = named.where((F.length("value") >= shortest) & ~is_placeholder(F.col("value"))).withColumn("bits", bits).where(F.col("bits") >= least_entropy)
         named = named.join(rows.select("repo_id", "path", "line"), ["repo_id", "path", "line"], "left_anti")
         named = first_by(named, ["repo_id", "path", "line"], [F.col("value")])
         hits = hits.unionByName(

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 #: How far a source of a reference is trusted. Fixed values.
@@ -11,8 +11,10 @@ MIN_AGE_DAYS, MIN_DOWNLOADS, MATURE_DAYS = 14, 100, 180
 
 
 def first_by(rows: DataFrame, keys: list[str], order: list[Column]) -> DataFrame:
-    """The first row of each key."""
-    return rows.withColumn("_n", F.row_number().over(Window.partitionBy(*keys).orderBy(*order))).where("_n = 1").drop("_n")
+    """The row of each key for which `order` is least, nulls first. Keys are reduced before they are
+    shuffled, so one with many rows doesn't fill a task."""
+    best = rows.groupBy(*keys).agg(F.min_by(F.struct(*rows.columns), F.struct(*order)).alias("_row"))
+    return best.select("_row.*")
 
 
 def source_rank(source: Column) -> Column:
@@ -27,14 +29,14 @@ def with_registry(refs: DataFrame, registry: DataFrame, keys: list[str]) -> Data
     return refs.join(registry, keys, "left")
 
 
-def decisions(exists: Column, blind: Column, typo: Column, age_days: Column, downloads: Column, is_npm: Column) -> Column:
+def decisions(exists: Column, blind: Column, typo: Column, age_days: Column, downloads: Column, is_npm: Column, min_age_days: float = MIN_AGE_DAYS, min_downloads: int = MIN_DOWNLOADS, mature_days: float = MATURE_DAYS) -> Column:
     """array<struct<kind, severity>> of what a looked-up reference is flagged for.
 
     exists: null is unknown. A missing age or number of downloads fails its comparison."""
     flag = lambda kind, severity: F.struct(F.lit(kind).alias("kind"), F.lit(severity).alias("severity"))
-    young = F.coalesce(age_days < MATURE_DAYS, F.lit(False))
-    rare = F.coalesce(downloads < MIN_DOWNLOADS, F.lit(False))
-    very_new = F.coalesce(age_days < MIN_AGE_DAYS, F.lit(False))
+    young = F.coalesce(age_days < mature_days, F.lit(False))
+    rare = F.coalesce(downloads < min_downloads, F.lit(False))
+    very_new = F.coalesce(age_days < min_age_days, F.lit(False))
     none = F.array().cast("array<struct<kind:string,severity:string>>")
     known = F.when(typo & (young | rare), F.array(flag("typosquat", "critical"))).otherwise(
         F.array_compact(F.array(F.when(very_new, flag("very-new", "medium")), F.when(is_npm & rare & young, flag("low-downloads", "low"))))

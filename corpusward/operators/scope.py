@@ -8,22 +8,29 @@ from pyspark.sql import functions as F
 from corpusward.functions.text import in_globs, normalized_path
 
 
+def _repo(rows: DataFrame, changed: DataFrame) -> list[str]:
+    """repo_id, where both tables have it: a path only means a file of its own repository."""
+    return ["repo_id"] if "repo_id" in rows.columns and "repo_id" in changed.columns else []
+
+
 def in_changed(findings: DataFrame, changed: DataFrame, file: str = "file", by: str = "path") -> DataFrame:
-    """Findings in changed files; findings without a file go."""
-    paths = changed.select(normalized_path(F.col(by)).alias("_path")).distinct()
-    return findings.join(paths, normalized_path(findings[file]) == paths["_path"], "left_semi")
+    """Findings in changed files of their repository; findings without a file go."""
+    key = _repo(findings, changed)
+    paths = changed.select(*key, normalized_path(F.col(by)).alias("_path")).distinct()
+    return findings.withColumn("_path", normalized_path(findings[file])).join(paths, [*key, "_path"], "left_semi").select(*findings.columns)
 
 
 def issues_in_changed(issues: DataFrame, changed: DataFrame) -> DataFrame:
     """Issues without a file, at the root, or whose file is a changed file or a folder that holds one.
 
     A changed path stands for itself and each of its folders, so this is an equi-join."""
+    key = _repo(issues, changed)
     parts = F.split(normalized_path(F.col("path")), "/")
     above = F.transform(F.sequence(F.lit(1), F.size(parts)), lambda n: F.array_join(F.slice(parts, F.lit(1), n), "/"))
-    reached = changed.select(F.explode(above).alias("_path")).distinct()
+    reached = changed.select(*key, F.explode(above).alias("_path")).distinct()
     path = F.regexp_replace(normalized_path(F.col("file")), "/$", "")
     everywhere = F.col("file").isNull() | F.col("file").isin("", ".")
-    rest = issues.where(~everywhere).withColumn("_at", path).join(reached, F.col("_at") == F.col("_path"), "left_semi").drop("_at")
+    rest = issues.where(~everywhere).withColumn("_path", path).join(reached, [*key, "_path"], "left_semi").select(*issues.columns)
     return issues.where(everywhere).unionByName(rest)
 
 

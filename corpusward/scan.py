@@ -13,6 +13,7 @@ from corpusward.detectors import ai_presence, ai_unreviewed, crypto, env_leak, g
 from corpusward.operators import scope, scoring
 from corpusward.policy import Policy
 from corpusward.schemas import ISSUE, Found, Tables, with_text
+from corpusward.sources import git
 from corpusward.sources.tree import read_trees
 
 Detector = Callable[[Tables], Found]
@@ -52,20 +53,47 @@ class Result:
         issues = self.issues.groupBy("repo_id").agg(F.count("*").alias("issues"))
         return scores.join(counts, "repo_id").join(issues, "repo_id", "left").fillna(0, ["issues"]).withColumn("band", scoring.band(F.col("trust_score")))
 
-    def gated(self, policy: Policy, fallback: int = 85) -> DataFrame:
-        minimum = policy.minimum_score if policy.minimum_score is not None else fallback
-        return scoring.gate(self.summary(), minimum, policy.fail_on, policy.fail_on_incomplete)
+    def gated(self, policy: Policy | dict[str, Policy], fallback: int = 85) -> DataFrame:
+        """summary with reasons, passed and status, by one policy or by one for each repository."""
+        summary = self.summary()
+        if isinstance(policy, Policy):
+            minimum = policy.minimum_score if policy.minimum_score is not None else fallback
+            return scoring.gate(summary, minimum, policy.fail_on, policy.fail_on_incomplete)
+        own = lambda p, repos: scoring.gate(summary.where(F.col("repo_id").isin(repos)), fallback if p.minimum_score is None else p.minimum_score, p.fail_on, p.fail_on_incomplete)
+        return reduce(lambda a, b: a.unionByName(b), [own(p, repos) for p, repos in by_policy(policy).items()])
+
+
+def by_policy(policies: dict[str, Policy]) -> dict[Policy, list[str]]:
+    """The repositories that share a policy."""
+    found: dict[Policy, list[str]] = {}
+    for repo, policy in policies.items():
+        found.setdefault(policy, []).append(repo)
+    return found
+
+
+def counted(rows: DataFrame, *keys: str) -> DataFrame:
+    """keys, n: how many rows."""
+    return rows.groupBy(*keys).agg(F.count("*").alias("n"))
+
+
+def distinct_issues(issues: DataFrame) -> DataFrame:
+    """Issues, each once."""
+    return issues.dropDuplicates(["repo_id", "detector_id", "code", "message", "file"])
+
+
+def incomplete(issues: DataFrame, *keys: str) -> DataFrame:
+    """keys, issues, files (how many have one), incomplete: of distinct issues."""
+    return distinct_issues(issues).groupBy(*keys).agg(F.count("*").alias("issues"), F.countDistinct("file").alias("files"), (F.count("*") > 0).alias("incomplete"))
 
 
 def _stats(repos: DataFrame, found: dict[str, Found], findings: DataFrame, issues: DataFrame) -> DataFrame:
     spark = repos.sparkSession
     every = repos.select("repo_id", F.explode(F.array(*map(F.lit, found))).alias("detector_id"))
     none = spark.createDataFrame([], "repo_id string, detector_id string, n long")
-    counted = lambda df: df.groupBy("repo_id", "detector_id").agg(F.count("*").alias("n"))
-    analysed = reduce(lambda a, b: a.unionByName(b), [none] + [counted(f.analysed.withColumn("detector_id", F.lit(d))) for d, f in found.items() if f.analysed is not None])
-    skipped = reduce(lambda a, b: a.unionByName(b), [none.select("repo_id", "detector_id")] + [f.skips.select("repo_id", F.lit(d).alias("detector_id")) for d, f in found.items() if f.skips is not None]).withColumn("skipped", F.lit(True))
     key = ["repo_id", "detector_id"]
-    rows = every.join(counted(findings).withColumnRenamed("n", "findings"), key, "left").join(counted(issues).withColumnRenamed("n", "issues"), key, "left").join(analysed.withColumnRenamed("n", "analysed"), key, "left").join(skipped, key, "left")
+    analysed = reduce(lambda a, b: a.unionByName(b), [none] + [counted(f.analysed.withColumn("detector_id", F.lit(d)), *key) for d, f in found.items() if f.analysed is not None])
+    skipped = reduce(lambda a, b: a.unionByName(b), [none.select("repo_id", "detector_id")] + [f.skips.select("repo_id", F.lit(d).alias("detector_id")) for d, f in found.items() if f.skips is not None]).withColumn("skipped", F.lit(True))
+    rows = every.join(counted(findings, *key).withColumnRenamed("n", "findings"), key, "left").join(counted(issues, *key).withColumnRenamed("n", "issues"), key, "left").join(analysed.withColumnRenamed("n", "analysed"), key, "left").join(skipped, key, "left")
     rows = rows.fillna(0, ["findings", "issues", "analysed"])
     status = F.when(F.col("skipped"), "skipped").when(F.col("issues") > 0, "degraded").otherwise("ran")
     return rows.select(*key, status.alias("status"), "findings", "issues", "analysed")
@@ -82,13 +110,17 @@ def scan(tables: Tables, detectors: dict[str, Detector] | None = None) -> Result
     for kind, names in readers.items():
         if some := [n for n in names if n in found]:
             issues.append(walk.where(f"in_{kind}_walk").select("repo_id", F.explode(F.array(*map(F.lit, some))).alias("detector_id"), F.col("issue_code").alias("code"), F.col("issue_message").alias("message"), F.col("path").alias("file")))
-    issues = reduce(lambda a, b: a.unionByName(b), issues, spark.createDataFrame([], ISSUE)).dropDuplicates(["repo_id", "detector_id", "code", "message", "file"])
+    issues = distinct_issues(reduce(lambda a, b: a.unionByName(b), issues, spark.createDataFrame([], ISSUE)))
     return Result(tables.repos, findings, issues, _stats(tables.repos, found, findings, issues))
 
 
 def scan_folders(spark: SparkSession, folders: dict[str, str], detectors: dict[str, Detector] | None = None, registry: DataFrame | None = None, commits: DataFrame | None = None, git_files: DataFrame | None = None, now: Column | None = None) -> Result:
-    """A scan of repositories by id and folder; the folders are ones that all executors see."""
+    """A scan of repositories by id and folder; the folders are ones that all executors see. What git
+    knows of their environment files is asked here, where it isn't given."""
     files = with_text(read_trees(spark, folders)).persist()
+    if git_files is None and (detectors is None or env_leak.ID in detectors):
+        paths = env_leak.env_paths(files).select("repo_id", "path").collect()
+        git_files = git.env_files(spark, folders, [tuple(r) for r in paths])
     repos = spark.createDataFrame([(r,) for r in folders], "repo_id string")
     tables = Tables(files, repos, registry, commits, git_files)
     if now is not None:
@@ -96,15 +128,21 @@ def scan_folders(spark: SparkSession, folders: dict[str, str], detectors: dict[s
     return scan(tables, detectors)
 
 
-def with_policy(result: Result, policy: Policy) -> Result:
-    """The result without what the policy ignores; statuses and scores follow from what is left."""
-    findings = scope.without_ignored(result.findings, policy.ignore_detectors, policy.ignore_findings, policy.ignore_paths)
-    issues = scope.without_ignored(result.issues, policy.ignore_detectors, (), policy.ignore_paths)
-    return _restated(result, findings, issues)
+def with_policy(result: Result, policy: Policy | dict[str, Policy]) -> Result:
+    """The result without what the policy (or that of each repository) ignores; statuses and scores
+    follow from what is left."""
+    policies = {policy: None} if isinstance(policy, Policy) else by_policy(policy)
+    findings, issues = [], []
+    for p, repos in policies.items():
+        mine = lambda df, repos=repos: df if repos is None else df.where(F.col("repo_id").isin(repos))
+        findings.append(scope.without_ignored(mine(result.findings), p.ignore_detectors, p.ignore_findings, p.ignore_paths))
+        issues.append(scope.without_ignored(mine(result.issues), p.ignore_detectors, (), p.ignore_paths))
+    together = lambda parts: reduce(lambda a, b: a.unionByName(b), parts)
+    return _restated(result, together(findings), together(issues))
 
 
 def changed_only(result: Result, changed: DataFrame) -> Result:
-    """The result for changed files (path); comes before the policy."""
+    """The result for changed files (repo_id, path); comes before the policy."""
     return _restated(result, scope.in_changed(result.findings, changed), scope.issues_in_changed(result.issues, changed))
 
 

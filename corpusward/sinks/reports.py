@@ -6,9 +6,10 @@ import html
 import json
 import re
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from corpusward.operators.references import first_by
 from corpusward.operators.scoring import BANDS, WEIGHTS
 from corpusward.scan import Result
 
@@ -23,8 +24,7 @@ def rule_id(id_column="id", metadata="metadata"):
 
 def sarif_rules(findings: DataFrame) -> DataFrame:
     """rule, title, explanation: of the first finding of each rule."""
-    order = Window.partitionBy("rule").orderBy("id", "file", "line")
-    return findings.withColumn("rule", rule_id()).withColumn("n", F.row_number().over(order)).where("n = 1").select("rule", "title", "explanation")
+    return first_by(findings.withColumn("rule", rule_id()), ["rule"], [F.col("id"), F.col("file"), F.col("line")]).select("rule", "title", "explanation")
 
 
 def sarif(result: Result, repo_id: str) -> dict:
@@ -78,12 +78,28 @@ def terminal(result: Result, gated: DataFrame, repo_id: str, top: int = 5, most_
     return "\n".join(out)
 
 
+def ghosts(findings: DataFrame) -> DataFrame:
+    """Findings of packages that don't exist or imitate another, with in_docs."""
+    ghost = findings.where((F.col("detector_id") == "ghost-deps") & F.col("id").rlike("nonexistent|typosquat"))
+    return ghost.withColumn("in_docs", F.get_json_object("metadata", "$.source") == "docs")
+
+
+def patterns(findings: DataFrame) -> DataFrame:
+    """repo_id, detector_id, pattern, n: how often each rule was found."""
+    return findings.groupBy("repo_id", "detector_id", rule_id().alias("pattern")).agg(F.count("*").alias("n")).orderBy("repo_id", "detector_id", F.desc("n"), "pattern")
+
+
 def corpus(result: Result) -> DataFrame:
     """scanned, affected, rate (percent), ghosts, in_docs over all repositories."""
-    ghost = result.findings.where((F.col("detector_id") == "ghost-deps") & F.col("id").rlike("nonexistent|typosquat"))
-    by_repo = ghost.groupBy("repo_id").agg(F.count("*").alias("ghosts"), F.count_if(F.get_json_object("metadata", "$.source") == "docs").alias("in_docs"))
-    joined = result.repos.join(by_repo, "repo_id", "left").fillna(0, ["ghosts", "in_docs"])
-    made = joined.agg(F.count("*").alias("scanned"), F.count_if(F.col("ghosts") > 0).alias("affected"), F.sum("ghosts").alias("ghosts"), F.sum("in_docs").alias("in_docs"))
+    return corpus_counts(result.repos, ghosts(result.findings))
+
+
+def corpus_counts(repos: DataFrame, ghost: DataFrame, *by: str) -> DataFrame:
+    """by (columns of repos), scanned, affected, rate, ghosts, in_docs, from repos (repo_id) and their
+    ghost findings (repo_id, in_docs)."""
+    by_repo = ghost.groupBy("repo_id").agg(F.count("*").alias("ghosts"), F.count_if("in_docs").alias("in_docs"))
+    joined = repos.join(by_repo, "repo_id", "left").fillna(0, ["ghosts", "in_docs"])
+    made = joined.groupBy(*by).agg(F.count("*").alias("scanned"), F.count_if(F.col("ghosts") > 0).alias("affected"), F.sum("ghosts").alias("ghosts"), F.sum("in_docs").alias("in_docs"))
     return made.withColumn("rate", F.round(100 * F.col("affected") / F.greatest("scanned", F.lit(1)), 1))
 
 

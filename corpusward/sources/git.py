@@ -28,7 +28,8 @@ def commits(spark: SparkSession, repos: dict[str, str], last: int = 50) -> DataF
 
 
 def env_files(spark: SparkSession, repos: dict[str, str], paths: list[tuple[str, str]]) -> DataFrame:
-    """repo_id, path, tracked, ignored (null where the folder isn't git's top level) of some paths."""
+    """repo_id, path, tracked, ignored (null where the folder isn't git's top level) of some paths, for
+    Tables.git_files."""
     rows = []
     for repo, path in paths:
         root = repos[repo]
@@ -38,10 +39,15 @@ def env_files(spark: SparkSession, repos: dict[str, str], paths: list[tuple[str,
     return spark.createDataFrame(rows, "repo_id string, path string, tracked boolean, ignored boolean")
 
 
-def changed_files(spark: SparkSession, root: str, base: str) -> DataFrame:
-    """path of files added, copied, modified or renamed since base, in the index, in the folder, or untracked."""
-    names = "--name-only", "--diff-filter=ACMR", "-z", "--relative"
-    lists = [_git(root, "diff", *names, f"{base}...HEAD"), _git(root, "diff", *names), _git(root, "diff", *names, "--cached"), _git(root, "ls-files", "--others", "--exclude-standard", "-z")]
-    if lists[0] is None:
-        raise ValueError(f"Cannot compare with {base}.")
-    return spark.createDataFrame([(p,) for p in {x for some in lists for x in (some or "").split("\0") if x}], "path string").distinct()
+def changed_files(spark: SparkSession, repos: dict[str, str], base: str | None = None) -> DataFrame:
+    """repo_id, path of files added, copied, modified or renamed since base (if one is given), in the
+    index, in the folder, or untracked."""
+    names, rows = ("--name-only", "--diff-filter=ACMR", "-z", "--relative"), set()
+    for repo, root in repos.items():
+        lists = [_git(root, "diff", *names), _git(root, "diff", *names, "--cached"), _git(root, "ls-files", "--others", "--exclude-standard", "-z")]
+        if base is not None:
+            lists.append(_git(root, "diff", *names, f"{base}...HEAD"))
+        if lists[-1] is None:
+            raise ValueError(f"Cannot compare {root} with {base}." if base else f"{root} is no git repository.")
+        rows |= {(repo, x) for some in lists for x in (some or "").split("\0") if x}
+    return spark.createDataFrame(sorted(rows), "repo_id string, path string")

@@ -46,6 +46,7 @@ class _Reader(DataSourceReader):
     def __init__(self, options):
         self.repos = json.loads(options["repos"])
         self.with_content = options.get("content", "true").lower() == "true"
+        self.largest = int(options.get("largest", LARGEST_TEXT))
 
     def partitions(self):
         parts = []
@@ -71,6 +72,11 @@ class _Reader(DataSourceReader):
         said = f'Could not {"enumerate directory" if folder else "inspect"} "{path}".'
         return (repo, path, path.rpartition("/")[2], "", None, None, walk == "text", walk == "package", code, said)
 
+    @staticmethod
+    def _unread(repo: str, path: str, walk: str):
+        code = f"{'text' if walk == 'text' else 'ghost-deps'}-read-failed"
+        return (repo, path, path.rpartition("/")[2], "", None, None, walk == "text", walk == "package", code, f'Could not read "{path}".')
+
     def _traces(self, repo: str, root: str) -> Iterator[tuple]:
         for name in sorted(os.listdir(os.path.join(root, TRACES))):
             full = os.path.join(root, TRACES, name)
@@ -106,7 +112,7 @@ class _Reader(DataSourceReader):
                     yield self._issue(repo, path, "text", False)
                 return
             ext = _extension(name)
-            text = text and name not in LOCK_FILES and ext not in BINARY_ENDINGS and 0 < size <= LARGEST_TEXT
+            text = text and name not in LOCK_FILES and ext not in BINARY_ENDINGS and 0 < size <= self.largest
             if not (text or package):
                 return
             content = None
@@ -115,13 +121,13 @@ class _Reader(DataSourceReader):
                     with open(full, "rb") as f:
                         content = f.read()
                 except OSError:
-                    pass
+                    yield from (self._unread(repo, path, walk) for walk, on in (("text", text), ("package", package)) if on)
             yield (repo, path, name, ext, size, content, text, package, None, None)
 
 
 class SourceTree(DataSource):
     """Option repos: a JSON object of repository ids and folders that all executors see.
-    Option content: false for a listing without contents."""
+    Option content: false for a listing without contents. Option largest: bytes of a file in the text walk."""
 
     @classmethod
     def name(cls):
@@ -134,7 +140,7 @@ class SourceTree(DataSource):
         return _Reader(self.options)
 
 
-def read_trees(spark: SparkSession, repos: dict[str, str], content: bool = True) -> DataFrame:
+def read_trees(spark: SparkSession, repos: dict[str, str], content: bool = True, largest: int = LARGEST_TEXT) -> DataFrame:
     """The files and the walks' issues of repositories, by id and folder."""
     spark.dataSource.register(SourceTree)
-    return spark.read.format("sourcetree").option("repos", json.dumps(repos)).option("content", str(content).lower()).load()
+    return spark.read.format("sourcetree").option("repos", json.dumps(repos)).option("content", str(content).lower()).option("largest", str(largest)).load()

@@ -134,3 +134,11 @@ def test_scores_and_scope(spark):
 def test_first_by(spark):
     rows = spark.createDataFrame([(1, "b", 2), (1, "a", 1), (2, "c", 0)], "k int, v string, o int")
     assert {r.v for r in references.first_by(rows, ["k"], [F.col("o")]).collect()} == {"a", "c"}
+
+
+def test_changed_paths_belong_to_their_repository(spark):
+    changed = spark.createDataFrame([("a", "src/x.py")], "repo_id string, path string")
+    found = spark.createDataFrame([("a", "./src/x.py"), ("b", "src/x.py"), ("a", None)], "repo_id string, file string")
+    assert [tuple(r) for r in scope.in_changed(found, changed).collect()] == [("a", "./src/x.py")]
+    issues = spark.createDataFrame([("a", "src"), ("b", "src"), ("b", ".")], "repo_id string, file string")
+    assert sorted(map(tuple, scope.issues_in_changed(issues, changed).collect())) == [("a", "src"), ("b", ".")]

@@ -1,8 +1,10 @@
 import json
+import os
+import subprocess
 
 import pytest
 
-from corpusward.__main__ import main, parser
+from corpusward.__main__ import main, parser, repo_folders
 from corpusward.streaming.files import file_stream, findings_stream
 
 
@@ -31,3 +33,43 @@ def test_exit_codes(spark, tmp_path, capsys):
     assert main([str(clean), *only]) == 0 and main([str(bad), *only, "--sarif", str(tmp_path / "s.json"), "--html", str(tmp_path / "p.html"), "--badge", str(tmp_path / "b.svg")]) == 1
     assert json.loads((tmp_path / "s.json").read_text())["runs"][0]["results"][0]["ruleId"] == "crypto-create-cipher"
     assert main([str(clean), "--only", "nothing"]) == 2 and "Unknown detectors" in capsys.readouterr().err
+
+
+def test_folders(tmp_path):
+    (tmp_path / "list.txt").write_text("# two\n/x/app\n/y/app # same name\n\n/x/app\n/z\n")
+    assert repo_folders([], str(tmp_path / "list.txt")) == {"app": "/x/app", "app-2": "/y/app", "z": "/z"}
+    assert repo_folders(["/x/app", "/y/app"], limit=1) == {"app": "/x/app"}
+    with pytest.raises(SystemExit):
+        parser().parse_args(["--fail-below", "101"])
+    args = parser().parse_args(["--changed", "--html", "--no-badge", "--allow-incomplete", "-v", "--offline"])
+    assert args.since == "" and args.html and args.badge is None and args.fail_on_incomplete is False and args.verbose
+
+
+def _git(folder, *args):
+    subprocess.run(["git", "-C", str(folder), "-c", "user.name=n", "-c", "user.email=e@x", *args], check=True, capture_output=True)
+
+
+def test_two_repositories_of_one_name(spark, tmp_path, capsys):
+    """Each has its own policy and its own changed files; a tracked .env counts though it is ignored."""
+    one, two = tmp_path / "a" / "app", tmp_path / "b" / "app"
+    for folder in (one, two):
+        folder.mkdir(parents=True)
+        _git(folder, "init", "-q")
+        (folder / "old.js").write_text("createDecipher(k)")
+        (folder / ".env").write_text("A=1")
+        (folder / ".gitignore").write_text(".env\n")
+        _git(folder, "add", "old.js", ".gitignore")
+    _git(one, "add", "-f", ".env")
+    for folder in (one, two):
+        _git(folder, "commit", "-q", "-m", "first")
+    (two / "old.js").write_text("createDecipher(k) // changed")
+    (two / "corpusward.yml").write_text("ignore:\n  detectors: [insecure-crypto]\n")
+    out = tmp_path / "found"
+    both = [str(one), str(two), "--only", "insecure-crypto,env-leak", "--out", str(out)]
+    assert main(both) == 1
+    rows = {(r.repo_id, r.detector_id, r.file) for r in spark.read.parquet(str(out)).collect()}
+    assert rows == {("app", "insecure-crypto", "old.js"), ("app", "env-leak", ".env")}
+    os.remove(two / "corpusward.yml")
+    assert main([*both, "--changed", "HEAD"]) == 1
+    assert {(r.repo_id, r.detector_id, r.file) for r in spark.read.parquet(str(out)).collect()} == {("app-2", "insecure-crypto", "old.js")}
+    assert main([*both, "--changed", "nothing"]) == 2 and "Cannot compare" in capsys.readouterr().err
