@@ -28,7 +28,7 @@ def resolved(refs: DataFrame, files: DataFrame) -> DataFrame:
     own = names.is_local_specifier(spec) | spec.startswith("@/") | spec.startswith("~/") | spec.startswith("#")
     builtin = (npm & names.is_runtime_module(spec)) | (~npm & F.col("name").isin(names.PYTHON_MODULES))
     left = refs.where(~own & ~builtin)
-    aliased = left.join(alias_patterns(files), "repo_id").where(names.matches_pattern(F.col("pattern"), spec)).select("repo_id", "specifier").distinct()
+    aliased = references.aliased(left, alias_patterns(files), "repo_id").select("repo_id", "specifier").distinct()
     left = left.join(aliased, ["repo_id", "specifier"], "left_anti")
     local = workspace_names(files).withColumn("ecosystem", F.lit("npm"))
     left = left.join(local, ["repo_id", "ecosystem", "name"], "left_anti").join(blind_repos(files), "repo_id", "left")

@@ -149,10 +149,31 @@ def _bindings(source: str) -> tuple[set[str], set[str]]:
     return direct, spaces
 
 
-def rows_of(source: str) -> list[tuple]:
+def _substitutions(source: str, masked: str) -> Iterator[tuple[int, int]]:
+    """Where the expressions in the templates of a source stand."""
+    for m in re.finditer(r"`[_\n]*", masked):
+        i, end = m.start() + 1, m.end()
+        while i < end:
+            if source[i] == "\\":
+                i += 2
+            elif source.startswith("${", i):
+                start, depth = i + 2, 1
+                i = start
+                while i < end and depth:
+                    if source[i] in "\"'`":
+                        i = _string_end(source, i)
+                        continue
+                    depth += (source[i] == "{") - (source[i] == "}")
+                    i += 1
+                yield start, i - (not depth)
+            else:
+                i += 1
+
+
+def rows_of(source: str, bindings: tuple[set[str], set[str]] | None = None) -> list[tuple]:
     masked = blanked(source)
     close = brackets(masked)
-    direct, spaces = _bindings(source)
+    direct, spaces = bindings = bindings or _bindings(source)
     out = []
 
     def place(at: int) -> tuple[int, int]:
@@ -190,6 +211,11 @@ def rows_of(source: str) -> list[tuple]:
             low, high = m.span("value")
             kind, dynamic, said = _value(source, masked, low, high, close) if what == "assign" else ("", False, "")
             out.append((what, m.group("key").strip("\"'"), "", line, col, m.group()[:400], kind, dynamic, dynamic, said, value, "", {}, False))
+    for start, end in _substitutions(source, masked):
+        if re.search(r"[(=:]", source[start:end]):
+            line, col = place(start)
+            for what, name, callee, inner_line, inner_col, *rest in rows_of(source[start:end], bindings):
+                out.append((what, name, callee, line + inner_line - 1, inner_col + (col - 1 if inner_line == 1 else 0), *rest))
     return out
 
 

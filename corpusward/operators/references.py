@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from corpusward.functions.names import matches_pattern
+
 #: How far a source of a reference is trusted. Fixed values.
 SOURCE_RANK = {"manifest": 3, "docs": 2, "import": 1}
 MIN_AGE_DAYS, MIN_DOWNLOADS, MATURE_DAYS = 14, 100, 180
@@ -24,6 +26,19 @@ def source_rank(source: Column) -> Column:
     return out.otherwise(0)
 
 
+def aliased(refs: DataFrame, patterns: DataFrame, *keys: str) -> DataFrame:
+    """refs (keys, specifier) with each pattern of their key that fits: an equi-join on what stands
+    before the pattern's *, of which a specifier has one for each of its lengths among the patterns."""
+    star = F.instr("pattern", "*")
+    known = patterns.withColumn("_head", F.when(star > 0, F.substring("pattern", F.lit(1), star - 1)).otherwise(F.col("pattern")))
+    lengths = known.groupBy(*keys).agg(F.collect_set(F.length("_head")).alias("_lengths"))
+    sized = refs.join(lengths, list(keys)) if keys else refs.join(F.broadcast(lengths))
+    heads = sized.withColumn("_length", F.explode("_lengths")).where(F.length("specifier") >= F.col("_length"))
+    heads = heads.withColumn("_head", F.substring("specifier", F.lit(1), F.col("_length"))).drop("_lengths", "_length")
+    met = heads.join(known, [*keys, "_head"]).where(matches_pattern(F.col("pattern"), F.col("specifier")))
+    return met.drop("_head")
+
+
 def with_registry(refs: DataFrame, registry: DataFrame, keys: list[str]) -> DataFrame:
     """refs with the registry's columns. No row there leaves `exists` null: unknown, not missing."""
     return refs.join(registry, keys, "left")

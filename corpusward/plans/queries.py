@@ -10,8 +10,10 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from corpusward import scan
 from corpusward.functions import names, text
 from corpusward.operators import ranges, references, regexscan, scope, scoring, similar
+from corpusward.sinks import reports
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
@@ -80,8 +82,8 @@ def severity_counts_by_nation(spark, folder):
 
 @query("SELECT c_mktsegment, count(*) AS findings FROM orders JOIN customer ON o_custkey = c_custkey GROUP BY c_mktsegment")
 def findings_by_detector(spark, folder):
-    by_customer = _findings(spark, folder).groupBy("c_custkey").count()
-    return by_customer.join(table(spark, folder, "customer"), "c_custkey").groupBy("c_mktsegment").agg(F.sum("count").alias("findings"))
+    rows = _findings(spark, folder).join(table(spark, folder, "customer").select("c_custkey", "c_mktsegment"), "c_custkey")
+    return scan.counted(rows, "c_mktsegment").select("c_mktsegment", F.col("n").alias("findings"))
 
 
 @query(
@@ -132,8 +134,7 @@ def priority_topk(spark, folder):
 def dedupe_by_source_priority(spark, folder):
     events = table(spark, folder, "events").select("user_id", "event_id", "event_type")
     source = F.when(F.col("event_type") == "purchase", "manifest").when(F.col("event_type") == "signup", "docs").when(F.col("event_type") == "view", "import").otherwise("")
-    best = events.groupBy("user_id").agg(F.min_by(F.struct("event_id", "event_type"), F.struct(-references.source_rank(source), F.col("event_id"))).alias("x"))
-    return best.select("user_id", "x.event_id", "x.event_type")
+    return references.first_by(events, ["user_id"], [-references.source_rank(source), F.col("event_id")])
 
 
 @query(
@@ -274,7 +275,7 @@ def script_calls(spark, folder):
 )
 def path_globs(spark, folder):
     url = F.col("url")
-    return table(spark, folder, "pages").select("page_id", "url", text.in_globs(url, ["https://*/en/**"]).alias("english"), text.in_globs(url, ["**.html"]).alias("static_page"), url.rlike(r"\Ahttp.?://.*/[^/]\z").alias("short_path"))
+    return table(spark, folder, "pages").select("page_id", "url", text.in_globs(url, ["https://*/en/**"]).alias("english"), text.in_globs(url, ["**.html"]).alias("static_page"), text.in_globs(url, ["http://**/?", "http?://**/?"]).alias("short_path"))
 
 
 @query("SELECT event_id, CAST(json_extract_string(props, '$.k') AS INTEGER) AS k FROM events")
@@ -300,16 +301,18 @@ SELECT s_suppkey, pattern FROM s JOIN a ON s_name LIKE replace(pattern, '*', '_%
 )
 def workspace_alias_patterns(spark, folder):
     supplier = table(spark, folder, "supplier")
-    last = F.right(F.col("s_name"), F.lit(1))
-    patterns = supplier.select(F.concat(F.left(F.col("s_name"), F.lit(8)), F.lit("*"), last).alias("pattern")).distinct().withColumn("tail", F.right(F.col("pattern"), F.lit(1)))
-    met = supplier.select("s_suppkey", "s_name", last.alias("tail")).join(patterns, "tail")
-    return met.where(names.matches_pattern(F.col("pattern"), F.col("s_name"))).select("s_suppkey", "pattern")
+    patterns = supplier.select(F.concat(F.left(F.col("s_name"), F.lit(8)), F.lit("*"), F.right(F.col("s_name"), F.lit(1))).alias("pattern")).distinct()
+    return references.aliased(supplier.select("s_suppkey", F.col("s_name").alias("specifier")), patterns).select("s_suppkey", "pattern")
 
 
 @query("SELECT o_orderpriority, min(o_orderkey) AS first_order, arg_min(o_orderstatus, o_orderkey) AS first_status FROM orders GROUP BY o_orderpriority")
 def rule_first_seen(spark, folder):
-    orders = table(spark, folder, "orders")
-    return orders.groupBy("o_orderpriority").agg(F.min("o_orderkey").alias("first_order"), F.min_by("o_orderstatus", "o_orderkey").alias("first_status"))
+    """The rules of a report, each told by its first finding: priorities stand for rules, orders for findings."""
+    id_ = F.concat_ws(":", F.translate("o_orderpriority", ":", ""), F.lit("order"), F.lpad(F.col("o_orderkey").cast("string"), 20, "0"))
+    told = F.concat_ws("|", "o_orderkey", "o_orderstatus").alias("explanation")
+    rows = table(spark, folder, "orders").select(id_.alias("id"), F.lit(None).cast("string").alias("metadata"), F.lit(None).cast("string").alias("file"), F.lit(None).cast("int").alias("line"), F.col("o_orderpriority").alias("title"), told)
+    first = F.split("explanation", r"\|")
+    return reports.sarif_rules(rows).select(F.col("title").alias("o_orderpriority"), F.get(first, F.lit(0)).cast("long").alias("first_order"), F.get(first, F.lit(1)).alias("first_status"))
 
 
 @query(
@@ -317,8 +320,9 @@ def rule_first_seen(spark, folder):
 SELECT event_type, count(*) AS issues, count(DISTINCT user_id) AS files, count(*) > 0 AS incomplete FROM i GROUP BY event_type"""
 )
 def diagnostics_rollup(spark, folder):
-    issues = table(spark, folder, "events").select("event_type", "user_id", F.floor("value").alias("code")).distinct()
-    return issues.groupBy("event_type").agg(F.count("*").alias("issues"), F.countDistinct("user_id").alias("files"), F.bool_or(F.lit(True)).alias("incomplete"))
+    none = F.lit(None).cast("string")
+    issues = table(spark, folder, "events").select(none.alias("repo_id"), F.col("event_type").alias("detector_id"), F.floor("value").cast("string").alias("code"), none.alias("message"), F.col("user_id").cast("string").alias("file"))
+    return scan.incomplete(issues, "detector_id").withColumnRenamed("detector_id", "event_type")
 
 
 @query(
@@ -328,8 +332,11 @@ count(*) FILTER (WHERE o_orderpriority = '1-URGENT') AS ghosts, count(*) FILTER
 FROM nation JOIN customer ON c_nationkey = n_nationkey LEFT JOIN orders ON o_custkey = c_custkey GROUP BY n_name"""
 )
 def corpus_report(spark, folder):
-    urgent = F.col("o_orderpriority") == "1-URGENT"
-    orders = table(spark, folder, "orders").groupBy(F.col("o_custkey").alias("c_custkey")).agg(F.count_if(urgent).alias("ghosts"), F.count_if(urgent & (F.col("o_orderstatus") == "F")).alias("in_docs"))
-    repos = table(spark, folder, "customer").join(orders, "c_custkey", "left").join(table(spark, folder, "nation"), F.col("c_nationkey") == F.col("n_nationkey"))
-    made = repos.groupBy("n_name").agg(F.count("*").alias("scanned"), F.count_if(F.col("ghosts") > 0).alias("affected"), F.coalesce(F.sum("ghosts"), F.lit(0)).alias("ghosts"), F.coalesce(F.sum("in_docs"), F.lit(0)).alias("in_docs"))
-    return made.withColumn("rate", F.round(100.0 * F.col("affected") / F.col("scanned"), 1))
+    """Customers stand for repositories, their urgent orders for ghost packages."""
+    ghosts = table(spark, folder, "orders").where("o_orderpriority = '1-URGENT'").select(F.col("o_custkey").alias("repo_id"), (F.col("o_orderstatus") == "F").alias("in_docs"))
+    nation = table(spark, folder, "nation").select(F.col("n_nationkey").alias("c_nationkey"), "n_name")
+    repos = table(spark, folder, "customer").join(nation, "c_nationkey").select(F.col("c_custkey").alias("repo_id"), "n_name")
+    return reports.corpus_counts(repos, ghosts, "n_name")
+
+
+from corpusward.plans import detector_queries  # noqa: E402, F401: registers its queries with the same tables
