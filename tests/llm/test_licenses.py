@@ -71,3 +71,16 @@ def test_whole_templates_with_changes():
     found = scanner.scan(pa.array([text, changed, "filler " * 20 + text + " filler" * 20 + changed]))
     assert [len([s for s in f[5] if s[0] == "mit"]) for f in found] == [1, 1, 2]
     assert all(s[3] > 0.8 for f in found for s in f[5])
+
+
+def test_whole_licences(spark):
+    """Every template is found in a text around it, wrapped and commented as in sources, and a text that
+    only has half of one isn't labelled by it."""
+    words_of = lambda t: t.split()
+    wrapped = ["\n * ".join(" ".join(words_of(t)[i : i + 9]) for i in range(0, len(words_of(t)), 9)) for _, t in licenses.TEMPLATES]
+    docs = spark.createDataFrame([(i, f"/* Copyright 2020 somebody\n * {t}\n */ code here") for i, t in enumerate(wrapped)], "doc_id long, text string")
+    for r in licenses.scan(docs).collect():
+        label, text = licenses.TEMPLATES[r.doc.doc_id]
+        assert label in r.labels and r.score == 1.0, label
+    half = spark.createDataFrame([(0, " ".join(words_of(dict(licenses.TEMPLATES)["zlib"])[:60]))], "doc_id long, text string")
+    assert licenses.scan(half).first().labels == []
