@@ -5,25 +5,32 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from corpusward.llm.shared import cut
+from corpusward.llm.shared import cut, left_join_spread
 
 
-def _least(links: DataFrame) -> DataFrame:
-    return links.groupBy("a").agg(F.min("b").alias("least"))
+def _star(links: DataFrame) -> DataFrame:
+    """a, least (of its b) and n (how many it has)."""
+    return links.groupBy("a").agg(F.min("b").alias("least"), F.count("*").alias("n"))
 
 
-def _large_star(links: DataFrame) -> DataFrame:
+def _with_least(links: DataFrame, total: int) -> DataFrame:
+    """links (a, b) with the least b of their a. A node of many links is dealt to many tasks."""
+    star = _star(links)
+    return left_join_spread(links, star.select("a", "least"), "a", star.select("a", "n"), total)
+
+
+def _large_star(links: DataFrame, total: int) -> DataFrame:
     """Each node's larger neighbours move to the least of its neighbourhood."""
     both = links.unionByName(links.select(F.col("b").alias("a"), F.col("a").alias("b")))
-    star = _least(both).select(F.col("a").alias("hub"), F.least("a", "least").alias("least"))
-    return both.join(star, both.a == star.hub).where("b > a").select(F.col("b").alias("a"), F.col("least").alias("b")).distinct()
+    moved = _with_least(both, 2 * total).where("b > a")
+    return moved.select(F.col("b").alias("a"), F.least("a", "least").alias("b")).distinct()
 
 
-def _small_star(links: DataFrame) -> DataFrame:
+def _small_star(links: DataFrame, total: int) -> DataFrame:
     """Each node (a) and its smaller neighbours (b) move to the least of these."""
-    star = _least(links).select(F.col("a").alias("hub"), "least")
-    moved = links.join(star, links.a == star.hub).where("b > least").select(F.col("b").alias("a"), F.col("least").alias("b"))
-    return moved.unionByName(star.select(F.col("hub").alias("a"), F.col("least").alias("b"))).distinct()
+    moved = _with_least(links, total)
+    ends = F.array(F.struct(F.col("a"), F.col("least").alias("b")), F.struct(F.col("b").alias("a"), F.col("least").alias("b")))
+    return moved.select(F.explode(ends).alias("x")).select("x.*").where("a > b").distinct()
 
 
 def connected(links: DataFrame, most_rounds: int = 100) -> DataFrame:
@@ -35,7 +42,7 @@ def connected(links: DataFrame, most_rounds: int = 100) -> DataFrame:
     mark = lambda x: x.agg(F.count("*"), F.sum(F.xxhash64("a", "b").cast("decimal(38,0)"))).first()
     before = mark(links)
     for _ in range(most_rounds if before[0] else 0):
-        links = cut(_small_star(_large_star(links)))
+        links = cut(_small_star(cut(_large_star(links, before[0])), before[0]))
         after = mark(links)
         if after == before:
             break

@@ -4,9 +4,9 @@ Fingerprints are 64 bits wide and are cut into `segments`. Two fingerprints that
 at most `distance` bits differ in few bits in at least one segment: with
 distance = a * segments + b, in at most `a` bits in one of the first b + 1 segments, or in at
 most `a - 1` in one of the others. So each fingerprint is stored under its own value of every
-segment, and looks up the small Hamming ball around that value. For a radius of 1, of two
-values that differ in one bit only the one with the bit set looks up the other: the pair meets
-once. Rows that meet under a value are compared over all 64 bits.
+segment, and under the values of the small Hamming ball below it, those with up to the radius of
+its set bits cleared. Two values that differ in at most that many bits meet where the bits that
+only one of them has are cleared. Rows that meet under a value are compared over all 64 bits.
 
 Nothing here grows with the square of a group: exact copies fold into one fingerprint first,
 and a value shared by many fingerprints yields a spanning forest of its links, not all pairs.
@@ -16,16 +16,17 @@ Values held by over `block` fingerprints are dealt to several tasks, block again
 from __future__ import annotations
 
 from functools import partial
+from itertools import combinations
 
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
 import xxhash
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from corpusward.llm.components import connected
-from corpusward.llm.shared import cut
+from corpusward.llm.shared import cut, left_join_spread
 
 _SHINGLES_AT_ONCE = 1 << 16
 
@@ -52,18 +53,26 @@ def fingerprint(text: bytes, words: int = 4, seed: int = 42) -> int:
 def _fingerprint_batches(batches, words, seed):
     for batch in batches:
         texts = pc.fill_null(batch.column("text").cast(pa.large_binary()), b"")
-        yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array([fingerprint(t.as_py(), words, seed) for t in texts], pa.int64())], ["doc_id", "fp"])
+        prints = pa.array([fingerprint(t.as_py(), words, seed) for t in texts], pa.int64())
+        yield pa.RecordBatch.from_arrays([batch.column("doc_id"), batch.column("row"), prints], ["doc_id", "row", "fp"])
+
+
+def row_hash(docs: DataFrame) -> Column:
+    """A 64-bit hash of all of a row's columns, nulls told from other values."""
+    plain = [F.to_json(F.struct(docs[f.name])) if "map" in f.dataType.simpleString() else docs[f.name] for f in docs.schema]
+    return F.xxhash64(F.array(*[docs[c].isNull() for c in docs.columns]), *plain)
 
 
 def fingerprints(docs: DataFrame, words: int = 4, seed: int = 42) -> DataFrame:
-    """doc_id and fp (the 64 bits as a signed number) of every row. A null text has no words."""
-    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")).mapInArrow(partial(_fingerprint_batches, words=words, seed=seed), "doc_id long, fp long")
+    """doc_id, row (row_hash) and fp (the 64 bits as a signed number) of every row. A null text has no words."""
+    rows = docs.select(docs["doc_id"].cast("long").alias("doc_id"), docs["text"].cast("string").alias("text"), row_hash(docs).alias("row"))
+    return rows.mapInArrow(partial(_fingerprint_batches, words=words, seed=seed), "doc_id long, row long, fp long")
 
 
 def ball_plan(segments: int, distance: int) -> list[tuple[int, int, int]]:
-    """(shift, bits, radius) of each segment that has to be searched; radii are 0 or 1."""
-    if not 0 <= distance < 2 * segments:
-        raise ValueError("segments must be over half of distance, so that radii are at most 1")
+    """(shift, bits, radius) of each segment that has to be searched; radii are 2 at most."""
+    if not 0 <= distance < 3 * segments:
+        raise ValueError("segments must be over a third of distance, so that radii are at most 2")
     edges = [64 * i // segments for i in range(segments + 1)]
     radius, rest = divmod(distance, segments)
     plan = [(edges[i], edges[i + 1] - edges[i], radius if i <= rest else radius - 1) for i in range(segments)]
@@ -81,9 +90,10 @@ def _entries(batches, plan):
         for i, (shift, bits, radius) in enumerate(plan):
             own, tag = _values(fp, shift, bits), np.uint64(i << 56)
             found = [(own | tag, fp)]
-            for b in range(bits if radius else 0):
-                up = (own >> np.uint64(b)) & np.uint64(1) == 1
-                found.append(((own[up] ^ np.uint64(1 << b)) | tag, fp[up]))
+            for bits_cleared in (x for r in range(1, radius + 1) for x in combinations(range(bits), r)):
+                mask = np.uint64(sum(1 << b for b in bits_cleared))
+                up = own & mask == mask
+                found.append(((own[up] ^ mask) | tag, fp[up]))
             key, held = (np.concatenate(x) for x in zip(*found))
             yield pa.RecordBatch.from_arrays([pa.array(key.view(np.int64)), pa.array(held.view(np.int64))], ["key", "fp"])
 
@@ -92,16 +102,16 @@ def _near(a: np.ndarray, b: np.ndarray, distance: int) -> np.ndarray:
     return np.bitwise_count(a ^ b) <= distance
 
 
-def group_links(fp: np.ndarray, member: np.ndarray, distance: int, rows: int = 256) -> list[tuple[np.ndarray, np.ndarray]]:
+def group_links(fp: np.ndarray, cleared: np.ndarray, radius: int, distance: int, rows: int = 256) -> list[tuple[np.ndarray, np.ndarray]]:
     """Links among the fingerprints of one table value: at least a spanning forest of them.
 
-    Only pairs with a member (stored under the value itself) count. A sparse group gives each of
+    Only pairs with at most `radius` bits cleared between them count. A sparse group gives each of
     its links; where these get to more than four a fingerprint, a search from one to the next
     unreached ones gives one link for each fingerprint reached."""
     n, found, count = len(fp), [], 0
     for low in range(0, n, rows):
         block = slice(low, low + rows)
-        near = _near(fp[block, None], fp[None, low:], distance) & (member[block, None] | member[None, low:])
+        near = _near(fp[block, None], fp[None, low:], distance) & (cleared[block, None] + cleared[None, low:] <= radius)
         i, j = np.nonzero(near)
         i, j = (i + low)[i < j], (j + low)[i < j]
         found.append((fp[i], fp[j]))
@@ -119,7 +129,7 @@ def group_links(fp: np.ndarray, member: np.ndarray, distance: int, rows: int = 2
         while len(edge):
             now, edge = edge[:rows], edge[rows:]
             rest = np.flatnonzero(left)
-            near = _near(fp[now, None], fp[None, rest], distance) & (member[now, None] | member[None, rest])
+            near = _near(fp[now, None], fp[None, rest], distance) & (cleared[now, None] + cleared[None, rest] <= radius)
             hit = near.any(axis=0)
             to = rest[hit]
             found.append((fp[now[near[:, hit].argmax(axis=0)]], fp[to]))
@@ -134,21 +144,22 @@ def _meet(key: np.ndarray, fp: np.ndarray, plan, distance: int) -> tuple[np.ndar
     seg = (value >> np.uint64(56)).astype(np.int64)
     shift = np.array([x[0] for x in plan], np.uint64)[seg]
     mask = np.array([(1 << x[1]) - 1 for x in plan], np.uint64)[seg]
-    member = ((fp >> shift) & mask) == (value & np.uint64((1 << 56) - 1))
+    cleared = np.bitwise_count(((fp >> shift) & mask) ^ (value & np.uint64((1 << 56) - 1)))
+    radius = np.array([x[2] for x in plan], np.uint8)[seg]
     change = np.flatnonzero((key[1:] != key[:-1]).any(axis=1)) + 1
     first = np.concatenate([[0], change])
     size = np.diff(np.concatenate([first, [len(fp)]]))
     found = [(fp[:0], fp[:0])]
     for at in np.flatnonzero(size > 32):
         some = slice(first[at], first[at] + size[at])
-        if member[some].any():
-            found += group_links(fp[some], member[some], distance)
+        if 2 * cleared[some].min() <= radius[first[at]]:
+            found += group_links(fp[some], cleared[some], radius[first[at]], distance)
     last = np.repeat(np.where(size > 32, 0, first + size - 1), size)
     here = np.flatnonzero(last > np.arange(len(fp)))
     step = 1
     while len(here):  # each row against the one `step` rows on in its group
         there = here + step
-        ok = (member[here] | member[there]) & _near(fp[here], fp[there], distance)
+        ok = (cleared[here] + cleared[there] <= radius[here]) & _near(fp[here], fp[there], distance)
         found.append((fp[here[ok]], fp[there[ok]]))
         step += 1
         here = here[last[here] >= here + step]
@@ -181,9 +192,8 @@ def links(unique: DataFrame, distance: int = 4, segments: int = 3, block: int =
     """Links a, b between different fingerprints (column fp, each once) of at most `distance`
     differing bits: enough of them to connect all that such links connect.
 
-    segments: 3 suits up to some 10**9 texts (21 bits a value). block: fingerprints of one table
-    value that a task compares at once; a value with more is cut into blocks, and each pair of
-    blocks is a part of its own."""
+    block: fingerprints of one table value that a task compares at once; a value with more is cut
+    into blocks, and each pair of blocks is a part of its own."""
     plan = ball_plan(segments, distance)
     table = unique.select("fp").mapInArrow(partial(_entries, plan=plan), "key long, fp long")
     hot = cut(table.groupBy("key").agg(F.count("*").alias("n")).where(F.col("n") > block).withColumn("blocks", F.ceil(F.col("n") / F.lit(block)).cast("long")).select("key", "blocks"))
@@ -200,25 +210,58 @@ def links(unique: DataFrame, distance: int = 4, segments: int = 3, block: int =
     return dealt.mapInArrow(partial(_link_batches, plan=plan, distance=distance), "a long, b long").distinct()
 
 
-def near_duplicates(docs: DataFrame, words: int = 4, seed: int = 42, distance: int = 4, segments: int = 3) -> DataFrame:
+#: Up to this many different fingerprints three segments are searched, two beyond it.
+_THREE_SEGMENTS = 1 << 30
+
+
+def fingerprint_roots(prints: DataFrame, distance: int = 4, segments: int | None = None) -> DataFrame:
+    """fp, root of each different fingerprint: root is the least fingerprint of its component.
+
+    segments: by default 3 (21 bits and 24 table rows a fingerprint), and 2 (32 bits, some 150 rows)
+    from 2**30 different fingerprints on, where the shorter values would be held by thousands."""
+    unique = cut(prints.select("fp").distinct())
+    if segments is None:
+        segments = 3 if unique.count() < _THREE_SEGMENTS or distance >= 6 else 2
+    member = connected(links(unique, distance, segments))  # node, root
+    return unique.join(member, unique.fp == member.node, "left").select("fp", F.coalesce("root", "fp").alias("root"))
+
+
+def _sizes(rows: DataFrame, key: str) -> DataFrame:
+    return rows.groupBy(key).agg(F.count("*").alias("n"))
+
+
+def near_duplicates(docs: DataFrame, words: int = 4, seed: int = 42, distance: int = 4, segments: int | None = None) -> DataFrame:
     """doc_id, fingerprint (16 hexadecimal digits), component_id (the smallest doc_id reachable over
     links of at most `distance` differing bits, itself included), one row for each row of docs.
 
     A null or empty text, or one without a word, has the fingerprint 0 and links like any other.
     Repeated rows come out repeated. A null doc_id takes part; component_id is null only where all
-    of its component's are null. No rows give no rows; other columns of docs play no part."""
+    of its component's are null. No rows give no rows; other columns of docs play no part.
+
+    Fingerprints that many rows share, and components of many fingerprints, are dealt to many tasks."""
+    prints = cut(fingerprints(docs.select("doc_id", "text"), words, seed))
+    roots = cut(fingerprint_roots(prints, distance, segments))
+    firsts = prints.groupBy("fp").agg(F.min("doc_id").alias("doc")).join(roots, "fp")
+    least = firsts.groupBy("root").agg(F.min("doc").alias("component_id"))
+    named = left_join_spread(roots, least, "root", _sizes(roots, "root"), roots.count()).select("fp", "component_id")
+    made = left_join_spread(prints, named, "fp", _sizes(prints, "fp"), prints.count())
+    return made.select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
+
+
+def one_of_each(docs: DataFrame, words: int = 4, seed: int = 42, distance: int = 4, segments: int | None = None) -> DataFrame:
+    """One row of docs, all columns, of each component: the one with the smallest doc_id, and among
+    rows of that doc_id the one with the smallest row_hash, so that a doc_id that two texts share
+    loses neither. Rows without a doc_id are grouped apart: of each component one of them stays as
+    well, the one with the smallest row_hash. Rows that are alike in all columns count as one."""
     prints = cut(fingerprints(docs, words, seed))
-    unique = prints.groupBy("fp").agg(F.min("doc_id").alias("doc"))
-    member = connected(links(unique, distance, segments))  # node, root
-    classes = unique.join(member, unique.fp == member.node, "left").select("fp", "doc", F.coalesce("root", "fp").alias("root"))
-    least = classes.groupBy("root").agg(F.min("doc").alias("component_id"))
-    named = classes.join(least, "root").select(F.col("fp").alias("of"), "component_id")
-    return prints.join(named, prints.fp == named.of).select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
-
-
-def one_of_each(docs: DataFrame, **how) -> DataFrame:
-    """The rows of docs, all columns, whose doc_id is the smallest of its component; of rows that
-    share that doc_id one stays. Rows without a doc_id can't be told apart and stay."""
-    kept = near_duplicates(docs, **how).where(F.col("doc_id") == F.col("component_id")).select(F.col("doc_id").alias("kept_id")).distinct()
-    named = docs.join(kept, docs["doc_id"] == kept["kept_id"], "left_semi").dropDuplicates(["doc_id"])
-    return named.unionByName(docs.where(F.col("doc_id").isNull()))
+    roots = fingerprint_roots(prints, distance, segments)
+    nameless = F.col("doc_id").isNull().alias("nameless")
+    best = F.min(F.struct("doc_id", "row")).alias("best")
+    kept = prints.groupBy("fp", nameless).agg(best).join(roots, "fp").select("root", "nameless", "best.*").groupBy("root", "nameless").agg(best)
+    kept = cut(kept.select(F.coalesce("best.doc_id", F.lit(0)).alias("_id"), F.col("best.row").alias("_row"), F.col("nameless").alias("_nameless")))
+    marked = docs.select(F.struct(*[docs[c] for c in docs.columns]).alias("doc"), F.coalesce(docs["doc_id"].cast("long"), F.lit(0)).alias("_id"), row_hash(docs).alias("_row"), docs["doc_id"].isNull().alias("_nameless"))
+    chosen = marked.join(kept, ["_id", "_row", "_nameless"], "left_semi")
+    twice = prints.groupBy("doc_id", "row").agg(F.count("*").alias("n")).where("n > 1")
+    if not twice.isEmpty():  # else each chosen row stands alone, and needs no second shuffle
+        chosen = chosen.dropDuplicates(["_id", "_row", "_nameless"])
+    return chosen.select("doc.*")

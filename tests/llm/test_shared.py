@@ -1,4 +1,6 @@
-from corpusward.llm.shared import left_join_spread
+import pytest
+
+from corpusward.llm.shared import left_join_spread, shared_folder
 
 
 def test_spread_join_is_a_left_join(spark):
@@ -9,3 +11,21 @@ def test_spread_join_is_a_left_join(spark):
     got = left_join_spread(rows, table, "key", sizes, rows.count(), least=20)
     assert got.columns == ["key", "i", "v"] and sorted(got.collect(), key=str) == want
     assert left_join_spread(rows.limit(0), table, "key", sizes.limit(0), 0).collect() == []
+
+
+def test_a_cluster_needs_a_shared_folder():
+    class Conf:
+        def get(self, name, default=None):
+            return default
+
+    class Context:
+        master = "spark://somewhere:7077"
+
+        def getConf(self):
+            return Conf()
+
+    class Session:
+        conf, sparkContext = Conf(), Context()
+
+    with pytest.raises(ValueError, match="spark.checkpoint.dir"):
+        shared_folder(Session())

@@ -3,6 +3,7 @@ import random
 import pytest
 import xxhash
 from pyspark.sql import types as T
+from pyspark.sql.functions import spark_partition_id
 
 from corpusward.llm import simhash
 from corpusward.llm.components import connected
@@ -102,3 +103,68 @@ def test_one_of_each(spark):
     got = simhash.one_of_each(docs)
     assert got.columns == docs.columns
     assert sorted(map(tuple, got.collect()), key=str) == [(1, "A B C D", "k"), (7, "else", "k"), (None, "a b c d", "k")]
+
+
+def test_one_of_each_against_brute_force(spark):
+    """Repeated ids with equal and with other texts, missing ids, and columns that make rows differ."""
+    rng = random.Random(8)
+    texts = [t for _, t in cases()]
+    rows = [(rng.choice([None, *range(40)]), rng.choice(texts), rng.choice("xy")) for _ in range(300)]
+    rows += rng.choices(rows, k=60)
+    docs = spark.createDataFrame(rows, "doc_id long, text string, _row string")
+    roots = brute_components(list(range(len(rows))), [brute_print(t) for _, t, _ in rows])
+    groups = {}
+    for row, root in zip(rows, roots):
+        groups.setdefault((root, row[0] is None), []).append(row)
+    got = [tuple(r) for r in simhash.one_of_each(docs).collect()]
+    assert len(got) == len(groups)
+    for members in groups.values():
+        least = min(i for i, *_ in members) if members[0][0] is not None else None
+        assert sum(r in got for r in {m for m in members if m[0] == least}) == 1
+    again = simhash.one_of_each(docs.repartition(13, "text").orderBy("_row"))
+    assert sorted(map(tuple, again.collect()), key=str) == sorted(got, key=str)
+
+
+def test_two_texts_share_an_id(spark):
+    docs = spark.createDataFrame([(1, "a b c d e"), (2, "a b c d e"), (2, "totally other words here now")], "doc_id long, text string")
+    assert sorted(map(tuple, simhash.one_of_each(docs).collect())) == [(1, "a b c d e"), (2, "totally other words here now")]
+
+
+@pytest.mark.parametrize("segments, distance", [(2, 4), (2, 5), (3, 7)])
+def test_balls_of_radius_two(spark, segments, distance):
+    rng = random.Random(9)
+    centre = rng.getrandbits(64)
+    prints = [centre ^ sum(1 << b for b in rng.sample(range(64), 2 + k % 7)) for k in range(120)]
+    signed = [p - (1 << 64) if p >> 63 else p for p in dict.fromkeys(prints)]
+    rows = spark.createDataFrame([(p,) for p in signed], "fp long")
+    got = {r.fp: r.root for r in simhash.fingerprint_roots(rows, distance, segments).collect()}
+    parent = {p: p for p in signed}
+
+    def find(p):
+        while parent[p] != p:
+            p = parent[p]
+        return p
+
+    for p in signed:
+        for q in signed:
+            if ((p ^ q) & (1 << 64) - 1).bit_count() <= distance:
+                a, b = sorted((find(p), find(q)))
+                parent[b] = a
+    assert got == {p: find(p) for p in signed}
+
+
+def test_hubs_are_dealt_to_many_tasks(spark):
+    """A component of which one node has most links: no task gets all of them."""
+    links = spark.range(1, 6001).selectExpr("id as a", "0L as b").unionByName(spark.range(7000, 7600).selectExpr("id as a", "id - 1 as b"))
+    from corpusward.llm import components
+
+    star = components._with_least(links, 6600)
+    sizes = [r.n for r in star.groupBy(spark_partition_id()).count().withColumnRenamed("count", "n").collect()]
+    assert star.count() == 6600 and max(sizes) < 3300
+    hub = links.selectExpr("b as a", "a as b").repartition(8)
+    dealt = components._with_least(hub, 6600)
+    sizes = [r.n for r in dealt.groupBy(spark_partition_id()).count().withColumnRenamed("count", "n").collect()]
+    assert dealt.count() == 6600 and max(sizes) < 3300
+    assert {r.least for r in dealt.where("a = 0").select("least").distinct().collect()} == {1}
+    found = {r.node: r.root for r in connected(links).collect()}
+    assert all(found[i] == 0 for i in range(6001)) and all(found[i] == 6999 for i in range(6999, 7600))
