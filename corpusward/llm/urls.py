@@ -1,8 +1,9 @@
 """URL filters: an ordered rule list, and gradient-boosted trees on lexical features for the rest.
 
 The trees learn from labelled URLs, those with a rule's verdict and a short list (LABELLED), by
-second-order boosting of the logistic loss over quantile bins. URLs without a label teach nothing. Features are lengths, depths, digit ratios, entropies, parameter counts, and how many pages
-and hosts share the URL's top suffix, counted over all pages.
+second-order boosting of the logistic loss over quantile bins. URLs without a label teach nothing.
+Features are lengths, depths, digit ratios, entropies, parameter counts, and how many pages and hosts
+share the URL's top suffix, counted over all pages.
 """
 
 from __future__ import annotations
@@ -15,6 +16,8 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from corpusward.llm.shared import cut, left_join_spread
+
 _CAPITALS, _SMALL = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 
 
@@ -219,21 +222,29 @@ def _judge_batches(batches, model):
         yield pa.RecordBatch.from_arrays([new[c] if c in new else batch.column(c) for c in names], names)
 
 
-def judge(pages: DataFrame, rules: list[UrlRule], sample: int = 20_000, labelled: list[tuple[str, str]] = LABELLED) -> DataFrame:
+def judge(pages: DataFrame, rules: list[UrlRule], sample: int = 20_000, labelled: list[tuple[str, str]] = LABELLED, most_broadcast: int = 500_000) -> DataFrame:
     """page_id, rule, verdict, host, path, probability (of being blocked, by the trees) of each page.
 
     The trees learn from about `sample` different URLs with a rule's verdict, chosen by a hash, and
-    from `labelled` (verdict, URL); suffixes are counted over all pages. A null URL, or one without ://, has an empty host and path
-    and no rule. If no page is blocked by a rule the trees allow everything. Repeated rows come out
-    repeated, no rows give no rows."""
+    from `labelled` (verdict, URL); suffixes are counted over all pages. A null URL, or one without ://,
+    has an empty host and path and no rule. If no page is blocked by a rule the trees allow everything.
+    Repeated rows come out repeated, no rows give no rows; the order of rows changes nothing.
+
+    The counts of up to most_broadcast suffixes are broadcast, and pages stay where they are; with more,
+    pages are joined by suffix, and those of a frequent one dealt to many tasks."""
     spark = pages.sparkSession
     url = F.col("url").cast("string")
     rows = pages.select(F.col("page_id").cast("long").alias("page_id"), F.coalesce(url, F.lit("")).alias("url"), url_host(url).alias("host"), url_path(url).alias("path"))
     name, verdict = first_rule(rules, F.col("host"), F.col("path"))
     rows = rows.withColumn("rule", name).withColumn("verdict", verdict).withColumn("suffix", F.substring_index("host", ".", -1))
     by_host = rows.groupBy("suffix", "host").agg(F.count("*").alias("n"))
-    suffixes = by_host.groupBy("suffix").agg(F.sum("n").cast("double").alias("pages"), F.count("*").cast("double").alias("hosts"))
-    rows = rows.join(suffixes, "suffix").drop("suffix")
+    suffixes = cut(by_host.groupBy("suffix").agg(F.sum("n").cast("double").alias("pages"), F.count("*").cast("double").alias("hosts")))
+    if suffixes.count() <= most_broadcast:
+        suffixes = F.broadcast(suffixes)
+        rows = rows.join(suffixes, "suffix").drop("suffix")
+    else:
+        n_pages = suffixes.agg(F.sum("pages").cast("long")).first()[0]
+        rows = left_join_spread(rows, suffixes, "suffix", suffixes.select("suffix", F.col("pages").alias("n")), n_pages).drop("suffix")
     ruled = rows.where("verdict is not null")
     n = ruled.agg(F.approx_count_distinct("url").alias("n")).first().n
     part = lambda seed: F.pmod(F.xxhash64(F.lit(seed), "url"), F.lit(1 << 30))

@@ -79,3 +79,11 @@ def test_unlisted_urls_teach_nothing(spark):
     got = {r.page_id: r.verdict for r in urls.judge(pages, rules).collect()}
     assert sum(got[i] == "block" for i in range(600, 1500)) > 800
     assert sum(got[i] == "block" for i in range(1500, 2400)) < 90
+
+
+def test_order_of_rows_changes_nothing(spark):
+    pages = spark.read.parquet("/root/testdata/sf0.01/pages.parquet")
+    want = sorted(map(tuple, urls.judge(pages, URL_RULES).collect()))
+    again = pages.repartition(7, "html").sortWithinPartitions("url")
+    assert sorted(map(tuple, urls.judge(again, URL_RULES).collect())) == want
+    assert sorted(map(tuple, urls.judge(again, URL_RULES, most_broadcast=0).collect())) == want
