@@ -213,7 +213,10 @@ def judged(docs: DataFrame, labels: DataFrame, **how) -> DataFrame:
 
 
 def good_rows(docs: DataFrame, labels: DataFrame, **how) -> DataFrame:
-    """The rows of docs, all columns, that the rules keep."""
-    stats = cut(docs.select(F.col("doc_id").cast("long").alias("doc_id"), statistics(docs["text"]).alias("s")))
-    rules = learn(_labelled(stats, labels), **how)
-    return docs.where(_let(statistics(docs["text"]), lambda s: verdict(rules, s)))
+    """The rows of docs, all columns, that the rules keep. Nulls, repeats and no rows: as for judged.
+
+    The rows are kept with their statistics in the shared folder, as these cost far more than a copy
+    of the texts and both the learning and the verdict need them."""
+    rows = cut(docs.select(F.struct(*[docs[c] for c in docs.columns]).alias("doc"), docs["doc_id"].cast("long").alias("doc_id"), statistics(docs["text"]).alias("s")))
+    rules = learn(_labelled(rows.select("doc_id", "s"), labels), **how)
+    return rows.where(verdict(rules, F.col("s"))).select("doc.*")
