@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from corpusward.llm import bpe, decontaminate, quality, simhash, substring
 from corpusward.llm.queries import vocabulary
-from corpusward.llm.shared import shared_folder
+from corpusward.llm.shared import remove, shared_folder
 
 
 def quality_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -57,8 +57,14 @@ ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The rows of the last stage. A stage's table goes as soon as the next one's is written."""
     folder, docs = f"{shared_folder(spark)}/pipeline-{uuid.uuid4().hex}", spark.read.parquet(f"{sf_dir}/documents.parquet")
+    last = None
     for k, (name, stage) in enumerate(STAGES):
-        stage(spark, docs, sf_dir).write.parquet(f"{folder}/{k}-{name}")
-        docs = spark.read.parquet(f"{folder}/{k}-{name}")
+        here = f"{folder}/{k}-{name}"
+        stage(spark, docs, sf_dir).write.parquet(here)
+        docs = spark.read.parquet(here)
+        if last:
+            remove(spark, last)
+        last = here
     return docs
