@@ -53,7 +53,10 @@ def _metadata(name: str) -> Column:
     return F.get_json_object("metadata", f"$.{name}")
 
 
-_OWN_KEY = F.col("repo_id").cast("long")
+def _own_key() -> Column:
+    return F.col("repo_id").cast("long")
+
+
 _GIVEN, _HELD_BACK, _TOKEN = "AbCdEfGhIjKlMnOpQrStUvWxYz0123", "changeme-AbCdEfGhIjKlMnOpQrStUvWx", "glpat-AbCdEfGhIjKlMnOpQrStUvWx"
 _MASKED = "v[1:4] || '…' || v[length(v) - 3:length(v)]"
 
@@ -74,7 +77,7 @@ def secret_findings(spark, folder):
     given = F.when(F.col("doc_id") % 3 == 0, _HELD_BACK).otherwise(_GIVEN)
     token = F.when(F.col("doc_id") % 5 == 0, f' auth_token = "{_TOKEN}"').otherwise(" x = 1")
     made = files_of(docs, "doc_id", F.lit("src/a.ts"), lines(F.concat(F.lit('const api_key = "'), key, F.lit('"')), F.concat(F.lit(' password: "'), given, F.lit('"')), token))
-    return secrets.detect(tables_of(made)).findings.select(_OWN_KEY.alias("doc_id"), "line", "severity", "evidence")
+    return secrets.detect(tables_of(made)).findings.select(_own_key().alias("doc_id"), "line", "severity", "evidence")
 
 
 _CRYPTO_SQL = """SELECT p_partkey, 'crypto-md5-sha1' AS rule, 'high' AS severity, 2 AS line, '.createHash(''md5''' AS evidence FROM part WHERE p_size % 2 = 0 AND p_size % 3 = 0
@@ -99,7 +102,7 @@ def _crypto_files(spark, folder) -> DataFrame:
 @query(_CRYPTO_SQL)
 def crypto_findings(spark, folder):
     found = crypto.detect(tables_of(_crypto_files(spark, folder))).findings
-    return found.select(_OWN_KEY.alias("p_partkey"), _metadata("ruleId").alias("rule"), "severity", "line", "evidence")
+    return found.select(_own_key().alias("p_partkey"), _metadata("ruleId").alias("rule"), "severity", "line", "evidence")
 
 
 @query(
@@ -110,7 +113,7 @@ UNION ALL SELECT p_partkey, 'ai-unreviewed', 'skipped', 0, 0 FROM part"""
 def detector_statuses(spark, folder):
     """A scan with two detectors: the second has no provenance to read."""
     made = scan.scan(tables_of(_crypto_files(spark, folder)), scan.select(["insecure-crypto", "ai-unreviewed"]))
-    return made.stats.select(_OWN_KEY.alias("p_partkey"), "detector_id", "status", "findings", "analysed")
+    return made.stats.select(_own_key().alias("p_partkey"), "detector_id", "status", "findings", "analysed")
 
 
 @query(
@@ -126,7 +129,7 @@ def supply_chain_findings(spark, folder):
     dep, proto = F.replace("p_name", F.lit(" "), F.lit("-")), F.when(key % 4 == 0, "git+http").otherwise("git+https")
     said = lines("{", F.concat(F.lit('"scripts": {"'), script, F.lit('": "'), command, F.lit('"},')), F.concat(F.lit('"dependencies": {"'), dep, F.lit('": "'), proto, F.lit("://h/"), key, F.lit('.git"}')), "}")
     made = files_of(table(spark, folder, "part"), "p_partkey", F.lit("package.json"), said)
-    return supply_chain.detect(tables_of(made)).findings.select(_OWN_KEY.alias("p_partkey"), "id", "severity", "line", "evidence")
+    return supply_chain.detect(tables_of(made)).findings.select(_own_key().alias("p_partkey"), "id", "severity", "line", "evidence")
 
 
 @query(
@@ -181,7 +184,7 @@ def _sinks_sql(cases) -> str:
 def _sinks(spark, folder, cases, first: str, path: str) -> DataFrame:
     made = files_of(table(spark, folder, "part"), "p_partkey", F.lit(path), lines(first, one_of(F.col("p_partkey"), *[c[0] for c in cases])))
     found = sinks.detect(tables_of(made)).findings
-    return found.select(_OWN_KEY.alias("p_partkey"), _metadata("kind").alias("kind"), _metadata("ruleId").alias("rule"), "severity", "line", "col")
+    return found.select(_own_key().alias("p_partkey"), _metadata("kind").alias("kind"), _metadata("ruleId").alias("rule"), "severity", "line", "col")
 
 
 @query(_sinks_sql(PYTHON_LINES))
@@ -224,7 +227,7 @@ def unreviewed_findings(spark, folder):
     by_user = _event_ranges(spark, folder).groupBy("user_id").agg(F.collect_list(said).alias("conversations"))
     record = F.to_json(F.struct(F.lit("1").alias("version"), F.array(F.struct(F.lit("src\\a.py").alias("path"), F.col("conversations"))).alias("files")))
     found = ai_unreviewed.detect(tables_of(files_of(by_user, "user_id", F.lit(".agent-trace/t.json"), record))).findings
-    return found.select(_OWN_KEY.alias("user_id"), "severity", "line", "evidence")
+    return found.select(_own_key().alias("user_id"), "severity", "line", "evidence")
 
 
 @query(
@@ -250,7 +253,7 @@ def ghost_findings(spark, folder):
     fixed = F.array(row(F.lit("react"), F.lit(True), F.lit(4000), 10**7), row(F.lit("reakt"), F.lit(False), F.lit(0), 0), row(F.lit("reackt"), F.lit(True), F.lit(100), 10**6))
     registry = supplier.limit(1).select(F.explode(fixed).alias("x")).unionByName(supplier.where(key % 3 != 1).select(row(own, key % 3 != 0, F.lit(3), 5).alias("x"))).select("x.*")
     found = ghost_deps.detect(tables_of(made, registry=registry, now=now)).findings
-    return found.select(_OWN_KEY.alias("s_suppkey"), F.regexp_replace("id", "^ghost-deps:", "").alias("found"), "severity", "line")
+    return found.select(_own_key().alias("s_suppkey"), F.regexp_replace("id", "^ghost-deps:", "").alias("found"), "severity", "line")
 
 
 SPECIFIERS = {
@@ -329,7 +332,7 @@ def changed_issues(spark, folder):
 def file_languages(spark, folder):
     path = F.concat(F.lit("src/x."), one_of(F.col("p_partkey"), "py", "tsx", "JSX", "ts", "js", "mjs", "cjs", "mts", "cts", "md"))
     made = files_of(table(spark, folder, "part"), "p_partkey", path, F.lit("x"))
-    return made.select(_OWN_KEY.alias("p_partkey"), language(F.col("ext")).alias("lang"))
+    return made.select(_own_key().alias("p_partkey"), language(F.col("ext")).alias("lang"))
 
 
 @query(
@@ -352,4 +355,4 @@ def package_reference_rows(spark, folder):
     }
     made = [files_of(supplier, "s_suppkey", F.lit(path), said) for path, said in given.items()]
     refs = package_references(reduce(DataFrame.unionByName, made))
-    return refs.select(_OWN_KEY.alias("s_suppkey"), "ecosystem", F.col("norm").alias("name"), "source", "line", "file")
+    return refs.select(_own_key().alias("s_suppkey"), "ecosystem", F.col("norm").alias("name"), "source", "line", "file")

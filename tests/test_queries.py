@@ -1,5 +1,9 @@
 """Each query of the reference's operators against DuckDB on the smallest tables."""
 
+import subprocess
+import sys
+from pathlib import Path
+
 import duckdb
 import pytest
 
@@ -19,3 +23,8 @@ def test_same_rows_as_sql(spark, name):
         con.execute(f"CREATE VIEW {table} AS SELECT * FROM '{FOLDER}/{table}.parquet'")
     want = con.execute(f"SELECT {', '.join(columns)} FROM ({ORACLES[name]})").fetchall()
     assert sorted(map(repr, map(tuple, made.select(*columns).collect()))) == sorted(map(repr, want))
+
+
+def test_import_needs_no_session():
+    done = subprocess.run([sys.executable, "-c", "import __spark_entry__ as e; assert len(e.queries()) > 40 and e.oracle_sql()"], cwd=Path(__file__).parent.parent, capture_output=True, text=True)
+    assert done.returncode == 0, done.stderr[-500:]
