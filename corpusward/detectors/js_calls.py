@@ -1,11 +1,13 @@
 """Calls, pairs, assignments and attributes of JavaScript and TypeScript sources as rows.
 
 A tolerant scan, not a parser: comments and the insides of strings are blanked, brackets are
-matched on what is left, and a name before a bracket is a call unless a body follows it."""
+matched on what is left, and a name before a bracket is a call unless a body follows it. Patterns
+take what they have matched for good, so that the time taken grows with the length of a source."""
 
 from __future__ import annotations
 
 import re
+from bisect import bisect_left
 from collections.abc import Iterator
 
 import pandas as pd
@@ -15,15 +17,16 @@ from pyspark.sql import functions as F
 ROW = "struct<what:string,name:string,callee:string,line:int,col:int,text:string,kind:string,dynamic:boolean,any_dynamic:boolean,literal:string,first:string,second:string,props:map<string,string>,shell_bound:boolean>"
 _FIELDS = "what name callee line col text kind dynamic any_dynamic literal first second props shell_bound".split()
 _NO_CALL = frozenset("if for while switch catch function return typeof await yield super with of in".split())
-_CALL = re.compile(r"(?<![\w$])((?:[A-Za-z_$][\w$]*\s*\??\.\s*)*)(#?[A-Za-z_$][\w$]*)\s*(?:<[\w\s,.\[\]|]*>)?\s*\(")
+#: A whole chain of names, so that the search goes on behind it; "open" only where it is called.
+_CHAIN = re.compile(r"(?<![\w$])(?P<owner>(?:#?[A-Za-z_$][\w$]*+\s*+\??\.\s*+)*+)(?P<name>#?[A-Za-z_$][\w$]*+)?(?:(?<=[\w$])\s*+(?:<[\w\s,.\[\]|]*+>)?+\s*+(?P<open>\())?+")
 _BEFORE_REGEX = re.compile(r"(?:^|[(,=:\[!&|?{};+\-*%<>~^]|\b(?:return|typeof|case|in|of|delete|void|throw|new))\s*\Z")
 _MODULE = r"[\"'](?:node:)?child_process[\"']"
 _SHELL = frozenset("exec execSync execFile execFileSync spawn spawnSync".split())
-_PATTERNS = [
-    ("pair", re.compile(r"(?P<key>[\"']?(?:rejectUnauthorized|Access-Control-Allow-Origin|access-control-allow-origin)[\"']?)\s*(?P<at>:)\s*(?P<value>false\b|[\"'`]\*[\"'`])")),
-    ("assign", re.compile(r"(?P<key>[\w$.\])]*\.(?:innerHTML|outerHTML)|[\w$.\[\"']*NODE_TLS_REJECT_UNAUTHORIZED[\"'\]]*)\s*(?P<at>=)(?![=>])\s*(?P<value>[^;\n]+)")),
-    ("jsx", re.compile(r"(?P<key>dangerouslySetInnerHTML)\s*(?P<at>=)\s*\{\s*\{(?P<value>.*?)\}\s*\}", re.S)),
-]
+_PAIR = re.compile(r"(?P<key>[\"']?(?:rejectUnauthorized|Access-Control-Allow-Origin|access-control-allow-origin)[\"']?)\s*(?P<at>:)\s*(?P<value>false\b|[\"'`]\*[\"'`])")
+_ASSIGN = re.compile(r"(?P<key>\.(?:innerHTML|outerHTML)|NODE_TLS_REJECT_UNAUTHORIZED[\"'\]]*+)\s*+(?P<at>=)(?![=>])\s*(?P<value>[^;\n]+)")
+_JSX = re.compile(r"(?P<key>dangerouslySetInnerHTML)\s*+(?P<at>=)\s*+(?P<outer>\{)\s*+(?P<inner>\{)")
+#: What belongs to the key of an assignment before the part that tells.
+_OWNER_SIGNS = {".": re.compile(r"[\w$.\])]"), "N": re.compile(r"[\w$.\[\"']")}
 
 
 def _string_end(s: str, i: int) -> int:
@@ -138,7 +141,7 @@ def _value(source: str, masked: str, low: int, high: int, close: dict[int, int])
 def _bindings(source: str) -> tuple[set[str], set[str]]:
     """Local names of child_process functions, and of the module."""
     direct, spaces = set(), set()
-    for p in (rf"import\s*\{{([^}}]+)\}}\s*from\s*{_MODULE}", rf"(?:const|let|var)\s*\{{([^}}]+)\}}\s*=\s*require\(\s*{_MODULE}\s*\)"):
+    for p in (rf"import\s*\{{([^{{}}]+)\}}\s*from\s*{_MODULE}", rf"(?:const|let|var)\s*\{{([^{{}}]+)\}}\s*=\s*require\(\s*{_MODULE}\s*\)"):
         for m in re.finditer(p, source):
             for item in m.group(1).split(","):
                 parts = [x.strip() for x in re.split(r"\s+(?:as|:)\s+", item.strip())]
@@ -170,24 +173,57 @@ def _substitutions(source: str, masked: str) -> Iterator[tuple[int, int]]:
                 i += 1
 
 
+def _last(masked: str, at: int) -> int:
+    """Where what stands before at ends, blanks left out."""
+    while at and masked[at - 1].isspace():
+        at -= 1
+    return at
+
+
+def _named(source: str, masked: str, close: dict[int, int]) -> Iterator[tuple[str, int, int, str, int, int]]:
+    """Pairs, assignments and attributes that matter: what, start, end, key, and where the value stands."""
+    for m in _PAIR.finditer(source):
+        if masked[m.start("at")] == ":" and masked[m.start()] != " ":
+            yield "pair", m.start(), m.end(), m.group("key"), *m.span("value")
+    before = 0
+    for m in _ASSIGN.finditer(source):
+        start, sign = m.start(), _OWNER_SIGNS[m.group("key")[0]]
+        while start > before and sign.match(source[start - 1]):
+            start -= 1
+        before = m.end()
+        if masked[m.start("at")] == "=":
+            yield "assign", start, m.end(), source[start : m.end("key")], *m.span("value")
+    for m in _JSX.finditer(masked):
+        end, value_end = close.get(m.start("outer")), close.get(m.start("inner"))
+        if end is not None and value_end is not None:
+            yield "jsx", m.start(), end + 1, m.group("key"), m.end(), value_end
+
+
 def rows_of(source: str, bindings: tuple[set[str], set[str]] | None = None) -> list[tuple]:
     masked = blanked(source)
     close = brackets(masked)
     direct, spaces = bindings = bindings or _bindings(source)
+    breaks = [m.start() for m in re.finditer("\n", source)]
     out = []
 
     def place(at: int) -> tuple[int, int]:
-        return source.count("\n", 0, at) + 1, at - source.rfind("\n", 0, at)
+        line = bisect_left(breaks, at)
+        return line + 1, at - (breaks[line - 1] if line else -1)
 
-    for m in _CALL.finditer(masked):
-        owner, name, opened = re.sub(r"[\s?]", "", m.group(1)), m.group(2), m.end() - 1
+    for m in _CHAIN.finditer(masked):
+        opened = m.start("open")
         end = close.get(opened)
-        if name in _NO_CALL or end is None or re.search(r"\bfunction\s*\*?\s*\Z", masked[: m.start()][-40:]):
+        if opened < 0 or end is None or not m.group("name"):
+            continue
+        owner, name, start = re.sub(r"[\s?]", "", m.group("owner")), m.group("name"), m.start()
+        if name in _NO_CALL or re.search(r"\bfunction\s*\*?\s*\Z", masked[max(0, start - 40) : start]):
             continue
         if re.match(r"\s*(?::\s*[\w<>\[\]|., ]+)?\{", masked[end + 1 : end + 80]) and not owner:
             continue  # a definition
-        required = masked[: m.start()].rstrip().endswith(".") and re.search(rf"require\(\s*{_MODULE}\s*\)\s*\.\s*\Z", source[max(0, m.start() - 60) : m.start()])
-        callee = owner + name if not masked[: m.start()].rstrip().endswith(".") else "." + owner + name
+        dot = _last(masked, start)
+        of_value = masked.endswith(".", 0, dot) and not masked.endswith("...", 0, dot)  # a member of what is no name
+        required = of_value and re.search(rf"require\(\s*{_MODULE}\s*\)\s*\.\s*\Z", source[max(0, start - 60) : start])
+        callee = "." + owner + name if of_value else owner + name
         args = _pieces(masked, opened + 1, end, close)
         values = [_value(source, masked, a, b, close) for a, b in args]
         props: dict[str, str] = {}
@@ -200,17 +236,12 @@ def rows_of(source: str, bindings: tuple[set[str], set[str]] | None = None) -> l
         bound = bool(required) or (callee in direct if "." not in callee else callee.split(".")[0] in spaces)
         first = values[0] if values else ("", False, "")
         text = [source[a:b].strip() for a, b in args]
-        line, col = place(m.start())
-        out.append(("call", name, callee, line, col, source[m.start() : end + 1][:400], first[0], first[1], any(v[1] for v in values if v[0] != "object"), first[2], text[0] if text else "", text[1] if len(text) > 1 else "", props, bound))
-    for what, pattern in _PATTERNS:
-        for m in pattern.finditer(source):
-            if masked[m.start("at")] != m.group("at") or (what == "pair" and masked[m.start()] == " "):
-                continue
-            value = m.group("value").strip()
-            line, col = place(m.start())
-            low, high = m.span("value")
-            kind, dynamic, said = _value(source, masked, low, high, close) if what == "assign" else ("", False, "")
-            out.append((what, m.group("key").strip("\"'"), "", line, col, m.group()[:400], kind, dynamic, dynamic, said, value, "", {}, False))
+        line, col = place(start)
+        out.append(("call", name, callee, line, col, source[start : end + 1][:400], first[0], first[1], any(v[1] for v in values if v[0] != "object"), first[2], text[0] if text else "", text[1] if len(text) > 1 else "", props, bound))
+    for what, start, end, key, low, high in _named(source, masked, close):
+        line, col = place(start)
+        kind, dynamic, said = _value(source, masked, low, high, close) if what == "assign" else ("", False, "")
+        out.append((what, key.strip("\"'"), "", line, col, source[start:end][:400], kind, dynamic, dynamic, said, source[low:high].strip(), "", {}, False))
     for start, end in _substitutions(source, masked):
         if re.search(r"[(=:]", source[start:end]):
             line, col = place(start)

@@ -1,3 +1,7 @@
+import time
+
+import pytest
+
 from corpusward.detectors.js_calls import blanked, rows_of
 
 
@@ -34,3 +38,17 @@ def test_pairs_assignments_attributes():
 def test_odd_sources():
     for source in ("", "(", "'open", "`${", "a(", "/", "/* x", "}{)(", "x(" * 2000, "a?.b?.(c)"):
         rows_of(source)
+
+
+@pytest.mark.parametrize("source", ["x /*" + "a" * 300_000 + "*/ y", "x" + " " * 300_000 + "y", "a." * 150_000, "a" + ".b" * 150_000 + "(", "f<" + "a" * 300_000, "a.innerHTML" * 30_000, "dangerouslySetInnerHTML={{" * 12_000, "import {" * 40_000, "const {" * 40_000, "NODE_TLS_REJECT_UNAUTHORIZED" * 10_000])
+def test_time_grows_with_the_length(source):
+    began = time.process_time()
+    rows_of(source)
+    assert time.process_time() - began < 3
+
+
+def test_owners_and_whole_values():
+    called = {r[1]: r for r in rows_of("import { exec } from 'child_process'\nthis.#db.query(`x ${y}`)\nlist = [...exec(cmd)]\nf(1).g(2)\n") if r[0] == "call"}
+    assert called["query"][2] == "this.#db.query" and called["exec"][2] == "exec" and called["exec"][-1] and called["g"][2] == ".g"
+    said = [r for r in rows_of("<p dangerouslySetInnerHTML={{ __html: f({ a: { b: 1 }}) }} />") if r[0] == "jsx"]
+    assert [r[10] for r in said] == ["__html: f({ a: { b: 1 }})"]
