@@ -16,8 +16,28 @@ from corpusward.sources.packages import alias_patterns, blind_repos, package_ref
 ID = "ghost-deps"
 # Widely used names, in the order that settles ties. Fixed values.
 POPULAR = {
-    "npm": "react react-dom next vue angular svelte express fastify koa hono lodash underscore axios node-fetch got chalk debug commander yargs dotenv zod joi yup uuid nanoid moment dayjs date-fns rxjs redux zustand mobx webpack vite esbuild typescript ts-node eslint prettier jest vitest mocha chai sinon mongoose prisma sequelize typeorm pg mysql2 redis ioredis socket.io ws jsonwebtoken bcrypt bcryptjs passport cors helmet body-parser multer nodemailer aws-sdk @aws-sdk/client-s3 firebase stripe graphql apollo-server @apollo/client tailwindcss postcss autoprefixer sass styled-components emotion three chart.js d3 cheerio puppeteer playwright sharp fs-extra glob rimraf cross-env concurrently nodemon pm2 winston pino morgan express-validator class-validator reflect-metadata inversify tsyringe".split(),
-    "pypi": "requests httpx urllib3 aiohttp flask django fastapi starlette uvicorn gunicorn numpy pandas scipy scikit-learn matplotlib seaborn pillow opencv-python tensorflow torch transformers openai anthropic langchain pydantic sqlalchemy alembic psycopg2-binary asyncpg redis celery boto3 botocore beautifulsoup4 lxml pyyaml toml click typer rich pytest black ruff mypy poetry pipenv virtualenv python-dotenv cryptography pyjwt passlib bcrypt httpcore anyio tenacity tqdm jinja2 markupsafe werkzeug itsdangerous".split(),
+    "npm": [
+        "react", "react-dom", "next", "vue", "angular", "svelte", "express", "fastify", "koa", "hono", "lodash",
+        "underscore", "axios", "node-fetch", "got", "chalk", "debug", "commander", "yargs", "dotenv", "zod", "joi",
+        "yup", "uuid", "nanoid", "moment", "dayjs", "date-fns", "rxjs", "redux", "zustand", "mobx", "webpack",
+        "vite", "esbuild", "typescript", "ts-node", "eslint", "prettier", "jest", "vitest", "mocha", "chai",
+        "sinon", "mongoose", "prisma", "sequelize", "typeorm", "pg", "mysql2", "redis", "ioredis", "socket.io",
+        "ws", "jsonwebtoken", "bcrypt", "bcryptjs", "passport", "cors", "helmet", "body-parser", "multer",
+        "nodemailer", "aws-sdk", "@aws-sdk/client-s3", "firebase", "stripe", "graphql", "apollo-server",
+        "@apollo/client", "tailwindcss", "postcss", "autoprefixer", "sass", "styled-components", "emotion",
+        "three", "chart.js", "d3", "cheerio", "puppeteer", "playwright", "sharp", "fs-extra", "glob", "rimraf",
+        "cross-env", "concurrently", "nodemon", "pm2", "winston", "pino", "morgan", "express-validator",
+        "class-validator", "reflect-metadata", "inversify", "tsyringe",
+    ],
+    "pypi": [
+        "requests", "httpx", "urllib3", "aiohttp", "flask", "django", "fastapi", "starlette", "uvicorn",
+        "gunicorn", "numpy", "pandas", "scipy", "scikit-learn", "matplotlib", "seaborn", "pillow", "opencv-python",
+        "tensorflow", "torch", "transformers", "openai", "anthropic", "langchain", "pydantic", "sqlalchemy",
+        "alembic", "psycopg2-binary", "asyncpg", "redis", "celery", "boto3", "botocore", "beautifulsoup4", "lxml",
+        "pyyaml", "toml", "click", "typer", "rich", "pytest", "black", "ruff", "mypy", "poetry", "pipenv",
+        "virtualenv", "python-dotenv", "cryptography", "pyjwt", "passlib", "bcrypt", "httpcore", "anyio",
+        "tenacity", "tqdm", "jinja2", "markupsafe", "werkzeug", "itsdangerous",
+    ],
 }
 
 

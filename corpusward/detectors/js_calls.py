@@ -15,13 +15,19 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 ROW = "struct<what:string,name:string,callee:string,line:int,col:int,text:string,kind:string,dynamic:boolean,any_dynamic:boolean,literal:string,first:string,second:string,props:map<string,string>,shell_bound:boolean>"
-_FIELDS = "what name callee line col text kind dynamic any_dynamic literal first second props shell_bound".split()
-_NO_CALL = frozenset("if for while switch catch function return typeof await yield super with of in".split())
+_FIELDS = [
+    "what", "name", "callee", "line", "col", "text", "kind", "dynamic", "any_dynamic", "literal", "first",
+    "second", "props", "shell_bound",
+]
+_NO_CALL = frozenset([
+    "if", "for", "while", "switch", "catch", "function", "return", "typeof", "await", "yield", "super", "with",
+    "of", "in",
+])
 #: A whole chain of names, so that the search goes on behind it; "open" only where it is called.
 _CHAIN = re.compile(r"(?<![\w$])(?P<owner>(?:#?[A-Za-z_$][\w$]*+\s*+\??\.\s*+)*+)(?P<name>#?[A-Za-z_$][\w$]*+)?(?:(?<=[\w$])\s*+(?:<[\w\s,.\[\]|]*+>)?+\s*+(?P<open>\())?+")
 _BEFORE_REGEX = re.compile(r"(?:^|[(,=:\[!&|?{};+\-*%<>~^]|\b(?:return|typeof|case|in|of|delete|void|throw|new))\s*\Z")
 _MODULE = r"[\"'](?:node:)?child_process[\"']"
-_SHELL = frozenset("exec execSync execFile execFileSync spawn spawnSync".split())
+_SHELL = frozenset(["exec", "execSync", "execFile", "execFileSync", "spawn", "spawnSync"])
 _PAIR = re.compile(r"(?P<key>[\"']?(?:rejectUnauthorized|Access-Control-Allow-Origin|access-control-allow-origin)[\"']?)\s*(?P<at>:)\s*(?P<value>false\b|[\"'`]\*[\"'`])")
 _ASSIGN = re.compile(r"(?P<key>\.(?:innerHTML|outerHTML)|NODE_TLS_REJECT_UNAUTHORIZED[\"'\]]*+)\s*+(?P<at>=)(?![=>])\s*(?P<value>[^;\n]+)")
 _JSX = re.compile(r"(?P<key>dangerouslySetInnerHTML)\s*+(?P<at>=)\s*+(?P<outer>\{)\s*+(?P<inner>\{)")

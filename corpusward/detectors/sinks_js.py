@@ -7,10 +7,10 @@ from pyspark.sql import functions as F
 
 # Fixed values.
 SQL_VERB = r"(?i)^\s*(?:SELECT|INSERT|UPDATE|DELETE|WITH|REPLACE|MERGE)\b"
-SQL_RUNNERS = "query querySync execute executeSync raw sequelize".split()
+SQL_RUNNERS = ["query", "querySync", "execute", "executeSync", "raw", "sequelize"]
 UNSAFE_SQL = ["$queryRawUnsafe", "$executeRawUnsafe"]
-VM_RUNNERS = "runInThisContext runInNewContext runInContext compileFunction".split()
-SHELL_RUNNERS = "exec execSync execFile execFileSync spawn spawnSync".split()
+VM_RUNNERS = ["runInThisContext", "runInNewContext", "runInContext", "compileFunction"]
+SHELL_RUNNERS = ["exec", "execSync", "execFile", "execFileSync", "spawn", "spawnSync"]
 ORIGIN_HEADER = ["Access-Control-Allow-Origin", "access-control-allow-origin"]
 _STAR, _PLAIN = r"^[\"'`]\*[\"'`]$", r"^(?:\"(?:[^\"\\]|\\.)*\"|'(?:[^'\\]|\\.)*'|`(?:[^`\\]|\\.)*`)$"
 

@@ -6,8 +6,8 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 # Fixed values.
-SHELL_RUNNERS = "run call Popen check_output check_call getoutput getstatusoutput".split()
-SQL_RUNNERS = "execute executemany executescript".split()
+SHELL_RUNNERS = ["run", "call", "Popen", "check_output", "check_call", "getoutput", "getstatusoutput"]
+SQL_RUNNERS = ["execute", "executemany", "executescript"]
 SQL_VERB = r"(?i)^\s*(?:SELECT|INSERT|UPDATE|DELETE|WITH|REPLACE|MERGE)\b"
 
 

@@ -18,8 +18,22 @@ def distance_limit(name: Column) -> Column:
 
 
 # Modules of the JavaScript runtimes and of Python's library.
-NODE_MODULES = "assert async_hooks buffer child_process cluster console constants crypto dgram diagnostics_channel dns domain events fs http http2 https inspector module net os path perf_hooks process punycode querystring readline repl stream string_decoder timers tls trace_events tty url util v8 vm wasi worker_threads zlib fs/promises dns/promises stream/promises timers/promises readline/promises deno".split()
-PYTHON_MODULES = "abc argparse array asyncio base64 bisect builtins calendar collections contextlib copy csv ctypes dataclasses datetime decimal enum functools gc getpass glob hashlib heapq hmac html http importlib inspect io itertools json logging math multiprocessing operator os pathlib pickle platform pprint queue random re secrets shutil signal socket sqlite3 ssl statistics string struct subprocess sys tempfile threading time timeit traceback typing unittest urllib uuid warnings weakref xml zipfile zlib".split()
+NODE_MODULES = [
+    "assert", "async_hooks", "buffer", "child_process", "cluster", "console", "constants", "crypto", "dgram",
+    "diagnostics_channel", "dns", "domain", "events", "fs", "http", "http2", "https", "inspector", "module", "net",
+    "os", "path", "perf_hooks", "process", "punycode", "querystring", "readline", "repl", "stream",
+    "string_decoder", "timers", "tls", "trace_events", "tty", "url", "util", "v8", "vm", "wasi", "worker_threads",
+    "zlib", "fs/promises", "dns/promises", "stream/promises", "timers/promises", "readline/promises", "deno",
+]
+PYTHON_MODULES = [
+    "abc", "argparse", "array", "asyncio", "base64", "bisect", "builtins", "calendar", "collections", "contextlib",
+    "copy", "csv", "ctypes", "dataclasses", "datetime", "decimal", "enum", "functools", "gc", "getpass", "glob",
+    "hashlib", "heapq", "hmac", "html", "http", "importlib", "inspect", "io", "itertools", "json", "logging",
+    "math", "multiprocessing", "operator", "os", "pathlib", "pickle", "platform", "pprint", "queue", "random",
+    "re", "secrets", "shutil", "signal", "socket", "sqlite3", "ssl", "statistics", "string", "struct",
+    "subprocess", "sys", "tempfile", "threading", "time", "timeit", "traceback", "typing", "unittest", "urllib",
+    "uuid", "warnings", "weakref", "xml", "zipfile", "zlib",
+]
 
 
 def is_local_specifier(spec: Column) -> Column:

@@ -251,6 +251,17 @@ def token_entropy(spark, folder):
     return rows.select("doc_id", F.round(text.shannon_entropy(F.col("v")), 6).alias("entropy"), text.masked(F.col("v")).alias("masked"))
 
 
+@query(
+    f"""WITH t AS (SELECT doc_id, unnest(regexp_extract_all(text, '{_TOKEN}', 1)) AS v FROM documents), m AS (SELECT doc_id, v, count(*) AS times FROM t GROUP BY ALL),
+c AS (SELECT doc_id, v, times, unnest(string_split(v, '')) AS ch FROM m), n AS (SELECT doc_id, v, times, ch, count(*) / 40.0 AS p FROM c GROUP BY ALL)
+SELECT doc_id, round(-sum(p * log2(p)), 6) AS entropy, v[1:4] || '…' || v[37:40] AS masked, times FROM n GROUP BY doc_id, v, times"""
+)
+def every_token_entropy(spark, folder):
+    """As token_entropy, of every token of a text and not only of its first."""
+    docs = table(spark, folder, "documents").where(F.col("text").rlike(_TOKEN))
+    rows = docs.select("doc_id", F.explode(F.regexp_extract_all("text", F.lit(_TOKEN), F.lit(1))).alias("v")).groupBy("doc_id", "v").agg(F.count("*").alias("times"))
+    return rows.select("doc_id", F.round(text.shannon_entropy(F.col("v")), 6).alias("entropy"), text.masked(F.col("v")).alias("masked"), "times")
+
 @query(
     """WITH l AS (SELECT doc_id, unnest(string_split(text, chr(10))) AS s, unnest(range(1, len(string_split(text, chr(10))) + 1)) AS line FROM documents),
 m AS (SELECT doc_id, line, unnest(regexp_extract_all(s, 'Released under the|All rights reserved')) AS matched FROM l)

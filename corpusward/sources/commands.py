@@ -23,7 +23,12 @@ DOC_NAMES = [".rules", ".windsurfrules", ".clinerules", ".aiderrules", ".agentru
 LONGEST_LINE, LONGEST_COMMAND, LONGEST_DOC = 500, 120, 512 * 1024
 #: Words that stand in for a package's name. Fixed values.
 PLACEHOLDERS = set(
-    "package package-name packagename pkg pkg-name name module module-name library lib dependency dependencies deps dep something anything yourpackage yourpackagename mypackage some-package any-package the-package new-package other-package package1 package2".split()
+    [
+        "package", "package-name", "packagename", "pkg", "pkg-name", "name", "module", "module-name", "library",
+        "lib", "dependency", "dependencies", "deps", "dep", "something", "anything", "yourpackage",
+        "yourpackagename", "mypackage", "some-package", "any-package", "the-package", "new-package",
+        "other-package", "package1", "package2",
+    ]
 )
 FILE_ENDINGS = (".tgz", ".tar.gz", ".zip", ".whl", ".git", ".txt", ".json", ".toml", ".lock", ".yaml", ".yml")
 NPM_NAME = re.compile(r"(?:@[a-z0-9][a-z0-9._-]*/)?[a-z0-9][a-z0-9._-]*", re.I)

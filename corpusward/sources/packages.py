@@ -21,14 +21,36 @@ MANIFEST_SECTIONS = ["dependencies", "devDependencies", "optionalDependencies",
 JS_IMPORT = r"(?:import\s+(?:[\s\S]*?\s+from\s+)?|export\s+[\s\S]*?\s+from\s+|require\s*\(\s*|import\s*\(\s*)['\"][^'\"]+['\"]"
 PY_FROM, PY_IMPORT = r"^\s*from\s+([A-Za-z_][\w.]*)\s+import", r"^\s*import\s+([A-Za-z_][\w.]*(?:\s*,\s*[A-Za-z_][\w.]*)*)"
 #: Distributions of imports that are named otherwise. Fixed values.
-DISTRIBUTIONS = dict(
-    x.split("=")
-    for x in "attr=attrs bs4=beautifulsoup4 Bio=biopython Crypto=pycryptodome Cryptodome=pycryptodomex cairo=pycairo concurrent_log_handler=concurrent-log-handler confluent_kafka=confluent-kafka cpuinfo=py-cpuinfo cv2=opencv-python dateutil=python-dateutil discord=discord.py dns=dnspython docx=python-docx dotenv=python-dotenv fitz=PyMuPDF flask_cors=Flask-Cors flask_jwt_extended=Flask-JWT-Extended flask_login=Flask-Login flask_migrate=Flask-Migrate flask_sqlalchemy=Flask-SQLAlchemy git=GitPython github=PyGithub gitlab=python-gitlab gi=PyGObject grpc=grpcio grpc_tools=grpcio-tools IPython=ipython jose=python-jose jwt=PyJWT kafka=kafka-python magic=python-magic MySQLdb=mysqlclient mpl_toolkits=matplotlib multipart=python-multipart nacl=PyNaCl OpenGL=PyOpenGL OpenSSL=pyOpenSSL PIL=Pillow pkg_resources=setuptools pptx=python-pptx psycopg2=psycopg2-binary pythonjsonlogger=python-json-logger requests_toolbelt=requests-toolbelt serial=pyserial skimage=scikit-image sklearn=scikit-learn slack_sdk=slack-sdk slugify=python-slugify socks=PySocks telegram=python-telegram-bot usb=pyusb win32api=pywin32 win32com=pywin32 win32con=pywin32 win32file=pywin32 wx=wxPython yaml=PyYAML zoneinfo=backports.zoneinfo".split()
-)
+DISTRIBUTIONS = {
+    "attr": "attrs", "bs4": "beautifulsoup4", "Bio": "biopython", "Crypto": "pycryptodome",
+    "Cryptodome": "pycryptodomex", "cairo": "pycairo", "concurrent_log_handler": "concurrent-log-handler",
+    "confluent_kafka": "confluent-kafka", "cpuinfo": "py-cpuinfo", "cv2": "opencv-python",
+    "dateutil": "python-dateutil", "discord": "discord.py", "dns": "dnspython", "docx": "python-docx",
+    "dotenv": "python-dotenv", "fitz": "PyMuPDF", "flask_cors": "Flask-Cors",
+    "flask_jwt_extended": "Flask-JWT-Extended", "flask_login": "Flask-Login", "flask_migrate": "Flask-Migrate",
+    "flask_sqlalchemy": "Flask-SQLAlchemy", "git": "GitPython", "github": "PyGithub", "gitlab": "python-gitlab",
+    "gi": "PyGObject", "grpc": "grpcio", "grpc_tools": "grpcio-tools", "IPython": "ipython", "jose": "python-jose",
+    "jwt": "PyJWT", "kafka": "kafka-python", "magic": "python-magic", "MySQLdb": "mysqlclient",
+    "mpl_toolkits": "matplotlib", "multipart": "python-multipart", "nacl": "PyNaCl", "OpenGL": "PyOpenGL",
+    "OpenSSL": "pyOpenSSL", "PIL": "Pillow", "pkg_resources": "setuptools", "pptx": "python-pptx",
+    "psycopg2": "psycopg2-binary", "pythonjsonlogger": "python-json-logger",
+    "requests_toolbelt": "requests-toolbelt", "serial": "pyserial", "skimage": "scikit-image",
+    "sklearn": "scikit-learn", "slack_sdk": "slack-sdk", "slugify": "python-slugify", "socks": "PySocks",
+    "telegram": "python-telegram-bot", "usb": "pyusb", "win32api": "pywin32", "win32com": "pywin32",
+    "win32con": "pywin32", "win32file": "pywin32", "wx": "wxPython", "yaml": "PyYAML",
+    "zoneinfo": "backports.zoneinfo",
+}
 #: Import roots that many distributions share. Fixed values.
-SHARED_ROOTS = "azure backports google jaraco mypy_extensions paste pkgutil repoze ruamel sphinxcontrib zc zope".split()
+SHARED_ROOTS = [
+    "azure", "backports", "google", "jaraco", "mypy_extensions", "paste", "pkgutil", "repoze", "ruamel",
+    "sphinxcontrib", "zc", "zope",
+]
 #: Bundler configurations whose aliases aren't evaluated. Fixed values.
-BUNDLERS = "vite.config.ts vite.config.js vite.config.mjs vite.config.cjs vite.config.mts webpack.config.js webpack.config.ts webpack.config.mjs webpack.config.cjs rspack.config.js rspack.config.ts rollup.config.js rollup.config.ts rollup.config.mjs".split()
+BUNDLERS = [
+    "vite.config.ts", "vite.config.js", "vite.config.mjs", "vite.config.cjs", "vite.config.mts",
+    "webpack.config.js", "webpack.config.ts", "webpack.config.mjs", "webpack.config.cjs", "rspack.config.js",
+    "rspack.config.ts", "rollup.config.js", "rollup.config.ts", "rollup.config.mjs",
+]
 ALIASES = r"resolve\s*:\s*\{[\s\S]{0,400}?alias\s*:|alias\s*:\s*\{|alias\s*:\s*\[|\.alias\s*="
 
 _NAME = r"^([A-Za-z0-9][A-Za-z0-9._-]*)"

@@ -1,7 +1,8 @@
 """Source trees as a table: one row for each file of each repository.
 
 Spark's own file sources leave out names that begin with . or _, which are the ones that matter
-here; so this is a data source of its own. A repository's top-level entries are dealt to a few partitions.
+here; so this is a data source of its own. A few repositories are cut into shares of their top-level
+entries, many are taken whole, and partitions get several each; executors do all of the listing.
 A row says which of the two walks reaches the file: the text walk (configuration and sources of
 bounded size) or the package walk (manifests, imports, docs). Contents are only read on request.
 """
@@ -16,16 +17,25 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql.datasource import DataSource, DataSourceReader, InputPartition
 
 # What the walks leave out.
-PACKAGE_SKIPPED = frozenset("node_modules .git dist build out .next .nuxt coverage __pycache__ .venv venv .tox".split())
+PACKAGE_SKIPPED = frozenset([
+    "node_modules", ".git", "dist", "build", "out", ".next", ".nuxt", "coverage", "__pycache__", ".venv", "venv",
+    ".tox",
+])
 TEXT_SKIPPED = PACKAGE_SKIPPED | {".cache", "vendor"}
 TEXT_DOT_FOLDERS = frozenset((".github", ".vscode", ".idea"))
 #: Where provenance records stand; listed apart from both walks.
 TRACES = ".agent-trace"
-BINARY_ENDINGS = frozenset(".png .jpg .jpeg .gif .webp .ico .svg .woff .woff2 .ttf .eot .mp3 .mp4 .zip .gz .tar .7z .pdf .wasm .map .lock .pyc .class .o .so .dll .exe".split())
-LOCK_FILES = frozenset("package-lock.json yarn.lock pnpm-lock.yaml bun.lock bun.lockb Cargo.lock poetry.lock composer.lock".split())
+BINARY_ENDINGS = frozenset([
+    ".png", ".jpg", ".jpeg", ".gif", ".webp", ".ico", ".svg", ".woff", ".woff2", ".ttf", ".eot", ".mp3", ".mp4",
+    ".zip", ".gz", ".tar", ".7z", ".pdf", ".wasm", ".map", ".lock", ".pyc", ".class", ".o", ".so", ".dll", ".exe",
+])
+LOCK_FILES = frozenset([
+    "package-lock.json", "yarn.lock", "pnpm-lock.yaml", "bun.lock", "bun.lockb", "Cargo.lock", "poetry.lock",
+    "composer.lock",
+])
 LARGEST_TEXT = 512 * 1024
-#: Partitions of a repository at most.
-PARTS = 4
+#: Shares of a repository at most, and partitions of all.
+SHARES, PARTITIONS = 4, 2048
 
 SCHEMA = "repo_id string, path string, basename string, ext string, size long, content binary, in_text_walk boolean, in_package_walk boolean, issue_code string, issue_message string"
 
@@ -36,10 +46,10 @@ def _extension(name: str) -> str:
 
 
 class _Part(InputPartition):
-    """Some top-level entries of a repository; None if its folder can't be listed."""
+    """Shares of repositories: id, folder, number of the share, shares of that repository."""
 
-    def __init__(self, repo: str, root: str, entries: list[str] | None):
-        self.repo, self.root, self.entries = repo, root, entries
+    def __init__(self, shares: list[tuple[str, str, int, int]]):
+        self.shares = shares
 
 
 class _Reader(DataSourceReader):
@@ -47,25 +57,24 @@ class _Reader(DataSourceReader):
         self.repos = json.loads(options["repos"])
         self.with_content = options.get("content", "true").lower() == "true"
         self.largest = int(options.get("largest", LARGEST_TEXT))
+        self.shares = max(1, int(options.get("shares", SHARES)))
 
     def partitions(self):
-        parts = []
-        for repo, root in self.repos.items():
+        of = max(1, min(self.shares, PARTITIONS // max(1, len(self.repos))))
+        shares = [(repo, root, k, of) for repo, root in self.repos.items() for k in range(of)]
+        return [_Part(shares[k::PARTITIONS]) for k in range(min(PARTITIONS, len(shares)))] or [_Part([])]
+
+    def read(self, part):
+        for repo, root, share, of in part.shares:
             try:
                 entries = sorted(os.listdir(root))
             except OSError:
-                parts.append(_Part(repo, root, None))
+                if share == 0:
+                    for walk in ("text", "package"):
+                        yield self._issue(repo, ".", walk, True)
                 continue
-            n = min(PARTS, len(entries))
-            parts += [_Part(repo, root, entries[k::n]) for k in range(n)]
-        return parts or [_Part("", "", [])]
-
-    def read(self, part):
-        if part.entries is None:
-            for walk in ("text", "package"):
-                yield self._issue(part.repo, ".", walk, True)
-        for entry in part.entries or []:
-            yield from self._visit(part.repo, part.root, entry, True, True)
+            for entry in entries[share::of]:
+                yield from self._visit(repo, root, entry, True, True)
 
     def _issue(self, repo: str, path: str, walk: str, folder: bool):
         code = f"{'text' if walk == 'text' else 'ghost-deps'}-walk-{'directory' if folder else 'stat'}-failed"
@@ -78,11 +87,19 @@ class _Reader(DataSourceReader):
         return (repo, path, path.rpartition("/")[2], "", None, None, walk == "text", walk == "package", code, f'Could not read "{path}".')
 
     def _traces(self, repo: str, root: str) -> Iterator[tuple]:
-        for name in sorted(os.listdir(os.path.join(root, TRACES))):
+        """Provenance records; those that can't be read are left out without an issue."""
+        try:
+            names = sorted(os.listdir(os.path.join(root, TRACES)))
+        except OSError:
+            return
+        for name in names:
             full = os.path.join(root, TRACES, name)
-            if name.endswith((".json", ".jsonl")) and os.path.isfile(full):
-                with open(full, "rb") as f:
-                    content = f.read()
+            if name.endswith((".json", ".jsonl")) and os.path.isfile(full) and not os.path.islink(full):
+                try:
+                    with open(full, "rb") as f:
+                        content = f.read()
+                except OSError:
+                    continue
                 yield (repo, f"{TRACES}/{name}", name, _extension(name), len(content), content, False, False, None, None)
 
     def _visit(self, repo: str, root: str, path: str, text: bool, package: bool) -> Iterator[tuple]:
@@ -127,7 +144,8 @@ class _Reader(DataSourceReader):
 
 class SourceTree(DataSource):
     """Option repos: a JSON object of repository ids and folders that all executors see.
-    Option content: false for a listing without contents. Option largest: bytes of a file in the text walk."""
+    Option content: false for a listing without contents. Option largest: bytes of a file in the text walk.
+    Option shares: how many tasks a repository's top-level entries are dealt to; more for a large one."""
 
     @classmethod
     def name(cls):

@@ -5,6 +5,7 @@ import subprocess
 import pytest
 
 from corpusward.__main__ import main, parser, repo_folders
+from corpusward.sources import tree
 from corpusward.streaming.files import file_stream, findings_stream
 
 
@@ -73,3 +74,24 @@ def test_two_repositories_of_one_name(spark, tmp_path, capsys):
     assert main([*both, "--changed", "HEAD"]) == 1
     assert {(r.repo_id, r.detector_id, r.file) for r in spark.read.parquet(str(out)).collect()} == {("app-2", "insecure-crypto", "old.js")}
     assert main([*both, "--changed", "nothing"]) == 2 and "Cannot compare" in capsys.readouterr().err
+
+
+@pytest.mark.parametrize("partitions", [1, 5, 2048])
+def test_shares_of_trees(tmp_path, monkeypatch, partitions):
+    """However repositories are cut and dealt, each file comes once."""
+    want = set()
+    for repo in ("one", "two", "none"):
+        for path in ("a.py", "b/c.js", "b/.hidden/d.js", ".env", ".agent-trace/t.jsonl", ".github/w.yml", "e/f/g.ts")[: 0 if repo == "none" else 7]:
+            (tmp_path / repo / path).parent.mkdir(parents=True, exist_ok=True)
+            (tmp_path / repo / path).write_text("x = 1")
+            want |= {(repo, path)} if "hidden" not in path else set()
+    (tmp_path / "one/.agent-trace/link.json").symlink_to(tmp_path / "one/a.py")
+    (tmp_path / "none").mkdir(exist_ok=True)
+    monkeypatch.setattr(tree, "PARTITIONS", partitions)
+    repos = {r: str(tmp_path / r) for r in ("one", "two", "none", "missing")}
+    for shares in ("1", "3", "100"):
+        reader = tree.SourceTree({"repos": json.dumps(repos), "shares": shares}).reader(None)
+        parts = reader.partitions()
+        rows = [r for p in parts for r in reader.read(p)]
+        assert len(parts) <= partitions and sorted((r[0], r[1]) for r in rows if r[8] is None) == sorted(want)
+        assert [r[0] for r in rows if r[8]] == ["missing"] * 2
