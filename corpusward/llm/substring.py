@@ -1,8 +1,8 @@
 """Removal of token windows that an earlier document has, by Rabin-Karp hashes.
 
 Documents are dealt into groups by ranges of doc_id, of some megabytes of text each, in doc_id
-order (rank). A group sends the sorted set of its window hashes, cut by leading bits into buckets. A
-bucket finds, for every hash, the first rank that has it, and tells the groups of later ones. A
+order (rank). A group sends the sorted set of its window hashes, cut into buckets by the leading bits
+of a second hash. A bucket finds, for every hash, the first rank that has it, and tells the groups of later ones. A
 group then knows each of its windows that an earlier group has, and sees repeats among its own
 documents itself. So one hash for each window and group crosses the network, as packed sorted
 differences, and a passage in every document costs one hash in each group, not a pair of rows
@@ -11,8 +11,9 @@ for each pair of documents.
 The driver only plans some thousand ranges; each is cut into groups evenly, by arithmetic, whatever
 the size of the input. Rows that share one doc_id have one rank, and may be dealt to many groups.
 
-Hashes have 64 bits: among n different windows the chance of any false repeat is under
-n * n / 2**65, some 1 in 10**4 for a gigabyte of text.
+Windows of different groups are one only if 64 bits of one hash and the bucket agree. Among n different
+windows in 2**b buckets n * n / 2**(65 + b) false repeats are to be expected, 10**-4 for 30 GB of text;
+within a group of n windows, of which it knows k from others, n * (n / 2 + k) / 2**64.
 """
 
 from __future__ import annotations
@@ -26,7 +27,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from corpusward.llm.text import VISIBLE, covered, find_words, hash_words, runs, window_hashes, window_rows
+from corpusward.llm.text import OTHER_RADIX, VISIBLE, covered, find_words, hash_words, runs, window_hashes, window_rows
 
 _BYTES_A_WORD = 6
 #: Ranges of doc_id that the driver plans, at most.
@@ -46,12 +47,15 @@ def unpacked(blob: bytes) -> np.ndarray:
     return np.cumsum(np.ascontiguousarray(planes.T).view("<u8").ravel(), dtype=np.uint64)
 
 
-def _windows(texts, width):
-    """(rows of the column, word places in the run, hashes) of the windows of each run of rows."""
+def _windows(texts, width, bits=0):
+    """(rows of the column, word places in the run, buckets, hashes) of the windows of each run of rows.
+    Without bits there are no buckets."""
     for low, high, data, offsets in runs(texts):
         starts, ends, first = find_words(data, offsets, VISIBLE)
         places, rows = window_rows(first, width, len(starts))
-        yield low, high, data, offsets, first, places, rows, window_hashes(hash_words(data, starts, ends), width)[places]
+        words = hash_words(data, starts, ends)
+        bucket = (window_hashes(words, width, OTHER_RADIX)[places] >> np.uint64(64 - bits)).astype(np.uint32) if bits else None
+        yield low, high, data, offsets, first, places, rows, bucket, window_hashes(words, width)[places]
 
 
 _SENT = pa.schema([("bucket", pa.int32()), ("g", pa.int64()), ("rank", pa.int64()), ("hashes", pa.binary())])
@@ -62,8 +66,18 @@ def _send(table: pa.Table, width: int, bits: int) -> pa.Table:
     group = table.column("g")[0].as_py() if len(table) else -1
     if group < 0:
         return _SENT.empty_table()
-    h = np.unique(np.concatenate([np.empty(0, np.uint64), *(x[-1] for x in _windows(table.column("text"), width))]))
-    bucket = (h >> np.uint64(64 - bits)).astype(np.int64) if bits else np.zeros(len(h), np.int64)
+    found = [x[-2:] for x in _windows(table.column("text"), width, bits)]
+    h = np.concatenate([np.empty(0, np.uint64), *(x[1] for x in found)])
+    if bits:
+        bucket = np.concatenate([np.empty(0, np.uint32), *(x[0] for x in found)])
+        by = np.lexsort((h, bucket))
+        h, bucket = h[by], bucket[by]
+        first = np.ones(len(h), bool)
+        first[1:] = (h[1:] != h[:-1]) | (bucket[1:] != bucket[:-1])
+        h, bucket = h[first], bucket[first]
+    else:
+        h = np.unique(h)
+        bucket = np.zeros(len(h), np.uint32)
     some, at = np.unique(bucket, return_index=True)
     blobs = [packed(x) for x in np.split(h, at[1:])] if len(h) else []
     rank = table.column("rank")[0].as_py()
@@ -117,7 +131,7 @@ def _drop(table: pa.Table, told: pa.Table, width: int, whole: bool) -> pa.Table:
         bad[order] |= own[order] > least
     n_words, n_removed, kept, spans, done = [], [], [], [], 0
     there = table.column("text").is_valid().to_pylist()
-    for low, high, data, offsets, first, places, rows, hashes in found:
+    for low, high, data, offsets, first, places, rows, _, hashes in found:
         gone = covered(int(first[-1]), places[bad[done : done + len(hashes)]], width)
         done += len(hashes)
         raw = data.tobytes()
@@ -190,7 +204,7 @@ def grouped(source: DataFrame, group_bytes: int, size: int, n: int) -> DataFrame
 
 
 def _bucket_bits(size: int, group_bytes: int) -> int:
-    """Leading bits of hashes that make a bucket: buckets of about _BUCKET hashes, but of so many bits
+    """Leading bits of the second hash that make a bucket: buckets of about _BUCKET hashes, but of so many bits
     at most that a group still sends _LEAST_PACKED hashes to each on the average."""
     wanted = math.ceil(math.log2(max(1, size / _BYTES_A_WORD / _BUCKET)))
     return max(0, min(wanted, math.floor(math.log2(max(1, group_bytes / _BYTES_A_WORD / _LEAST_PACKED)))))

@@ -107,17 +107,18 @@ def hash_words(data: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.nda
     return h
 
 
-_RADIX = _U(0xA0761D6478BD642F)
+#: Odd radices of two hashes that know nothing of each other.
+RADIX, OTHER_RADIX = _U(0xA0761D6478BD642F), _U(0xE7037ED1A0B428DB)
 
 
-def window_hashes(words: np.ndarray, width: int) -> np.ndarray:
+def window_hashes(words: np.ndarray, width: int, radix: np.uint64 = RADIX) -> np.ndarray:
     """Rabin-Karp hashes, modulo 2**64 in an odd radix, of each `width` consecutive word hashes."""
     n = len(words) - width + 1
     if n <= 0:
         return np.empty(0, np.uint64)
     h = words[:n].copy()
     for k in range(1, width):
-        h *= _RADIX
+        h *= radix
         h += words[k : n + k]
     return mixed(h)
 

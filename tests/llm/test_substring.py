@@ -88,3 +88,38 @@ def test_one_doc_id_in_many_groups(spark):
     docs = spark.createDataFrame(rows, "doc_id long, text string")
     got = substring.without_repeats(docs, group_bytes=300)
     assert sorted(((r.doc.doc_id, r.n_words, r.n_removed, r.kept) for r in got.collect()), key=str) == brute(rows, 13)
+
+
+def test_equal_hashes_of_different_windows(spark, monkeypatch):
+    """Windows whose first hashes agree are told apart by the second one, in different groups."""
+    import numpy as np
+    import pyarrow as pa
+    import pyarrow.compute as pc
+
+    real = substring.window_hashes
+    monkeypatch.setattr(substring, "window_hashes", lambda words, width, *radix: real(words, width, *radix) if radix else np.ones(max(0, len(words) - width + 1), np.uint64))
+    rng = random.Random(5)
+    texts = [" ".join("w%d" % rng.randrange(10**6) for _ in range(13)) for _ in range(8)]
+    sent = [substring._send(pa.table({"g": [g], "rank": [g], "text": [texts[g]]}), 13, 30) for g in range(8)]
+    sent.append(substring._send(pa.table({"g": [8], "rank": [8], "text": [texts[3]]}), 13, 30))
+    rows = pa.concat_tables(sent)
+    buckets = rows.column("bucket").to_pylist()
+    assert len(buckets) == 9 and len(set(buckets)) == 8
+    told = [substring._tell(rows.filter(pc.equal(rows.column("bucket"), b))) for b in set(buckets)]
+    assert [g for t in told for g in t.column("g").to_pylist()] == [8]
+
+
+def test_send_gives_each_window_once():
+    import numpy as np
+    import pyarrow as pa
+
+    rng = random.Random(6)
+    text = " ".join(rng.choices(["a", "b", "c"], k=20_000))
+    rows = pa.table({"g": [4, 4], "rank": [4, 4], "text": [text, text[:1000]]})
+    words = text.split()
+    windows = {tuple(words[i : i + 13]) for i in range(len(words) - 12)}
+    plain = substring.unpacked(substring._send(rows, 13, 0).column("hashes")[0].as_py())
+    dealt = substring._send(rows, 13, 6)
+    parts = [substring.unpacked(x.as_py()) for x in dealt.column("hashes")]
+    assert len(plain) == len(windows) and len(set(dealt.column("bucket").to_pylist())) == len(parts) == 64
+    assert sorted(np.concatenate(parts).tolist()) == plain.tolist()
