@@ -1,3 +1,4 @@
+import math
 import random
 from collections import Counter
 
@@ -73,3 +74,63 @@ def test_without_labels_or_rows(spark):
     marks = spark.createDataFrame([], "doc_id long, quality int, toxic int")
     assert sorted((r.doc_id or 0, r.kept) for r in quality.judged(docs, marks).collect()) == [(0, False), (1, False), (2, False)]
     assert quality.judged(docs.limit(0), marks).collect() == []
+
+
+def covering(rows, names, most_rules, most_conditions, least_precision, least_rows):
+    """Sequential covering by trying every threshold between two values on every row."""
+    cuts = [[(a + b) / 2 for a, b in zip(v, v[1:])] for v in (sorted({r[0][f] for r in rows}) for f in range(len(names)))]
+    tests = [(f, above, t) for f in range(len(names)) for t in cuts[f] for above in (False, True)]
+    holds = lambda c, r: (r[0][c[0]] > c[2]) == c[1]
+    left, rules = list(rows), []
+
+    def bad_good(some):
+        return sum(r[1] for r in some), sum(not r[1] for r in some)
+
+    while len(rules) < most_rules:
+        grown, inside = [], [r for r in left if r[2] < 2]
+        while len(grown) < most_conditions:
+            p0, n0 = bad_good(inside)
+            if not p0 or not n0:
+                break
+            best, choice = 1e-9, None
+            for c in tests:
+                p, n = bad_good([r for r in inside if holds(c, r)])
+                if p >= least_rows and p * (math.log2(p / (p + n)) - math.log2(p0 / (p0 + n0))) > best:
+                    best, choice = p * (math.log2(p / (p + n)) - math.log2(p0 / (p0 + n0))), c
+            if choice is None:
+                break
+            grown.append(choice)
+            inside = [r for r in inside if holds(choice, r)]
+        worth = []
+        for k in range(1, len(grown) + 1):
+            p, n = bad_good([r for r in left if r[2] == 2 and all(holds(c, r) for c in grown[:k])])
+            worth.append(((p - n) / max(1, p + n), -k, p, n))
+        if not worth:
+            break
+        _, k, p, n = max(worth)
+        if p + n < least_rows or p < least_precision * (p + n):
+            break
+        rules.append([(names[f], above, t) for f, above, t in grown[:-k]])
+        left = [r for r in left if not all(holds(c, r) for c in grown[:-k])]
+    return rules
+
+
+def test_learner_against_brute_search(spark):
+    """With more quantiles than rows every threshold is tried, so the list must be the brute one."""
+    fields = "n_words word_chars n_symbols n_dup_lines n_repeat_words n_lines n_distinct n_capitals n_marks".split()
+    schema = "s struct<" + ",".join(f"{f}:long" for f in fields) + ">, bad boolean, part int"
+    lengths = set()
+    for seed in (1, 2, 3):
+        rng = random.Random(seed)
+        made = []
+        for i in range(110):
+            n = rng.randrange(60, 300)
+            s = (n, n * rng.randrange(3, 9), rng.randrange(n // 3), rng.randrange(6), rng.randrange(n // 3), rng.randrange(6, 20), rng.randrange(n // 2, n), rng.randrange(n), rng.randrange(n // 4))
+            made.append((s, (s[2] / n > 0.2 and s[8] / n > 0.1) or n > 250 or rng.random() < 0.04, i % 3))
+        numbers = lambda s: [float(s[0]), s[1] / s[0], s[2] / s[0], s[3] / s[5], s[4] / s[0], s[6] / s[0], s[7] / s[1], s[8] / s[0]]
+        how = {"most_rules": 3, "most_conditions": 3, "least_precision": 0.7, "least_rows": 2}
+        got = quality.learn(spark.createDataFrame(made, schema), intervals=250, **how)
+        got = [[(c.feature, c.above, c.threshold) for c in rule.conditions] for rule in got]
+        assert got == covering([(numbers(s), bad, part) for s, bad, part in made], list(quality.FEATURES), **how)
+        lengths |= {len(rule) for rule in got}
+    assert len(lengths) > 1  # rules of one condition and of more
