@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from corpusward.llm import bpe, decontaminate, fim, html, langid, licenses, quality, simhash, substring, transducer, urls
+from corpusward.llm import bpe, decontaminate, fim, html, langid, licenses, pieces, quality, simhash, substring, transducer, urls
 
 
 def vocabulary(name: str) -> str:
@@ -79,6 +79,11 @@ def op11_fill_in_middle(spark: SparkSession, sf_dir: str) -> DataFrame:
     return made.select("doc.doc_id", "n", "form", "prefix_chars", "middle_chars", F.sha2("output", 256).alias("output_sha256"), restored)
 
 
+def op12_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
+    made = pieces.encode_decode(_table(spark, sf_dir, "documents").select("doc_id", "text"), vocabulary("piece_bpe_32k.model"))
+    return made.select("doc.doc_id", "n_tokens", F.sha2(pieces.joined(F.col("ids")), 256).alias("ids_sha256"), F.sha2("decoded", 256).alias("decoded_sha256"))
+
+
 OP2_SQL = r"""
 WITH d AS (
   SELECT row_number() OVER () AS rid, doc_id,
@@ -148,6 +153,7 @@ QUERIES = {
         op9_url_filters,
         op10_language_id,
         op11_fill_in_middle,
+        op12_sentencepiece,
     )
 }
 ORACLES = {"op2_benchmark_decontamination": OP2_SQL, "op4_substring_dedup": OP4_SQL, "op11_fill_in_middle": OP11_SQL}
