@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from corpusward.llm import bpe, decontaminate, fim, html, langid, licenses, pieces, quality, simhash, substring, transducer, urls
+from corpusward.llm import bpe, decontaminate, divergence, fim, html, langid, licenses, pieces, quality, simhash, substring, transducer, urls
 
 
 def vocabulary(name: str) -> str:
@@ -84,6 +84,10 @@ def op12_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
     return made.select("doc.doc_id", "n_tokens", F.sha2(pieces.joined(F.col("ids")), 256).alias("ids_sha256"), F.sha2("decoded", 256).alias("decoded_sha256"))
 
 
+def op13_source_divergence(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return divergence.audit(_table(spark, sf_dir, "documents"))
+
+
 OP2_SQL = r"""
 WITH d AS (
   SELECT row_number() OVER () AS rid, doc_id,
@@ -139,6 +143,31 @@ SELECT doc_id, CAST(n AS BIGINT) AS n, form, CASE WHEN form <> 'plain' THEN CAST
 FROM g
 """
 
+OP13_SQL = r"""
+WITH d AS (SELECT row_number() OVER () AS rid, coalesce(lang, '') AS lang, coalesce(source, '') AS source, coalesce(text, '') AS text FROM documents),
+g AS (SELECT DISTINCT lang, source FROM d),
+t AS (
+  SELECT rid, lang, source, unnest(regexp_extract_all(translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x40\x5B-\x60\x7B-\x7F]+')) AS term
+  FROM d),
+k AS (SELECT lang, term, count(*) AS n FROM t GROUP BY lang, term HAVING count(DISTINCT rid) >= 3),
+c AS (SELECT lang, source, term, count(*) AS n FROM t JOIN k USING (lang, term) GROUP BY lang, source, term),
+v AS (SELECT lang, count(*) AS v, sum(n) AS nl FROM k GROUP BY lang),
+s AS (SELECT lang, source, coalesce(sum(n), 0) AS total FROM g LEFT JOIN c USING (lang, source) GROUP BY lang, source),
+p AS (
+  SELECT lang, source, term, coalesce(c.n, 0) AS n, 1 + 1000000000::HUGEINT * (coalesce(c.n, 0) + 1) // (s.total + v.v)::HUGEINT AS p, 1 + 1000000000::HUGEINT * (k.n + 1) // (v.nl + v.v)::HUGEINT AS q
+  FROM s JOIN v USING (lang) JOIN k USING (lang) LEFT JOIN c USING (lang, source, term)),
+pairs AS (
+  SELECT a.lang, a.source, b.source AS item, coalesce(sum((x.p - y.p) * (x.p - y.p) // y.p), 0) AS value
+  FROM g AS a JOIN g AS b ON a.lang = b.lang AND a.source <> b.source
+    LEFT JOIN p AS x ON x.lang = a.lang AND x.source = a.source LEFT JOIN p AS y ON y.lang = b.lang AND y.source = b.source AND y.term = x.term
+  GROUP BY a.lang, a.source, b.source),
+terms AS (
+  SELECT lang, source, term AS item, (p - q) * (p - q) // q AS value, row_number() OVER (PARTITION BY lang, source ORDER BY (p - q) * (p - q) // q DESC, term) AS rank
+  FROM p WHERE n > 0 AND p > q)
+SELECT lang, source, 'pair' AS part, item, CAST(value AS BIGINT) AS value, CAST(row_number() OVER (PARTITION BY lang, source ORDER BY value DESC, item) AS INTEGER) AS rank FROM pairs
+UNION ALL SELECT lang, source, 'term', item, CAST(value AS BIGINT), CAST(rank AS INTEGER) FROM terms WHERE rank <= 200
+"""
+
 QUERIES = {
     f.__name__: f
     for f in (
@@ -154,6 +183,7 @@ QUERIES = {
         op10_language_id,
         op11_fill_in_middle,
         op12_sentencepiece,
+        op13_source_divergence,
     )
 }
-ORACLES = {"op2_benchmark_decontamination": OP2_SQL, "op4_substring_dedup": OP4_SQL, "op11_fill_in_middle": OP11_SQL}
+ORACLES = {"op2_benchmark_decontamination": OP2_SQL, "op4_substring_dedup": OP4_SQL, "op11_fill_in_middle": OP11_SQL, "op13_source_divergence": OP13_SQL}
