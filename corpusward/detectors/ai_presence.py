@@ -25,7 +25,7 @@ def detect(tables: Tables) -> Found:
     disclosed = files.where(F.col("path") == DISCLOSURE)
     made = findings(disclosed, id=f"{ID}:disclosure-md", detector_id=ID, severity="info", title=f"{DISCLOSURE} found", explanation="The repository discloses its use of AI tools.", fix_prompt=f"Keep {DISCLOSURE} up to date.", file=F.col("path"), evidence=F.regexp_replace(F.substring("text", 1, 80), r"\s+", " "), metadata='{"source":"ai-disclosure-md"}')
     walked = files.where("in_text_walk").withColumn("head", F.expr(f"make_valid_utf8(cast(substring(content, 1, {HEADER_BYTES}) AS string))"))
-    marked = walked.where(F.col("head").rlike(MARKER)).withColumn("m", F.get(matches(F.col("head"), MARKER), F.lit(0)))
+    marked = walked.where(F.col("head").rlike(MARKER)).withColumn("m", F.get(matches(F.col("head"), {ID: MARKER}), F.lit(0)))
     made = made.unionByName(
         findings(marked, id=F.concat(F.lit(f"{ID}:file:"), F.col("path"), F.lit(":"), short_hash(F.col("m.match"))), detector_id=ID, severity="info", title=F.concat(F.lit("AI marker in "), F.col("path")), explanation="The file says that an AI tool made or helped to make it.", fix_prompt=F.concat(F.lit("Review "), F.col("path"), F.lit(" by hand.")), file=F.col("path"), line=F.col("m.line"), evidence=F.trim("m.match"), metadata='{"source":"file-marker"}')
     )

@@ -21,18 +21,11 @@ RULES = [
 ]
 
 
-def _context(text, line, match):
-    """The line before a match, and its own lines."""
-    lines = F.split(text, "\n")
-    n = F.length(match) - F.length(F.replace(match, F.lit("\n"), F.lit("")))
-    return F.lower(F.array_join(F.slice(lines, F.greatest(F.col(line) - 1, F.lit(1)), n + F.when(F.col(line) > 1, 2).otherwise(1)), "\n"))
-
-
 def detect(tables: Tables) -> Found:
     files = tables.files.where("in_text_walk and issue_code is null").withColumn("lang", language(F.col("ext"))).where("lang is not null and text is not null")
-    hits = scan_all(files, {r[0]: r[4] for r in RULES})
+    hits = scan_all(files, {r[0]: r[4] for r in RULES}, near="(?i)" + _SECURITY_WORD)
     told = lambda k: reduce(lambda w, r: w.when(F.col("rule") == r[0], F.lit(r[k])), RULES, F.when(F.lit(False), F.lit(RULES[0][k])))
-    hits = hits.where(~told(2) | (F.col("lang") == "python")).where(~told(3) | _context(F.col("text"), "line", F.col("match")).rlike(_SECURITY_WORD))
+    hits = hits.where(~told(2) | (F.col("lang") == "python")).where(~told(3) | F.col("near"))
     at = F.concat(F.col("path"), F.lit(":"), F.col("line"))
     made = findings(
         hits,

@@ -3,6 +3,7 @@
 import math
 import random
 import re
+import time
 from collections import Counter
 
 from hypothesis import given, settings
@@ -75,6 +76,37 @@ def test_scan_is_finditer(spark):
     assert sorted(map(tuple, got)) == sorted(want)
 
 
+def test_scan_takes_time_by_text_and_matches(spark):
+    text = "token = a; createHash('md5') " * 100_000
+    began = time.time()
+    found = list(regexscan.found_in(text, {"a": regexscan.compiled(r"createHash\('md5'\)")}, regexscan.compiled(r"\btoken\b")))
+    assert time.time() - began < 2 and len(found) == 100_000 and all(f[2:] == (1, True) for f in found)
+    lines = text.replace("; ", ";\n")
+    began = time.time()
+    found = list(regexscan.found_in(lines, {"a": regexscan.compiled(r"createHash\('md5'\)")}))
+    assert time.time() - began < 2 and [f[2] for f in found] == list(range(2, 100_002))
+    files = spark.createDataFrame([(0, text), (1, None), (2, ""), (3, "no")], "i int, text string")
+    assert regexscan.scan_all(files, {"a": r"createHash", "b": r"\bmd5\b"}).groupBy("i", "rule").count().orderBy("rule").collect() == [(0, "a", 100_000), (0, "b", 100_000)]
+
+
+def test_patterns_mean_what_they_mean_in_the_jvm(spark):
+    """Dots, classes, escapes and flags, against the built-in functions."""
+    texts = ["a.b\rc\r\nd", "x\u2028y.z", "[.]\\.", "\u212a K k \u017f S s", "\u0663 3", "a\x0bb\x85c", "É é"]
+    for pattern in (r".+", r"[.]", r"\.", r"(?i)k|s", r"\d+", r"\s", r"[^\].]+", r"(?i)é", r"\w+"):
+        got = regexscan.scan(spark.createDataFrame([(t,) for t in texts], "text string"), pattern).select("text", "match").collect()
+        rows = spark.createDataFrame([(t,) for t in texts], "text string").select("text", F.explode(F.regexp_extract_all("text", F.lit(pattern), F.lit(0)))).collect()
+        assert sorted(map(tuple, got)) == sorted(map(tuple, rows)), pattern
+
+
+def test_near_is_told_by_lines(spark):
+    rng = random.Random(9)
+    texts = ["".join(rng.choices(["hit\nhit", "hit", "Word", "\n", "sword", " "], k=12)) for _ in range(200)]
+    for t in texts:
+        for _, match, line, near in regexscan.found_in(t, {"": re.compile(r"hit\s?hit|hit")}, re.compile(r"\bWord\b")):
+            lines = t.split("\n")[max(0, line - 2) : line + match.count("\n")]
+            assert near == bool(re.search(r"\bWord\b", "\n".join(lines)))
+
+
 def test_entropy_and_masks(spark):
     rng = random.Random(6)
     values = ["", "aabbccdd", "a", "日本日"] + ["".join(rng.choices("abcdefXYZ019-.*$", k=30)) for _ in range(50)]
