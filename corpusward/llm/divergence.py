@@ -59,17 +59,21 @@ def _keys(batch, low: int, row: np.ndarray, data, starts, ends) -> np.ndarray:
     return hash_words(data, starts, ends) ^ lang[low + row]
 
 
+def _distinct(values: np.ndarray) -> np.ndarray:
+    values = np.sort(values)
+    fresh = np.ones(len(values), bool)
+    fresh[1:] = values[1:] != values[:-1]
+    return values[fresh]
+
+
 def _sketch_batches(batches, depth, width):
     cells = np.zeros(depth * width, np.int32)
     for batch in batches:
         for low, row, *found in _terms(batch):
-            key = _keys(batch, low, row, *found)
-            order = np.lexsort((key, row))
-            key, row = key[order], row[order]
-            fresh = np.ones(len(key), bool)
-            fresh[1:] = (key[1:] != key[:-1]) | (row[1:] != row[:-1])
-            for at in _cells(key[fresh], depth, width):
-                np.add.at(cells, at, 1)
+            key, of = np.unique(_keys(batch, low, row, *found), return_inverse=True)
+            docs = np.bincount(_distinct(row * len(key) + of) % max(1, len(key)), minlength=len(key)).astype(np.int32)
+            for at in _cells(key, depth, width):
+                np.add.at(cells, at, docs)
     yield from _blocks({k: some for k, some in enumerate(cells.reshape(-1, _BLOCK)) if some.any()})
 
 
@@ -113,20 +117,34 @@ def _words(data: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> pa.Array:
 def _count_batches(batches, sketch, depth, min_docs):
     cells, groups, held, n_held = np.frombuffer(sketch.value, np.uint8), {}, [], 0
 
-    def summed() -> pa.Table:
-        return pa.concat_tables(held).group_by(["g", "term"]).aggregate([("n", "sum"), ("docs", "sum")])
-
-    def told(table: pa.Table):
+    def summed() -> tuple:
+        """What is held, each group's term once: (group, number of the term, terms, n, docs)."""
+        terms = pa.concat_arrays([x[2] for x in held]).dictionary_encode()
+        number, low, codes = terms.indices.to_numpy().astype(np.int64), 0, []
+        for _, code, some, _, _ in held:
+            codes.append(number[low : low + len(some)][code])
+            low += len(some)
+        width = len(terms.dictionary)
+        pair = np.concatenate([x[0] for x in held]) * width + np.concatenate(codes)
+        order = np.argsort(pair)
+        pair = pair[order]
+        begins = np.flatnonzero(np.concatenate([[True], pair[1:] != pair[:-1]]))
+        n, docs = (np.add.reduceat(np.concatenate([x[k] for x in held])[order], begins) for k in (3, 4))
+        return pair[begins] // width, pair[begins] % width, terms.dictionary, n, docs
+
+    def told(g, code, terms, n, docs):
         names = list(groups)
-        g = table.column("g").to_numpy()
-        lang, source = (pa.array([x[k] for x in names], pa.string()).take(pa.array(g)) for k in (0, 1))
-        columns = [lang, source, table.column("term").cast(pa.string()), table.column("n_sum"), table.column("docs_sum")]
-        yield from pa.table(columns, names=["lang", "source", "term", "n", "docs"]).to_batches(max_chunksize=1 << 16)
+        lang, source = (pa.array([x[k] for x in names], pa.string()) for k in (0, 1))
+        for low in range(0, len(g), 1 << 16):
+            some = slice(low, low + (1 << 16))
+            at = pa.array(g[some])
+            yield pa.RecordBatch.from_arrays([lang.take(at), source.take(at), terms.take(pa.array(code[some])).cast(pa.string()), pa.array(n[some]), pa.array(docs[some])], ["lang", "source", "term", "n", "docs"])
 
     for batch in batches:
         of = np.array([groups.setdefault(x, len(groups)) for x in zip(batch.column("lang").to_pylist(), batch.column("source").to_pylist())], np.int64)
         for low, row, data, starts, ends in _terms(batch):
-            likely = estimates(cells, _keys(batch, low, row, data, starts, ends), depth) >= min_docs
+            key, at = np.unique(_keys(batch, low, row, data, starts, ends), return_inverse=True)
+            likely = (estimates(cells, key, depth) >= min_docs)[at]
             row, starts, ends = row[likely], starts[likely], ends[likely]
             if not len(row):
                 continue
@@ -136,16 +154,16 @@ def _count_batches(batches, sketch, depth, min_docs):
             pair = of[low + in_doc // n_codes] * n_codes + in_doc % n_codes
             pair, back, docs = np.unique(pair, return_inverse=True, return_counts=True)
             n = np.bincount(back, n, len(pair)).astype(np.int64)
-            held.append(pa.table([pa.array(pair // n_codes), folded.dictionary.take(pa.array(pair % n_codes)), pa.array(n), pa.array(docs)], names=["g", "term", "n", "docs"]))
+            held.append((pair // n_codes, pair % n_codes, folded.dictionary, n, docs))
             n_held += len(pair)
             if n_held > _HELD_ROWS:
-                table = summed()
-                held, n_held = [table.rename_columns(["g", "term", "n", "docs"])], len(table)
+                held = [summed()]
+                n_held = len(held[0][0])
                 if n_held > _HELD_ROWS // 2:
-                    yield from told(table)
+                    yield from told(*held[0])
                     held, n_held = [], 0
     if held:
-        yield from told(summed())
+        yield from told(*summed())
 
 
 def term_counts(docs: DataFrame, min_docs: int = 3, depth: int = 3, width: int | None = None) -> DataFrame:
