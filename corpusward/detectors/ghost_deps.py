@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from corpusward.functions import names
 from corpusward.functions.text import days_between
-from corpusward.operators import references, similar
+from corpusward.operators import references, registry, similar
 from corpusward.schemas import Found, Tables, findings
 from corpusward.sources.packages import alias_patterns, blind_repos, package_references, workspace_names
 
@@ -66,13 +66,22 @@ def near_popular(refs: DataFrame) -> DataFrame:
     return reduce(lambda a, b: a.unionByName(b), parts)
 
 
-def detect(tables: Tables, **thresholds) -> Found:
+def looked_up(refs: DataFrame, tables: Tables, ttl_hours: float = registry.TTL_HOURS) -> DataFrame:
+    """refs with what the registry knows of them: of a table of observations (with fetched_at) the last
+    before the scan, if it isn't older than ttl_hours; of a table without times its row."""
+    spark, key = refs.sparkSession, ["ecosystem", "norm"]
+    known = tables.registry if tables.registry is not None else spark.createDataFrame([], "ecosystem string, name string, exists boolean, created_at timestamp, weekly_downloads long")
+    known = known.withColumn("norm", names.normalize_name(F.col("name"), F.col("ecosystem"))).drop("name")
+    if "fetched_at" in known.columns:
+        return registry.as_of(refs.withColumn("_now", tables.now), known, key, "_now", ttl_hours).drop("_now", "fetched_at")
+    order = [~F.coalesce("exists", F.lit(False)), F.col("exists").isNull(), F.col("created_at"), F.col("weekly_downloads")]
+    return references.with_registry(refs, references.first_by(known, key, order), key)
+
+
+def detect(tables: Tables, ttl_hours: float = registry.TTL_HOURS, **thresholds) -> Found:
     """thresholds: min_age_days, min_downloads, mature_days of references.decisions."""
     refs = resolved(package_references(tables.files), tables.files)
-    spark = refs.sparkSession
-    registry = tables.registry if tables.registry is not None else spark.createDataFrame([], "ecosystem string, name string, exists boolean, created_at timestamp, weekly_downloads long")
-    known = references.first_by(registry.withColumn("norm", names.normalize_name(F.col("name"), F.col("ecosystem"))), ["ecosystem", "norm"], [~F.coalesce("exists", F.lit(False)), F.col("exists").isNull(), F.col("created_at"), F.col("weekly_downloads")]).drop("name")
-    looked = references.with_registry(refs.join(near_popular(refs), ["ecosystem", "norm"], "left"), known, ["ecosystem", "norm"])
+    looked = looked_up(refs.join(near_popular(refs), ["ecosystem", "norm"], "left"), tables, ttl_hours)
     age = days_between(F.col("created_at"), tables.now)
     flags = references.decisions(F.col("exists"), F.col("blind"), F.col("typo_of").isNotNull(), age, F.col("weekly_downloads"), F.col("ecosystem") == "npm", **thresholds)
     rows = looked.withColumn("flag", F.explode(flags))

@@ -1,8 +1,10 @@
 """Names within a small edit distance of known ones, by an equi-join on deletion variants.
 
-Two strings within distance k share a string that arises from each by at most k deletions; so
-the join is on such variants, and the built-in levenshtein verifies the pairs. Nothing compares
-all names with all names."""
+Two strings within distance k share a string that arises from each by at most k deletions, and so
+do their first n characters: an insertion on one side shifts at most one character of the other
+beyond them. So the join is on such variants of bounded prefixes, and the built-in levenshtein, which
+stops beyond its threshold, verifies the pairs. Names whose length no known name comes near are left
+out before that. Nothing compares all names with all names, and a long name costs what a short one does."""
 
 from __future__ import annotations
 
@@ -11,27 +13,34 @@ from pyspark.sql import functions as F
 
 from corpusward.functions.names import distance_limit
 
+#: The distance_limit of any name, and the characters of a name that variants are made of.
+MOST, PREFIX = 2, 32
+
 
 def _shorter(s: Column) -> Column:
     return F.transform(F.sequence(F.lit(1), F.greatest(F.length(s), F.lit(1))), lambda i: F.concat(F.substring(s, F.lit(1), i - 1), F.substring(s, i + 1, F.length(s))))
 
 
 def deletion_variants(s: Column, limit: Column) -> Column:
-    """The string, and what one or two deletions leave of it."""
-    once = _shorter(s)
+    """The first characters of a string, and what one or two deletions leave of them."""
+    head = F.substring(s, 1, PREFIX)
+    once = _shorter(head)
     twice = F.flatten(F.transform(once, _shorter))
-    return F.array_distinct(F.concat(F.array(s), once, F.when(limit >= 2, twice).otherwise(F.array().cast("array<string>"))))
+    return F.array_distinct(F.concat(F.array(head), once, F.when(limit >= 2, twice).otherwise(F.array().cast("array<string>"))))
 
 
 def similar_pairs(names: DataFrame, known: DataFrame, by: str = "name") -> DataFrame:
     """name, candidate, distance: distinct names with each known name (column `known`) at a distance
-    of at least 1 and at most the name's limit."""
+    of at least 1 and at most the name's limit. Null names resemble nothing."""
+    right = known.select(F.col("known").alias("candidate")).where("candidate is not null").distinct()
+    size = F.length("candidate")
+    near = right.select(F.explode(F.sequence(F.greatest(size - MOST, F.lit(0)), size + MOST)).alias("_size")).distinct()
     left = names.select(F.col(by).alias("name")).where("name is not null").distinct()
+    left = left.withColumn("_size", F.length("name")).join(near, "_size", "left_semi")
     left = left.select("name", F.explode(deletion_variants(F.col("name"), distance_limit(F.col("name")))).alias("variant"))
-    right = known.select(F.col("known").alias("candidate")).where("candidate is not null").distinct()
-    right = right.select("candidate", F.explode(deletion_variants(F.col("candidate"), F.lit(2))).alias("variant"))
+    right = right.select("candidate", F.explode(deletion_variants(F.col("candidate"), F.lit(MOST))).alias("variant"))
     met = left.join(right, "variant").select("name", "candidate").distinct()
-    distance = F.levenshtein("name", "candidate")
+    distance = F.levenshtein("name", "candidate", MOST)  # -1 beyond it
     return met.withColumn("distance", distance).where((F.col("distance") >= 1) & (F.col("distance") <= distance_limit(F.col("name"))))
 
 

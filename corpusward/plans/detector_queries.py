@@ -356,3 +356,49 @@ def package_reference_rows(spark, folder):
     made = [files_of(supplier, "s_suppkey", F.lit(path), said) for path, said in given.items()]
     refs = package_references(reduce(DataFrame.unionByName, made))
     return refs.select(_own_key().alias("s_suppkey"), "ecosystem", F.col("norm").alias("name"), "source", "line", "file")
+
+
+_TEXT_LINES = """SELECT doc_id, i AS line, lines[i] AS said, CASE WHEN i > 1 THEN lines[i - 1] ELSE '' END AS above FROM (SELECT doc_id, string_split(replace(text, {0}, {1}), chr(10)) AS lines FROM documents), unnest(range(1, len(lines) + 1)) AS u(i)"""
+
+
+@query(
+    rf"""WITH l AS ({_TEXT_LINES.format("'token = '", "'auth_token = '")}),
+v AS (SELECT doc_id, CAST(line AS INTEGER) AS line, unnest(regexp_extract_all(said, '[\s.{{,]auth_token\s*[:=]\s*"([A-Za-z0-9+/=_.-]{{24,}})"', 1)) AS v FROM l),
+n AS (SELECT doc_id, line, v, ch, count(*) / CAST(any_value(length(v)) AS DOUBLE) AS p FROM (SELECT DISTINCT doc_id, line, v FROM v), unnest(string_split(v, '')) AS u(ch) GROUP BY ALL),
+e AS (SELECT doc_id, line, v FROM n GROUP BY doc_id, line, v HAVING -sum(p * log2(p)) >= 3.75 AND count(*) >= 6)
+SELECT doc_id, line, left(min(v), 4) || '…' || right(min(v), 4) AS evidence FROM e GROUP BY doc_id, line"""
+)
+def secrets_in_texts(spark, folder):
+    """Tokens in the documents' own lines, where they stand under a secret's name; hexadecimal ones
+    have up to four bits a character."""
+    docs = table(spark, folder, "documents")
+    made = files_of(docs, "doc_id", F.lit("notes.txt"), F.replace("text", F.lit("token = "), F.lit("auth_token = ")))
+    found = secrets.detect(tables_of(made), least_entropy=3.75).findings
+    return found.select(_own_key().alias("doc_id"), "line", "evidence")
+
+
+@query(
+    rf"""WITH l AS ({_TEXT_LINES.format("' token = '", "' token createHash(''md5'') = '")})
+SELECT doc_id, CAST(line AS INTEGER) AS line, 'crypto-md5-sha1' AS rule, 'createHash(''md5'')' AS evidence FROM (SELECT doc_id, line, unnest(regexp_extract_all(said, 'createHash\(''md5''\)')) FROM l)
+UNION ALL SELECT doc_id, CAST(line AS INTEGER), 'crypto-md5-sha1', 'createHash(''sha1'')' FROM (
+  SELECT doc_id, line, unnest(regexp_extract_all(said, '\bthe\b')) FROM (SELECT doc_id, line, said, above FROM l) WHERE regexp_matches(lower(said), '\btoken\b') OR regexp_matches(lower(above), '\btoken\b'))"""
+)
+def weak_hashes_in_texts(spark, folder):
+    """Calls put into the documents' lines: beside a token, and for a word that stands in many lines,
+    of which those count that have a token in them or in the line above."""
+    said = F.replace("text", F.lit(" token = "), F.lit(" token createHash('md5') = "))
+    said = F.regexp_replace(said, "(?<![A-Za-z0-9_])the(?![A-Za-z0-9_])", "createHash('sha1')")
+    found = crypto.detect(tables_of(files_of(table(spark, folder, "documents"), "doc_id", F.lit("a.js"), said))).findings
+    return found.select(_own_key().alias("doc_id"), "line", _metadata("ruleId").alias("rule"), "evidence")
+
+
+@query(
+    """WITH p AS (SELECT page_id, url, lower(regexp_extract(url, '://([^/?#]*)', 1)) AS host FROM pages)
+SELECT page_id, 'supply-chain:git-http:' || host AS id, 'high' AS severity, host || ': git+' || url AS evidence FROM p WHERE url LIKE 'http://%' AND host <> ''"""
+)
+def plain_sources_of_pages(spark, folder):
+    """A manifest for each page that takes its site's package from the page's own address."""
+    host = F.lower(F.regexp_extract("url", "://([^/?#]*)", 1))
+    pages = table(spark, folder, "pages").where(host != "")
+    made = files_of(pages, "page_id", F.lit("package.json"), F.to_json(F.create_map(F.lit("dependencies"), F.create_map(host, F.concat(F.lit("git+"), "url")))))
+    return supply_chain.detect(tables_of(made)).findings.select(_own_key().alias("page_id"), "id", "severity", "evidence")

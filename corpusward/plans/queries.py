@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 
 from corpusward import scan
 from corpusward.functions import names, text
-from corpusward.operators import ranges, references, regexscan, scope, scoring, similar
+from corpusward.operators import ranges, references, regexscan, registry, scope, scoring, similar
 from corpusward.sinks import reports
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -316,6 +316,26 @@ def workspace_alias_patterns(spark, folder):
     return references.aliased(supplier.select("s_suppkey", F.col("s_name").alias("specifier")), patterns).select("s_suppkey", "pattern")
 
 
+@query(
+    """WITH o AS (SELECT user_id, ts AS fetched_at, max(value) AS value FROM events WHERE event_type <> 'view' GROUP BY user_id, ts),
+r AS (SELECT event_id, user_id, ts FROM events WHERE event_type = 'view'),
+m AS (SELECT event_id, r.user_id, r.ts - o.fetched_at <= INTERVAL 24 HOURS AS fresh, o.value FROM r ASOF LEFT JOIN o ON r.user_id = o.user_id AND r.ts >= o.fetched_at)
+SELECT event_id, user_id, fresh IS NOT NULL AND fresh AS known, CASE WHEN fresh THEN value END AS value FROM m"""
+)
+def registry_as_of(spark, folder):
+    """What was last known of each viewed user at the time, if that is at most a day old."""
+    events = table(spark, folder, "events")
+    seen = events.where("event_type <> 'view'").groupBy("user_id", F.col("ts").alias("fetched_at")).agg(F.max("value").alias("value")).withColumn("exists", F.lit(True))
+    made = registry.as_of(events.where("event_type = 'view'").select("event_id", "user_id", "ts"), seen, ["user_id"], "ts")
+    return made.select("event_id", "user_id", F.col("exists").isNotNull().alias("known"), "value")
+
+
+@query("SELECT user_id, min(ts) AS created_at, count(*) FILTER (WHERE ts < TIMESTAMP '2024-01-15 00:00:00') > 0 AS old FROM events WHERE event_type <> 'view' GROUP BY user_id")
+def earliest_releases(spark, folder):
+    events = table(spark, folder, "events").where("event_type <> 'view'").select("user_id", F.col("ts").alias("released_at"))
+    return registry.earliest_release(events, "user_id").withColumn("old", F.col("created_at") < F.lit("2024-01-15 00:00:00").cast("timestamp_ntz"))
+
+
 @query("SELECT o_orderpriority, min(o_orderkey) AS first_order, arg_min(o_orderstatus, o_orderkey) AS first_status FROM orders GROUP BY o_orderpriority")
 def rule_first_seen(spark, folder):
     """The rules of a report, each told by its first finding: priorities stand for rules, orders for findings."""

@@ -33,7 +33,7 @@ class Tables:
 
     files: DataFrame
     repos: DataFrame  # repo_id
-    registry: DataFrame | None = None  # ecosystem, name, exists, created_at, weekly_downloads
+    registry: DataFrame | None = None  # ecosystem, name, exists, created_at, weekly_downloads; observations also have fetched_at
     commits: DataFrame | None = None  # repo_id, body: of repositories scanned at their git root
     git_files: DataFrame | None = None  # repo_id, path, tracked, ignored
     now: Column = field(default_factory=F.current_timestamp)

@@ -5,13 +5,14 @@ import random
 import re
 import time
 from collections import Counter
+from datetime import datetime, timedelta
 
 from hypothesis import given, settings
 from hypothesis import strategies as st
 from pyspark.sql import functions as F
 
 from corpusward.functions import names, text
-from corpusward.operators import ranges, references, regexscan, scope, scoring, similar
+from corpusward.operators import ranges, references, regexscan, registry, scope, scoring, similar
 from corpusward.sources.commands import installed_by, npm_name, pypi_name
 
 
@@ -61,6 +62,87 @@ def test_similar_pairs_against_all_pairs(spark):
     assert got == want
 
 
+def test_a_key_of_many_ranges_is_swept_in_parts(spark, monkeypatch):
+    rng = random.Random(15)
+    one = lambda key, most, n: [(key, s := rng.randrange(1, most), s + int(rng.paretovariate(0.7))) for _ in range(n)]
+    base, cut_ = one("hot", 4000, 600) + one(None, 900, 300) + one("cold", 50, 8), one("hot", 4000, 200) + one(None, 900, 60) + one("cold", 50, 2)
+    schema = "key string, start long, end long"
+
+    def runs(lines):
+        out = []
+        for x in sorted(lines):
+            if out and x == out[-1][1] + 1:
+                out[-1][1] = x
+            else:
+                out.append([x, x])
+        return out
+
+    lines = lambda rows, key: {x for k, s, e in rows if k == key for x in range(s, e + 1)}
+    base = [(k, s, min(e, 9000)) for k, s, e in base]
+    cut_ = [(k, s, min(e, 9000)) for k, s, e in cut_]
+    want = sorted((str(k), *r) for k in ("hot", None, "cold") for r in runs(lines(base, k)))
+    less = sorted((str(k), *r) for k in ("hot", None, "cold") for r in runs(lines(base, k) - lines(cut_, k)))
+    frames = [spark.createDataFrame(x, schema) for x in (base, cut_)]
+    for rows, hot_keys in ((1 << 20, 1000), (40, 1000), (7, 0)):
+        monkeypatch.setattr(ranges, "ROWS", rows)
+        monkeypatch.setattr(ranges, "HOT_KEYS", hot_keys)
+        assert sorted((str(r.key), r.start, r.end) for r in ranges.merge(frames[0], "key").collect()) == want
+        assert sorted((str(r.key), r.start, r.end) for r in ranges.subtract(*frames, "key").collect()) == less
+    parted = ranges._parted(frames[0].select("key", "start").distinct(), ["key"], "start").groupBy("key", "_part").count()
+    assert max(r["count"] for r in parted.collect()) < 20 and parted.where("key = 'hot'").count() > 20
+
+
+def test_registry_as_of(spark):
+    rng = random.Random(16)
+    when = lambda h: datetime(2025, 1, 1) + timedelta(minutes=round(60 * h))
+    seen = [("npm", rng.choice("abc"), when(rng.uniform(0, 200)), rng.choice([True, False, None]), k) for k in range(60)]
+    seen += [("npm", "a", None, True, 99), (None, "a", when(5), True, 98), ("npm", "a", when(30), True, 7), ("npm", "a", when(30), True, 5)]
+    asked = [("npm", rng.choice("abcd"), when(rng.uniform(-10, 240))) for _ in range(200)] + [("npm", "a", when(30)), ("npm", "a", None), (None, "a", when(6)), ("npm", "a", when(54)), ("npm", "a", when(30))]
+    observations = spark.createDataFrame(seen, "ecosystem string, name string, fetched_at timestamp, exists boolean, downloads int")
+    refs = spark.createDataFrame(asked, "ecosystem string, name string, scanned_at timestamp")
+
+    def by_hand(eco, name, at, ttl):
+        if at is None or eco is None:
+            return None, None
+        known = [x for x in seen if x[:2] == (eco, name) and x[2] and x[3] is not None and x[2] <= at]
+        best = max((x[2] for x in known), default=None)
+        if best is None or at - best > timedelta(hours=ttl):
+            return None, None
+        return min(((x[3], x[4]) for x in known if x[2] == best))
+
+    for ttl in (24, 3):
+        made = registry.as_of(refs, observations, ["ecosystem", "name"], "scanned_at", ttl)
+        assert made.columns == ["ecosystem", "name", "scanned_at", "fetched_at", "exists", "downloads"]
+        got = Counter((r.ecosystem, r.name, r.scanned_at, r.exists, r.downloads) for r in made.collect())
+        assert got == Counter((*a, *by_hand(*a, ttl)) for a in asked)
+    releases = spark.createDataFrame([("a", when(3)), ("a", when(2)), ("a", None), ("b", None)], "name string, released_at timestamp")
+    assert [tuple(r) for r in registry.earliest_release(releases, "name").collect()] == [("a", when(2))]
+
+
+def test_long_names(spark):
+    """Names with long parts in common, and some that are longer than any known one."""
+    rng = random.Random(14)
+    stem = "".join(rng.choices("ab", k=60))
+
+    def changed(x):
+        for _ in range(rng.randrange(4)):
+            k = rng.randrange(len(x))
+            x = rng.choice([x[:k] + x[k + 1 :], x[:k] + "c" + x[k:], x[:k] + "c" + x[k + 1 :]])
+        return x
+
+    known = [changed(stem[: rng.randrange(28, 60)]) for _ in range(30)]
+    some = [changed(k) for k in known] + [changed(stem) for _ in range(20)]
+    got = {tuple(r) for r in similar.similar_pairs(spark.createDataFrame([(x,) for x in some], "name string"), spark.createDataFrame([(x,) for x in known], "known string")).collect()}
+    assert got == {(a, b, d) for a in some for b in known if 1 <= (d := edit_distance(a, b)) <= 2} and got
+    long, lodash = spark.createDataFrame([("x" * 10_000,), (None,)], "name string"), spark.createDataFrame([("lodash",), (None,)], "known string")
+    similar.similar_pairs(long, lodash).collect()
+    began = time.time()
+    assert similar.similar_pairs(long, lodash).collect() == [] and time.time() - began < 20
+    also = lodash.unionByName(spark.createDataFrame([("x" * 9_999,)], "known string"))
+    began = time.time()
+    assert [r.distance for r in similar.similar_pairs(long, also).collect()] == [1] and time.time() - began < 20
+
+
 def test_nearest_takes_the_first_of_equals(spark):
     known = spark.createDataFrame([("lodash", 0), ("lodasx", 1), ("react", 2)], "known string, ord int")
     names_ = spark.createDataFrame([("lodas",), ("lodasy",), ("react",), ("zzz",)], "name string")
