@@ -5,6 +5,7 @@ from __future__ import annotations
 import argparse
 import os
 import sys
+from functools import partial
 
 from corpusward import __version__
 from corpusward import policy as policies
@@ -41,6 +42,14 @@ def parser() -> argparse.ArgumentParser:
     p.add_argument("--no-badge", dest="badge", action="store_const", const=None)
     p.add_argument("--out", help="a folder for the findings as Parquet")
     p.add_argument("--report", help="a folder for the figures over all folders, as JSON")
+    p.add_argument("--corpus", help="a folder that keeps the results of many repositories: only those that it lacks are scanned")
+    p.add_argument("--batch", type=int, default=200, help="repositories that --corpus scans together")
+    p.add_argument("--min-age-days", type=float, help="a package younger than this is very new")
+    p.add_argument("--min-downloads", type=int, help="fewer downloads a week are few")
+    p.add_argument("--mature-days", type=float, help="from this age on few downloads don't count")
+    p.add_argument("--registry-ttl", dest="ttl_hours", type=float, help="hours that an answer in a registry table with fetched_at counts")
+    p.add_argument("--no-entropy", dest="entropy", action="store_const", const=False, help="only credentials in a provider's format")
+    p.add_argument("--least-entropy", type=float, help="bits a character of a value that counts as a secret")
     p.add_argument("--verbose", "--debug", "-v", action="store_true")
     return p
 
@@ -62,23 +71,26 @@ def repo_folders(folders: list[str], listed: str | None = None, limit: int | Non
     return dict(list(found.items())[:limit])
 
 
-def _path_for(path: str, repo: str, several: bool) -> str:
-    """One report for each repository, where there are several."""
-    from corpusward.sinks.reports import slug
+#: Arguments that detectors take, by detector.
+OPTIONS = {"ghost-deps": ["min_age_days", "min_downloads", "mature_days", "ttl_hours"], "secrets": ["entropy", "least_entropy"]}
 
-    stem, ending = os.path.splitext(path)
-    return f"{stem}-{slug(repo)}{ending}" if several else path
+
+def with_options(detectors: dict, args: argparse.Namespace) -> dict:
+    """detectors with the options that were given."""
+    given = {d: {k: v for k in OPTIONS.get(d, []) if (v := getattr(args, k)) is not None} for d in detectors}
+    return {d: partial(f, **given[d]) if given[d] else f for d, f in detectors.items()}
 
 
 def run(args: argparse.Namespace) -> int:
     from pyspark.sql import SparkSession
 
     from corpusward import scan
-    from corpusward.sinks import reports
+    from corpusward.sinks import files, reports
     from corpusward.sources import git
 
     words = lambda s: [x.strip() for x in s.split(",") if x.strip()] if s else []
     chosen = scan.select(["ghost-deps"] if args.ghosts else words(args.only), words(args.skip))
+    chosen = with_options(chosen, args)
     folders = repo_folders(args.folders, args.repos, args.limit)
     if not folders:
         raise ValueError("There is no folder to scan.")
@@ -86,21 +98,23 @@ def run(args: argparse.Namespace) -> int:
     rules = {repo: policies.load(root, args.policy).merged(**over) for repo, root in folders.items()}
     spark = SparkSession.builder.appName("corpusward").config("spark.sql.session.timeZone", "UTC").getOrCreate()
     registry = spark.read.parquet(args.registry) if args.registry and not args.offline else None
+    if args.corpus:
+        from corpusward.corpus import FAILED, corpus_report, run_corpus
+
+        rows = run_corpus(spark, folders, args.corpus, max(1, args.batch), lambda s, some: scan.scan_folders(s, some, chosen, registry, git.commits(s, some) if "ai-presence" in chosen else None))
+        corpus_report(spark, args.corpus).orderBy("status").show(truncate=False)
+        return 0 if rows.where(rows.status == FAILED).isEmpty() else 1
     result = scan.scan_folders(spark, folders, chosen, registry, git.commits(spark, folders) if "ai-presence" in chosen else None)
     if args.since is not None:
-        result = scan.changed_only(result, git.changed_files(spark, folders, args.since or None))
+        result = scan.changed_only(result, git.comparable(git.changed_files(spark, folders, args.since or None)))
     result = scan.with_policy(result, rules)
     result.findings, result.issues = result.findings.persist(), result.issues.persist()
     gated = result.gated(rules).persist()
-    for repo in folders:
-        print(f"== {repo}\n{reports.terminal(result, gated, repo)}")
-        score = gated.where(gated.repo_id == repo).first().trust_score
-        if args.sarif:
-            reports.write_json(reports.sarif(result, repo), _path_for(args.sarif, repo, len(folders) > 1))
-        for path, text in ((args.html, lambda repo=repo, score=score: reports.page(result, repo, score)), (args.badge, lambda score=score: reports.badge(score))):
-            if path:
-                with open(_path_for(path, repo, len(folders) > 1), "w", encoding="utf-8") as f:
-                    f.write(text())
+    for row in reports.terminals(result, gated).orderBy("repo_id").toLocalIterator():
+        print(f"== {row.repo_id}\n{reports.terminal_text(row)}")
+    wanted = {kind: path for kind, path in (("sarif", args.sarif), ("html", args.html), ("badge", args.badge)) if path}
+    for kind, path in wanted.items():
+        files.write(reports.file_rows(result, gated), kind, path, len(folders) > 1)
     if args.verbose:
         result.stats.orderBy("repo_id", "detector_id").show(1000, False)
         reports.patterns(result.findings).show(1000, False)

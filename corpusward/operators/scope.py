@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -44,3 +46,16 @@ def without_ignored(findings: DataFrame, detectors: list[str] = (), ids: list[st
     if globs:
         kept = kept.where(~in_globs(F.col("file"), list(globs)))
     return kept
+
+
+def without_ignored_by(rows: DataFrame, policies: DataFrame, by_id: bool = True) -> DataFrame:
+    """Findings (or issues, which have no ids) that the policy of their repository doesn't ignore.
+    policies: of policy.table; a repository without one ignores nothing. One join, however many
+    policies there are and whatever they list."""
+    named = policies.select("repo_id", "ignore_detectors", "ignore_findings", "ignore_paths")
+    path = normalized_path(F.col("file"))
+    ignored = [F.array_contains("ignore_detectors", F.col("detector_id")), (path != "") & F.rlike(path, F.col("ignore_paths"))]
+    if by_id:
+        ignored.append(F.array_contains("ignore_findings", F.col("id")))
+    held = reduce(lambda a, b: a | b, [F.coalesce(x, F.lit(False)) for x in ignored])
+    return rows.join(named, "repo_id", "left").where(~held).select(*rows.columns)

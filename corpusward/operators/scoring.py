@@ -59,16 +59,22 @@ def finding_order(severity: Column, detector: Column, file: Column, line: Column
     return [severity_rank(severity), detector_rank(detector), F.collate(F.coalesce(file, F.lit("")), "UNICODE"), F.coalesce(line, F.lit(0))]
 
 
-def gate(counts: DataFrame, minimum: int = 85, fail_on: tuple[str, ...] = (), fail_on_incomplete: bool = False) -> DataFrame:
-    """counts (trust_score, a count for each severity, issues) with reasons, passed and status."""
-    s = F.col("trust_score")
-    reasons = [F.when(s < minimum, F.concat(F.lit("Trust Score "), s.cast("string"), F.lit(f"/100 is below the {minimum}/100 threshold")))]
-    for x in fail_on:
-        n = F.col(x)
-        reasons.append(F.when(n > 0, F.concat(n.cast("string"), F.lit(f" {x}-severity "), F.when(n == 1, "finding").otherwise("findings"))))
-    if fail_on_incomplete:
-        n = F.col("issues")
-        reasons.append(F.when(n > 0, F.concat(F.lit("Scan incomplete: "), n.cast("string"), F.when(n == 1, " input could").otherwise(" inputs could"), F.lit(" not be analyzed"))))
+def gate(counts: DataFrame, minimum: int | Column = 85, fail_on: tuple[str, ...] | Column = (), fail_on_incomplete: bool | Column = False) -> DataFrame:
+    """counts (trust_score, a count for each severity, issues) with reasons, passed and status. The
+    limits are the same for all rows, or columns (fail_on: an array)."""
+    as_column = lambda x: x if isinstance(x, Column) else F.lit(x)
+    s, least = F.col("trust_score"), as_column(minimum)
+    severities = fail_on if isinstance(fail_on, Column) else F.array(*map(F.lit, fail_on)).cast("array<string>")
+    by_name = F.create_map(*[x for name in WEIGHTS for x in (F.lit(name), F.col(name))])
+    score = F.when(s < least, F.concat(F.lit("Trust Score "), s.cast("string"), F.lit("/100 is below the "), least.cast("string"), F.lit("/100 threshold")))
+
+    def named(x: Column) -> Column:
+        n = F.try_element_at(by_name, x)
+        return F.when(n > 0, F.concat(n.cast("string"), F.lit(" "), x, F.lit("-severity "), F.when(n == 1, "finding").otherwise("findings")))
+
+    n = F.col("issues")
+    missed = F.when(as_column(fail_on_incomplete) & (n > 0), F.concat(F.lit("Scan incomplete: "), n.cast("string"), F.when(n == 1, " input could").otherwise(" inputs could"), F.lit(" not be analyzed")))
+    reasons = F.array_compact(F.concat(F.array(score), F.transform(severities, named), F.array(missed)))
     blocked = (F.col("critical") > 0) | (F.size("reasons") > 0)
     status = F.when(blocked, "BLOCKED").when((F.col("high") > 0) | (F.col("medium") > 0), "REVIEW").otherwise("READY")
-    return counts.withColumn("reasons", F.array_compact(F.array(*reasons))).withColumn("passed", F.size("reasons") == 0).withColumn("status", status)
+    return counts.withColumn("reasons", reasons).withColumn("passed", F.size("reasons") == 0).withColumn("status", status)

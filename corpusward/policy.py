@@ -6,7 +6,9 @@ import os
 from dataclasses import dataclass, field, replace
 
 import yaml
+from pyspark.sql import DataFrame, SparkSession
 
+from corpusward.functions.text import glob_pattern
 from corpusward.operators.scoring import WEIGHTS
 
 FILES = ("corpusward.yml", "corpusward.yaml", "corpusward.json")
@@ -69,3 +71,11 @@ def load(root: str, path: str | None = None) -> Policy:
     if path:
         raise ValueError(f"Policy not found: {path}")
     return Policy()
+
+
+def table(spark: SparkSession, policies: dict[str, Policy], fallback: int = 85) -> DataFrame:
+    """The policies of repositories, a row each: repo_id, minimum_score, fail_on, fail_on_incomplete,
+    ignore_detectors, ignore_findings, and ignore_paths, one regular expression for all of its globs."""
+    path = lambda globs: "|".join(f"(?:{glob_pattern(g)})" for g in globs) or None
+    rows = [(repo, fallback if p.minimum_score is None else p.minimum_score, list(p.fail_on), p.fail_on_incomplete, list(p.ignore_detectors), list(p.ignore_findings), path(p.ignore_paths)) for repo, p in policies.items()]
+    return spark.createDataFrame(rows, "repo_id string, minimum_score int, fail_on array<string>, fail_on_incomplete boolean, ignore_detectors array<string>, ignore_findings array<string>, ignore_paths string")

@@ -3,12 +3,14 @@
 from __future__ import annotations
 
 from collections.abc import Callable, Iterable
-from dataclasses import dataclass
+from dataclasses import dataclass, replace
 from functools import reduce
 
+from pyspark import StorageLevel
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from corpusward import policy as policies
 from corpusward.detectors import ai_presence, ai_unreviewed, crypto, env_leak, ghost_deps, secrets, sinks, supply_chain
 from corpusward.operators import scope, scoring
 from corpusward.policy import Policy
@@ -41,6 +43,11 @@ class Result:
     findings: DataFrame
     issues: DataFrame
     stats: DataFrame
+    files: DataFrame | None = None  # what is kept while the result is in use
+
+    def release(self) -> None:
+        if self.files is not None:
+            self.files.unpersist()
 
     def sorted_findings(self) -> DataFrame:
         order = scoring.finding_order(F.col("severity"), F.col("detector_id"), F.col("file"), F.col("line"))
@@ -59,16 +66,9 @@ class Result:
         if isinstance(policy, Policy):
             minimum = policy.minimum_score if policy.minimum_score is not None else fallback
             return scoring.gate(summary, minimum, policy.fail_on, policy.fail_on_incomplete)
-        own = lambda p, repos: scoring.gate(summary.where(F.col("repo_id").isin(repos)), fallback if p.minimum_score is None else p.minimum_score, p.fail_on, p.fail_on_incomplete)
-        return reduce(lambda a, b: a.unionByName(b), [own(p, repos) for p, repos in by_policy(policy).items()])
-
-
-def by_policy(policies: dict[str, Policy]) -> dict[Policy, list[str]]:
-    """The repositories that share a policy."""
-    found: dict[Policy, list[str]] = {}
-    for repo, policy in policies.items():
-        found.setdefault(policy, []).append(repo)
-    return found
+        own = summary.join(policies.table(self.repos.sparkSession, policy, fallback).select("repo_id", "minimum_score", "fail_on", "fail_on_incomplete"), "repo_id", "left")
+        made = scoring.gate(own, F.coalesce("minimum_score", F.lit(fallback)), F.coalesce("fail_on", F.array().cast("array<string>")), F.coalesce("fail_on_incomplete", F.lit(False)))
+        return made.drop("minimum_score", "fail_on", "fail_on_incomplete")
 
 
 def counted(rows: DataFrame, *keys: str) -> DataFrame:
@@ -117,28 +117,24 @@ def scan(tables: Tables, detectors: dict[str, Detector] | None = None) -> Result
 def scan_folders(spark: SparkSession, folders: dict[str, str], detectors: dict[str, Detector] | None = None, registry: DataFrame | None = None, commits: DataFrame | None = None, git_files: DataFrame | None = None, now: Column | None = None) -> Result:
     """A scan of repositories by id and folder; the folders are ones that all executors see. What git
     knows of their environment files is asked here, where it isn't given."""
-    files = with_text(read_trees(spark, folders)).persist()
+    files = with_text(read_trees(spark, folders)).persist(StorageLevel.DISK_ONLY)  # each detector reads them; none is held in memory
     if git_files is None and (detectors is None or env_leak.ID in detectors):
-        paths = env_leak.env_paths(files).select("repo_id", "path").collect()
-        git_files = git.env_files(spark, folders, [tuple(r) for r in paths])
+        git_files = git.env_files(spark, folders, env_leak.env_paths(files))
     repos = spark.createDataFrame([(r,) for r in folders], "repo_id string")
     tables = Tables(files, repos, registry, commits, git_files)
     if now is not None:
         tables.now = now
-    return scan(tables, detectors)
+    return replace(scan(tables, detectors), files=files)
 
 
 def with_policy(result: Result, policy: Policy | dict[str, Policy]) -> Result:
     """The result without what the policy (or that of each repository) ignores; statuses and scores
     follow from what is left."""
-    policies = {policy: None} if isinstance(policy, Policy) else by_policy(policy)
-    findings, issues = [], []
-    for p, repos in policies.items():
-        mine = lambda df, repos=repos: df if repos is None else df.where(F.col("repo_id").isin(repos))
-        findings.append(scope.without_ignored(mine(result.findings), p.ignore_detectors, p.ignore_findings, p.ignore_paths))
-        issues.append(scope.without_ignored(mine(result.issues), p.ignore_detectors, (), p.ignore_paths))
-    together = lambda parts: reduce(lambda a, b: a.unionByName(b), parts)
-    return _restated(result, together(findings), together(issues))
+    if isinstance(policy, Policy):
+        found = scope.without_ignored(result.findings, policy.ignore_detectors, policy.ignore_findings, policy.ignore_paths)
+        return _restated(result, found, scope.without_ignored(result.issues, policy.ignore_detectors, (), policy.ignore_paths))
+    own = policies.table(result.repos.sparkSession, policy)
+    return _restated(result, scope.without_ignored_by(result.findings, own), scope.without_ignored_by(result.issues, own, by_id=False))
 
 
 def changed_only(result: Result, changed: DataFrame) -> Result:
@@ -152,4 +148,4 @@ def _restated(result: Result, findings: DataFrame, issues: DataFrame) -> Result:
     m = issues.groupBy(*key).agg(F.count("*").alias("issues"))
     stats = result.stats.select(*key, "status", "analysed").join(n, key, "left").join(m, key, "left").fillna(0, ["findings", "issues"])
     status = F.when((F.col("status") == "degraded") & (F.col("issues") == 0), "ran").otherwise(F.col("status"))
-    return Result(result.repos, findings, issues, stats.withColumn("status", status))
+    return Result(result.repos, findings, issues, stats.withColumn("status", status), result.files)

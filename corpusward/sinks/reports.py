@@ -1,25 +1,19 @@
-"""Reports: terminal text, SARIF, HTML, badge, corpus summary."""
+"""Reports: terminal text, SARIF, HTML, corpus summary. files.py writes those of many repositories."""
 
 from __future__ import annotations
 
-import html
 import json
-import re
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from corpusward.operators import scoring
 from corpusward.operators.references import first_by
-from corpusward.operators.scoring import BANDS, WEIGHTS
+from corpusward.operators.scoring import WEIGHTS
 from corpusward.scan import Result
-
-_LEVELS = {"critical": "error", "high": "error", "medium": "warning"}
-
-
-def rule_id(id_column="id", metadata="metadata"):
-    """ruleId of the metadata, else the first two parts of the id, with plain characters only."""
-    given = F.get_json_object(metadata, "$.ruleId")
-    return F.substring(F.regexp_replace(F.coalesce(given, F.substring_index(id_column, ":", 2)), r"[^A-Za-z0-9._/-]", "-"), 1, 200)
+from corpusward.sinks import files
+from corpusward.sinks.files import badge
+from corpusward.sinks.rules import rule_id
 
 
 def sarif_rules(findings: DataFrame) -> DataFrame:
@@ -27,57 +21,67 @@ def sarif_rules(findings: DataFrame) -> DataFrame:
     return first_by(findings.withColumn("rule", rule_id()), ["rule"], [F.col("id"), F.col("file"), F.col("line")]).select("rule", "title", "explanation")
 
 
+def _mine(result: Result, repo_id: str):
+    return result.sorted_findings().where(F.col("repo_id") == repo_id).withColumn("rule", rule_id()).toLocalIterator()
+
+
 def sarif(result: Result, repo_id: str) -> dict:
-    """SARIF 2.1.0 of one repository; findings without a file are informational signals."""
-    mine = result.sorted_findings().where(F.col("repo_id") == repo_id)
-    rules = [{"id": r.rule, "shortDescription": {"text": r.title}, "fullDescription": {"text": r.explanation}} for r in sarif_rules(mine).orderBy("rule").collect()]
-    results, signals = [], []
-    for f in mine.withColumn("rule", rule_id()).toLocalIterator():
-        if not f.file:
-            signals.append({"id": f.id, "message": f.title})
-            continue
-        region = {"startLine": max(1, f.line or 1), "startColumn": max(1, f.col or 1)}
-        results.append({"ruleId": f.rule, "level": _LEVELS.get(f.severity, "note"), "message": {"text": f"{f.title}. {f.explanation}"}, "locations": [{"physicalLocation": {"artifactLocation": {"uri": f.file}, "region": region}}], "partialFingerprints": {"findingId/v1": f.id}})
-    run = {"tool": {"driver": {"name": "corpusward", "rules": rules}}, "results": results, "properties": {"informationalSignals": signals}}
-    return {"$schema": "https://json.schemastore.org/sarif-2.1.0.json", "version": "2.1.0", "runs": [run]}
-
-
-def badge(score: int) -> str:
-    """An SVG badge in the colour of the score's band."""
-    name, colour = next((b[1], b[2]) for b in BANDS if score >= b[0])
-    hues = {"brightgreen": "#4c1", "green": "#97ca00", "yellow": "#dfb317", "orange": "#fe7d37", "red": "#e05d44"}
-    return f'<svg xmlns="http://www.w3.org/2000/svg" width="150" height="20" role="img" aria-label="trust score: {score} {name}"><rect width="80" height="20" fill="#555"/><rect x="80" width="70" height="20" fill="{hues[colour]}"/><g fill="#fff" font-family="Verdana,sans-serif" font-size="11" text-anchor="middle"><text x="40" y="14">trust score</text><text x="115" y="14">{score} {name}</text></g></svg>'
+    """SARIF 2.1.0 of one repository."""
+    return json.loads("".join(files.sarif_text(_mine(result, repo_id))))
 
 
 def page(result: Result, repo_id: str, score: int) -> str:
     """All findings of one repository as HTML."""
-    rows = [
-        f'<tr class="{f.severity}"><td>{f.severity}</td><td>{html.escape(f.title)}</td><td>{html.escape(f.file or "")}{":" + str(f.line) if f.line else ""}</td><td>{html.escape(f.explanation)}<br><em>{html.escape(f.fix_prompt)}</em></td><td><code>{html.escape(f.evidence or "")}</code></td></tr>'
-        for f in result.sorted_findings().where(F.col("repo_id") == repo_id).toLocalIterator()
-    ]
-    filters = " ".join(f'<label><input type="checkbox" checked onchange="document.querySelectorAll(\'tr.{s}\').forEach(r=>r.hidden=!this.checked)">{s}</label>' for s in WEIGHTS)
-    return f"<!DOCTYPE html><meta charset=utf-8><title>{html.escape(repo_id)}</title><h1>{html.escape(repo_id)}: {score}/100</h1><p>{filters}</p><table>{''.join(rows)}</table>"
-
-
-def terminal(result: Result, gated: DataFrame, repo_id: str, top: int = 5, most_issues: int = 20) -> str:
-    """A short text: status, ghost packages, the first findings, issues."""
-    mine = F.col("repo_id") == repo_id
-    s = gated.where(mine).first()
-    out = [f"{s.status}  trust score {s.trust_score}/100  " + ", ".join(f"{s[x]} {x}" for x in WEIGHTS if s[x])]
-    out += [f"  - {r}" for r in s.reasons]
-    findings = result.sorted_findings().where(mine)
-    ghost = findings.where((F.col("detector_id") == "ghost-deps") & F.col("id").rlike("nonexistent|typosquat"))
-    if n := ghost.count():
-        out.append(f"ghost packages: {n}")
-        out += [f"  {f.title} ({f.file}:{f.line})" for f in ghost.limit(top).collect()]
-    out += [f"[{f.severity}] {f.title} ({f.file or '-'}{':' + str(f.line) if f.line else ''})" for f in findings.where("severity <> 'info'").limit(top).collect()]
-    issues = result.issues.where(mine)
-    out += [f"! {i.detector_id}: {i.message}" for i in issues.orderBy("detector_id", "code", "message").limit(most_issues).collect()]
-    if (hidden := issues.count() - most_issues) > 0:
-        out.append(f"! and {hidden} more")
+    return "".join(files.page_text(repo_id, score, _mine(result, repo_id)))
+
+
+def file_rows(result: Result, gated: DataFrame) -> DataFrame:
+    """What files.write takes."""
+    return files.report_rows(result.findings, gated, scoring.finding_order(F.col("severity"), F.col("detector_id"), F.col("file"), F.col("line")))
+
+
+def _top(rows: DataFrame, order: list, most: int, *columns: str) -> DataFrame:
+    """repo_id, n (rows) and top: the first `most` of each repository's rows. Only these are collected."""
+    place = F.row_number().over(Window.partitionBy("repo_id").orderBy(*order)).alias("_place")
+    first = rows.select("repo_id", *columns, place).where(F.col("_place") <= most)
+    listed = first.groupBy("repo_id").agg(F.sort_array(F.collect_list(F.struct("_place", *columns))).alias("top"))
+    return rows.groupBy("repo_id").agg(F.count("*").alias("n")).join(listed, "repo_id")
+
+
+def terminals(result: Result, gated: DataFrame, top: int = 5, most_issues: int = 20) -> DataFrame:
+    """gated with what a terminal shows of each repository: ghosts, found and issued, each with n and top."""
+    order = [*scoring.finding_order(F.col("severity"), F.col("detector_id"), F.col("file"), F.col("line")), F.col("id")]
+    shown = ["severity", "title", "file", "line"]
+    parts = {
+        "ghosts": _top(ghosts(result.findings), order, top, *shown),
+        "found": _top(result.findings.where("severity <> 'info'"), order, top, *shown),
+        "issued": _top(result.issues, [F.col(c) for c in ("detector_id", "code", "message", "file")], most_issues, "detector_id", "message"),
+    }
+    for name, some in parts.items():
+        gated = gated.join(some.select("repo_id", F.struct("n", "top").alias(name)), "repo_id", "left")
+    return gated
+
+
+def terminal_text(row) -> str:
+    """A short text of a row of terminals: status, ghost packages, the first findings, issues."""
+    out = [f"{row.status}  trust score {row.trust_score}/100  " + ", ".join(f"{row[x]} {x}" for x in WEIGHTS if row[x])]
+    out += [f"  - {r}" for r in row.reasons]
+    if row.ghosts:
+        out.append(f"ghost packages: {row.ghosts.n}")
+        out += [f"  {f.title} ({f.file}:{f.line})" for f in row.ghosts.top]
+    out += [f"[{f.severity}] {f.title} ({f.file or '-'}{':' + str(f.line) if f.line else ''})" for f in (row.found.top if row.found else [])]
+    if row.issued:
+        out += [f"! {i.detector_id}: {i.message}" for i in row.issued.top]
+        if (hidden := row.issued.n - len(row.issued.top)) > 0:
+            out.append(f"! and {hidden} more")
     return "\n".join(out)
 
 
+def terminal(result: Result, gated: DataFrame, repo_id: str) -> str:
+    """What a terminal shows of one repository."""
+    return terminal_text(terminals(result, gated).where(F.col("repo_id") == repo_id).first())
+
+
 def ghosts(findings: DataFrame) -> DataFrame:
     """Findings of packages that don't exist or imitate another, with in_docs."""
     ghost = findings.where((F.col("detector_id") == "ghost-deps") & F.col("id").rlike("nonexistent|typosquat"))
@@ -101,12 +105,3 @@ def corpus_counts(repos: DataFrame, ghost: DataFrame, *by: str) -> DataFrame:
     joined = repos.join(by_repo, "repo_id", "left").fillna(0, ["ghosts", "in_docs"])
     made = joined.groupBy(*by).agg(F.count("*").alias("scanned"), F.count_if(F.col("ghosts") > 0).alias("affected"), F.sum("ghosts").alias("ghosts"), F.sum("in_docs").alias("in_docs"))
     return made.withColumn("rate", F.round(100 * F.col("affected") / F.greatest("scanned", F.lit(1)), 1))
-
-
-def write_json(value: dict, path: str) -> None:
-    with open(path, "w", encoding="utf-8") as f:
-        json.dump(value, f, indent=2, ensure_ascii=False)
-
-
-def slug(repo_id: str) -> str:
-    return re.sub(r"[^A-Za-z0-9._-]+", "-", repo_id)[:100]

@@ -1,7 +1,8 @@
 """Source trees as a table: one row for each file of each repository.
 
 Spark's own file sources leave out names that begin with . or _, which are the ones that matter
-here; so this is a data source of its own. A few repositories are cut into shares of their top-level
+here; so this is a data source of its own. Filters on repository, path, name, extension, size and walk
+come to the source: files that they leave out are listed but not opened. A few repositories are cut into shares of their top-level
 entries, many are taken whole, and partitions get several each; executors do all of the listing.
 A row says which of the two walks reaches the file: the text walk (configuration and sources of
 bounded size) or the package walk (manifests, imports, docs). Contents are only read on request.
@@ -14,7 +15,7 @@ import os
 from collections.abc import Iterator
 
 from pyspark.sql import DataFrame, SparkSession
-from pyspark.sql.datasource import DataSource, DataSourceReader, InputPartition
+from pyspark.sql.datasource import DataSource, DataSourceReader, EqualTo, Filter, GreaterThan, GreaterThanOrEqual, In, InputPartition, LessThan, LessThanOrEqual, StringContains, StringEndsWith, StringStartsWith
 
 # What the walks leave out.
 PACKAGE_SKIPPED = frozenset([
@@ -45,6 +46,14 @@ def _extension(name: str) -> str:
     return dot + ending.lower() if stem and stem.strip(".") else ""
 
 
+#: What the source can tell before it opens a file: a row's place by column.
+_TOLD = {"repo_id": 0, "path": 1, "basename": 2, "ext": 3, "size": 4, "in_text_walk": 6, "in_package_walk": 7}
+_TESTS = {
+    EqualTo: lambda a, b: a == b, In: lambda a, b: a in b, LessThan: lambda a, b: a < b, LessThanOrEqual: lambda a, b: a <= b, GreaterThan: lambda a, b: a > b,
+    GreaterThanOrEqual: lambda a, b: a >= b, StringStartsWith: lambda a, b: a.startswith(b), StringEndsWith: lambda a, b: a.endswith(b), StringContains: lambda a, b: b in a,
+}
+
+
 class _Part(InputPartition):
     """Shares of repositories: id, folder, number of the share, shares of that repository."""
 
@@ -58,13 +67,34 @@ class _Reader(DataSourceReader):
         self.with_content = options.get("content", "true").lower() == "true"
         self.largest = int(options.get("largest", LARGEST_TEXT))
         self.shares = max(1, int(options.get("shares", SHARES)))
+        self.filters: list[tuple[int, type, object]] = []
+
+    def pushFilters(self, filters: list[Filter]):
+        """Takes what _TOLD can answer; Spark applies the rest."""
+        for f in filters:
+            if type(f) in _TESTS and len(f.attribute) == 1 and f.attribute[0] in _TOLD:
+                self.filters.append((_TOLD[f.attribute[0]], type(f), f.value))
+            else:
+                yield f
+
+    def _wanted(self, row: tuple) -> bool:
+        """Nothing is compared with a null, and such a row goes."""
+        return all(row[k] is not None and _TESTS[kind](row[k], value) for k, kind, value in self.filters)
+
+    def _repos(self) -> dict[str, str]:
+        own = [(kind, value) for k, kind, value in self.filters if k == 0]
+        return {r: root for r, root in self.repos.items() if all(_TESTS[kind](r, value) for kind, value in own)}
 
     def partitions(self):
-        of = max(1, min(self.shares, PARTITIONS // max(1, len(self.repos))))
-        shares = [(repo, root, k, of) for repo, root in self.repos.items() for k in range(of)]
+        repos = self._repos()
+        of = max(1, min(self.shares, PARTITIONS // max(1, len(repos))))
+        shares = [(repo, root, k, of) for repo, root in repos.items() for k in range(of)]
         return [_Part(shares[k::PARTITIONS]) for k in range(min(PARTITIONS, len(shares)))] or [_Part([])]
 
     def read(self, part):
+        return filter(self._wanted, self._rows(part)) if self.filters else self._rows(part)
+
+    def _rows(self, part):
         for repo, root, share, of in part.shares:
             try:
                 entries = sorted(os.listdir(root))
@@ -94,7 +124,8 @@ class _Reader(DataSourceReader):
             return
         for name in names:
             full = os.path.join(root, TRACES, name)
-            if name.endswith((".json", ".jsonl")) and os.path.isfile(full) and not os.path.islink(full):
+            seen = (repo, f"{TRACES}/{name}", name, _extension(name), 0, None, False, False)
+            if name.endswith((".json", ".jsonl")) and os.path.isfile(full) and not os.path.islink(full) and all(_TESTS[kind](seen[k], value) for k, kind, value in self.filters if k != 4):
                 try:
                     with open(full, "rb") as f:
                         content = f.read()
@@ -133,7 +164,7 @@ class _Reader(DataSourceReader):
             if not (text or package):
                 return
             content = None
-            if self.with_content:
+            if self.with_content and self._wanted((repo, path, name, ext, size, None, text, package)):
                 try:
                     with open(full, "rb") as f:
                         content = f.read()
@@ -161,4 +192,5 @@ class SourceTree(DataSource):
 def read_trees(spark: SparkSession, repos: dict[str, str], content: bool = True, largest: int = LARGEST_TEXT) -> DataFrame:
     """The files and the walks' issues of repositories, by id and folder."""
     spark.dataSource.register(SourceTree)
+    spark.conf.set("spark.sql.python.filterPushdown.enabled", "true")  # else Spark refuses a source that takes filters
     return spark.read.format("sourcetree").option("repos", json.dumps(repos)).option("content", str(content).lower()).option("largest", str(largest)).load()
