@@ -35,6 +35,7 @@ _MARKING = frozenset("class id role hidden aria-hidden".split())
 
 # Fixed values of the HTML standard.
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
+_COMMENT_END = re.compile(r"(?<=<!)---?>|(?<!<!)--!?>")
 RAW = frozenset("script style textarea title xmp iframe noembed noframes".split())
 BLOCKS = frozenset(
     "address article aside blockquote body center dd details dialog dir div dl dt fieldset figcaption figure footer form h1 h2 h3 h4 h5 h6 head header hgroup hr html legend li main menu nav ol optgroup option p pre search section summary table tbody td tfoot th thead tr ul".split()
@@ -154,7 +155,10 @@ class Page:
     @staticmethod
     def _declaration(source: str, at: int) -> int:
         """The place after a comment, a CDATA section or a declaration; without an end, the page's end."""
-        for begin, end in (("<!--", "-->"), ("<![CDATA[", "]]>"), ("<", ">")):
+        if source.startswith("<!--", at):
+            stop = _COMMENT_END.search(source, at + 2)  # <!--> and <!---> are whole comments
+            return stop.end() if stop else len(source)
+        for begin, end in (("<![CDATA[", "]]>"), ("<", ">")):
             if source.startswith(begin, at):
                 stop = source.find(end, at + len(begin))
                 return len(source) if stop < 0 else stop + len(end)

@@ -25,6 +25,7 @@ from corpusward.llm.html import Page
         ("a < b <> c </ d <1", "a < b <> c </ d <1"),
         ("<div class='loaded'>a</div><div class='reading'>b</div>", "a\nb"),
         ("<p title='a>b'>q</p><P CLASS=Ad>no</P>", "q"),
+        ("<article><p>a<!-- b --!>c</p><p>d<!-->e<!--->f<!---->g<!-- > -- -->h</p>i<!-- open --", "ac\ndefgh\ni"),
     ],
 )
 def test_pages(source, want):
