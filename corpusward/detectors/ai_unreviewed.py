@@ -43,7 +43,7 @@ def disclosed_ranges(files: DataFrame) -> DataFrame:
 
 def detect(tables: Tables) -> Found:
     given = trace_ranges(tables.files).unionByName(disclosed_ranges(tables.files))
-    left = ranges.subtract(given.where("contributor = 'ai'"), given.where("contributor in ('human', 'mixed')"), "repo_id", "file")
+    left = ranges.subtract(given.where("contributor = 'ai'"), given.where("contributor in ('human', 'mixed')"), "repo_id", "file", spread=False)  # keys are files, whose records are few
     by_file = left.groupBy("repo_id", "file").agg(ranges.line_count(F.col("start"), F.col("end")).cast("long").alias("lines"), F.sort_array(F.collect_list(F.struct("start", "end"))).alias("r"))
     about = given.groupBy("repo_id", "file").agg(F.array_sort(F.collect_set("source")).alias("sources"), F.array_sort(F.collect_set(F.when(F.col("contributor") == "ai", F.col("model")))).alias("models"))
     rows = by_file.join(about, ["repo_id", "file"]).withColumn("severity", F.when(F.col("lines") >= 80, "medium").when(F.col("lines") >= 20, "low").otherwise("info"))

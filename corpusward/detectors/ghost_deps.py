@@ -2,8 +2,7 @@
 
 from __future__ import annotations
 
-from functools import reduce
-
+from pyspark import StorageLevel
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -58,12 +57,10 @@ def resolved(refs: DataFrame, files: DataFrame) -> DataFrame:
 
 def near_popular(refs: DataFrame) -> DataFrame:
     """ecosystem, norm, typo_of: the nearest widely used name; names that are such have none."""
-    spark, parts = refs.sparkSession, []
-    for ecosystem, popular in POPULAR.items():
-        known = spark.createDataFrame([(n, i) for i, n in enumerate(popular)], "known string, ord int")
-        some = refs.where(F.col("ecosystem") == ecosystem).select(F.col("norm").alias("name"))
-        parts.append(similar.nearest(some, known).select(F.lit(ecosystem).alias("ecosystem"), F.col("name").alias("norm"), F.col("candidate").alias("typo_of")))
-    return reduce(lambda a, b: a.unionByName(b), parts)
+    rows = [(ecosystem, name, i) for ecosystem, popular in POPULAR.items() for i, name in enumerate(popular)]
+    known = refs.sparkSession.createDataFrame(rows, "ecosystem string, known string, ord int")
+    found = similar.nearest(refs.select("ecosystem", F.col("norm").alias("name")), known, keys=("ecosystem",))
+    return found.select("ecosystem", F.col("name").alias("norm"), F.col("candidate").alias("typo_of"))
 
 
 def looked_up(refs: DataFrame, tables: Tables, ttl_hours: float = registry.TTL_HOURS) -> DataFrame:
@@ -80,8 +77,8 @@ def looked_up(refs: DataFrame, tables: Tables, ttl_hours: float = registry.TTL_H
 
 def detect(tables: Tables, ttl_hours: float = registry.TTL_HOURS, **thresholds) -> Found:
     """thresholds: min_age_days, min_downloads, mature_days of references.decisions."""
-    refs = resolved(package_references(tables.files), tables.files)
-    looked = looked_up(refs.join(near_popular(refs), ["ecosystem", "norm"], "left"), tables, ttl_hours)
+    refs = resolved(package_references(tables.files), tables.files).persist(StorageLevel.MEMORY_AND_DISK)  # names, findings and issues all read them
+    looked = looked_up(refs.join(near_popular(refs), ["ecosystem", "norm"], "left"), tables, ttl_hours).persist(StorageLevel.MEMORY_AND_DISK)
     age = days_between(F.col("created_at"), tables.now)
     flags = references.decisions(F.col("exists"), F.col("blind"), F.col("typo_of").isNotNull(), age, F.col("weekly_downloads"), F.col("ecosystem") == "npm", **thresholds)
     rows = looked.withColumn("flag", F.explode(flags))
@@ -105,4 +102,4 @@ def detect(tables: Tables, ttl_hours: float = registry.TTL_HOURS, **thresholds)
     )
     unknown = looked.where("exists is null")
     issues = unknown.select("repo_id", F.lit(ID).alias("detector_id"), F.lit("registry-lookup-unknown").alias("code"), F.concat(F.lit("Could not verify "), F.col("ecosystem"), F.lit(' package "'), F.col("name"), F.lit('".')).alias("message"), "file")
-    return Found(made, issues, tables.files.where("in_package_walk and issue_code is null").select("repo_id", "path"))
+    return Found(made, issues, tables.files.where("in_package_walk and issue_code is null").select("repo_id", "path"), kept=[refs, looked])

@@ -23,17 +23,20 @@ def _met(rows: DataFrame, table: DataFrame, on: list[str], how: str = "left", sm
     return rows.join(F.broadcast(named) if small else named, same, how).drop(*[f"_{c}_" for c in on])
 
 
-def _parted(rows: DataFrame, keys: list[str], by: str) -> DataFrame | None:
-    """rows with `_part`: keys of over ROWS rows in parts of about so many, in the order of `by`. None if
-    there is no such key. Each key has a value of `by` once."""
-    counts = rows.groupBy(*keys).agg(F.count("*").alias("_n")).where(F.col("_n") > ROWS)
+def _hot(ranges: DataFrame, keys: list[str], each: int = 1) -> tuple[DataFrame, int, int] | None:
+    """(the keys of more than ROWS rows, how many they are, parts of each), or None. each: what a range counts."""
+    counts = ranges.groupBy(*keys).agg((each * F.count("*")).alias("_n")).where(F.col("_n") > ROWS)
     n_hot, most = counts.agg(F.count("*"), F.max("_n")).first()
-    if not n_hot:
-        return None
-    parts = min(PARTS, -(-most // ROWS))
-    hot = _met(rows, counts.select(*keys), keys, "left_semi", n_hot <= HOT_KEYS)
+    return (counts.select(*keys), n_hot, min(PARTS, -(-most // ROWS))) if n_hot else None
+
+
+def _parted(rows: DataFrame, keys: list[str], by: str, hot: tuple[DataFrame, int, int]) -> DataFrame:
+    """rows with `_part`: those of hot keys in parts of about equal numbers, in the order of `by`. Each key
+    has a value of `by` once."""
+    of_hot, n_hot, parts = hot
+    some = _met(rows, of_hot, keys, "left_semi", n_hot <= HOT_KEYS)
     shares = F.array(*[F.lit(k / parts) for k in range(1, parts)])
-    cuts = hot.groupBy(*keys).agg(F.percentile_approx(by, shares, 10_000).alias("_cuts"))
+    cuts = some.groupBy(*keys).agg(F.percentile_approx(by, shares, 10_000).alias("_cuts"))
     dealt = _met(rows, cuts, keys, small=n_hot <= HOT_KEYS)
     return dealt.withColumn("_part", F.coalesce(F.size(F.filter("_cuts", lambda c: c < F.col(by))), F.lit(0))).drop("_cuts")
 
@@ -47,13 +50,19 @@ def _islands(rows: DataFrame, keys: list[str]) -> DataFrame:
     return marked.withColumn("_island", island).groupBy(*keys, "_island").agg(F.min("start").alias("start"), F.max("end").alias("end")).drop("_island")
 
 
-def merge(ranges: DataFrame, *keys: str) -> DataFrame:
-    """keys, start, end: overlapping and adjacent ranges of a key become one."""
+def merge(ranges: DataFrame, *keys: str, spread: bool = True) -> DataFrame:
+    """keys, start, end: overlapping and adjacent ranges of a key become one.
+
+    spread: first count the ranges of each key, to find those to cut into parts; without it nothing
+    runs before the result is asked for, and a key is swept in one task."""
     keys = list(keys)
-    longest = ranges.groupBy(*keys, "start").agg(F.max("end").alias("end"))
-    rows = _parted(longest, keys, "start")
-    if rows is None:
-        return _islands(longest, keys)
+    hot = _hot(ranges, keys) if spread else None
+    return _islands(ranges, keys) if hot is None else _stitched(ranges, keys, hot)
+
+
+def _stitched(ranges: DataFrame, keys: list[str], hot: tuple[DataFrame, int, int]) -> DataFrame:
+    """What merge gives, with hot keys in parts."""
+    rows = _parted(ranges.groupBy(*keys, "start").agg(F.max("end").alias("end")), keys, "start", hot)
     of_part = [*keys, "_part"]
     local = _islands(rows, of_part)
     earlier = Window.partitionBy(*keys).orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)
@@ -64,10 +73,10 @@ def merge(ranges: DataFrame, *keys: str) -> DataFrame:
     return named.groupBy(*keys, "start").agg(F.max("end").alias("end"))
 
 
-def subtract(base: DataFrame, cut: DataFrame, *keys: str) -> DataFrame:
+def subtract(base: DataFrame, cut: DataFrame, *keys: str, spread: bool = True) -> DataFrame:
     """keys, start, end: what of base no range of cut covers, merged.
 
-    A sweep over the ends of ranges, so the work doesn't depend on how long they are."""
+    A sweep over the ends of ranges, so the work doesn't depend on how long they are. spread: as for merge."""
     keys = list(keys)
 
     def ends(ranges: DataFrame, is_base: bool) -> DataFrame:
@@ -76,7 +85,8 @@ def subtract(base: DataFrame, cut: DataFrame, *keys: str) -> DataFrame:
         return some.select(*keys, "x.at", F.when(F.lit(is_base), F.col("x.d")).otherwise(0).alias("b"), F.when(F.lit(is_base), 0).otherwise(F.col("x.d")).alias("c"))
 
     points = ends(base, True).unionByName(ends(cut, False)).groupBy(*keys, "at").agg(F.sum("b").alias("b"), F.sum("c").alias("c"))
-    rows = _parted(points, keys, "at")
+    hot = _hot(base.select(*keys).unionByName(cut.select(*keys)), keys, 2) if spread else None
+    rows = None if hot is None else _parted(points, keys, "at", hot)
     of_part = keys if rows is None else [*keys, "_part"]
     order = Window.partitionBy(*of_part).orderBy("at")
     so_far = order.rowsBetween(Window.unboundedPreceding, 0)
@@ -85,10 +95,11 @@ def subtract(base: DataFrame, cut: DataFrame, *keys: str) -> DataFrame:
         sums = rows.groupBy(*of_part).agg(F.min("at").alias("_at"), F.sum("b").alias("_b"), F.sum("c").alias("_c"))
         parts = Window.partitionBy(*keys).orderBy("_part")
         earlier = parts.rowsBetween(Window.unboundedPreceding, -1)
-        left = sums.select(*of_part, F.lead("_at").over(parts).alias("_after"), *[F.coalesce(F.sum(x).over(earlier), F.lit(0)).alias(f"{x}_open") for x in ("_b", "_c")])
-        swept = _met(swept, left, of_part).select(*keys, "start", F.coalesce("_next", "_after").alias("_next"), (F.col("b") + F.col("_b_open")).alias("b"), (F.col("c") + F.col("_c_open")).alias("c"))
+        before = sums.select(*of_part, F.lead("_at").over(parts).alias("_after"), *[F.coalesce(F.sum(x).over(earlier), F.lit(0)).alias(f"{x}_open") for x in ("_b", "_c")])
+        swept = _met(swept, before, of_part).select(*keys, "start", F.coalesce("_next", "_after").alias("_next"), (F.col("b") + F.col("_b_open")).alias("b"), (F.col("c") + F.col("_c_open")).alias("c"))
     swept = swept.withColumn("end", F.col("_next") - 1)
-    return merge(swept.where("b > 0 and c = 0 and end is not null"), *keys)
+    left = swept.where("b > 0 and c = 0 and end is not null").select(*keys, "start", "end")
+    return _islands(left, keys) if hot is None else _stitched(left, keys, hot)
 
 
 def line_count(start: Column, end: Column) -> Column:

@@ -29,24 +29,25 @@ def deletion_variants(s: Column, limit: Column) -> Column:
     return F.array_distinct(F.concat(F.array(head), once, F.when(limit >= 2, twice).otherwise(F.array().cast("array<string>"))))
 
 
-def similar_pairs(names: DataFrame, known: DataFrame, by: str = "name") -> DataFrame:
-    """name, candidate, distance: distinct names with each known name (column `known`) at a distance
-    of at least 1 and at most the name's limit. Null names resemble nothing."""
-    right = known.select(F.col("known").alias("candidate")).where("candidate is not null").distinct()
+def similar_pairs(names: DataFrame, known: DataFrame, by: str = "name", keys: tuple[str, ...] = ()) -> DataFrame:
+    """keys, name, candidate, distance: distinct names with each known name (column `known`) of the same
+    keys at a distance of at least 1 and at most the name's limit. Null names resemble nothing."""
+    right = known.select(*keys, F.col("known").alias("candidate")).where("candidate is not null").distinct()
     size = F.length("candidate")
-    near = right.select(F.explode(F.sequence(F.greatest(size - MOST, F.lit(0)), size + MOST)).alias("_size")).distinct()
-    left = names.select(F.col(by).alias("name")).where("name is not null").distinct()
-    left = left.withColumn("_size", F.length("name")).join(near, "_size", "left_semi")
-    left = left.select("name", F.explode(deletion_variants(F.col("name"), distance_limit(F.col("name")))).alias("variant"))
-    right = right.select("candidate", F.explode(deletion_variants(F.col("candidate"), F.lit(MOST))).alias("variant"))
-    met = left.join(right, "variant").select("name", "candidate").distinct()
+    near = right.select(*keys, F.explode(F.sequence(F.greatest(size - MOST, F.lit(0)), size + MOST)).alias("_size")).distinct()
+    left = names.select(*keys, F.col(by).alias("name")).where("name is not null").distinct()
+    left = left.withColumn("_size", F.length("name")).join(near, [*keys, "_size"], "left_semi")
+    left = left.select(*keys, "name", F.explode(deletion_variants(F.col("name"), distance_limit(F.col("name")))).alias("variant"))
+    right = right.select(*keys, "candidate", F.explode(deletion_variants(F.col("candidate"), F.lit(MOST))).alias("variant"))
+    met = left.join(right, [*keys, "variant"]).select(*keys, "name", "candidate").distinct()
     distance = F.levenshtein("name", "candidate", MOST)  # -1 beyond it
     return met.withColumn("distance", distance).where((F.col("distance") >= 1) & (F.col("distance") <= distance_limit(F.col("name"))))
 
 
-def nearest(names: DataFrame, known: DataFrame, by: str = "name") -> DataFrame:
-    """name, candidate, distance: the nearest known name (known, ord: its place in the list, which
-    settles ties); names that are known themselves have none."""
-    pairs = similar_pairs(names, known, by).join(known.select(F.col("known").alias("candidate"), "ord"), "candidate")
-    pairs = pairs.join(known.select(F.col("known").alias("name")), "name", "left_anti")
-    return pairs.groupBy("name").agg(F.min_by(F.struct("candidate", "distance"), F.struct("distance", "ord")).alias("x")).select("name", "x.candidate", "x.distance")
+def nearest(names: DataFrame, known: DataFrame, by: str = "name", keys: tuple[str, ...] = ()) -> DataFrame:
+    """keys, name, candidate, distance: the nearest known name of the same keys (known, ord: its place in
+    the list, which settles ties); names that are known themselves have none."""
+    pairs = similar_pairs(names, known, by, keys).join(known.select(*keys, F.col("known").alias("candidate"), "ord"), [*keys, "candidate"])
+    pairs = pairs.join(known.select(*keys, F.col("known").alias("name")), [*keys, "name"], "left_anti")
+    best = F.min_by(F.struct("candidate", "distance"), F.struct("distance", "ord")).alias("x")
+    return pairs.groupBy(*keys, "name").agg(best).select(*keys, "name", "x.candidate", "x.distance")

@@ -66,7 +66,7 @@ _MASKED = "v[1:4] || '…' || v[length(v) - 3:length(v)]"
   UNION ALL SELECT doc_id, 2, CASE WHEN doc_id % 3 = 0 THEN '{_HELD_BACK}' ELSE '{_GIVEN}' END FROM documents),
 n AS (SELECT doc_id, line, v, ch, count(*) / CAST(any_value(length(v)) AS DOUBLE) AS p FROM (SELECT doc_id, line, v, unnest(string_split(v, '')) AS ch FROM v) GROUP BY ALL),
 e AS (SELECT doc_id, line, v, -sum(p * log2(p)) AS bits FROM n GROUP BY ALL)
-SELECT doc_id, CAST(line AS INTEGER) AS line, 'high' AS severity, {_MASKED} AS evidence FROM e WHERE bits >= 4.2 AND NOT regexp_matches(v, '{text.PLACEHOLDER}')
+SELECT doc_id, CAST(line AS INTEGER) AS line, 'high' AS severity, {_MASKED} AS evidence FROM e WHERE bits >= 4.2 AND NOT regexp_matches(v, '(?i)^(?:your[_-]?|my[_-]?|xxx+|placeholder|changeme|example|sample|dummy|test|todo|fixme|insert|replace|<.*>|\$\{{.*\}}|process\.env)')
 UNION ALL SELECT doc_id, 3, 'critical', {_MASKED} FROM (SELECT doc_id, '{_TOKEN}' AS v FROM documents WHERE doc_id % 5 = 0)"""
 )
 def secret_findings(spark, folder):
@@ -299,7 +299,7 @@ def text_snippets(spark, folder):
 
 @query(
     rf"""WITH v AS (SELECT p_partkey, CASE p_partkey % 6 WHEN 0 THEN 'your-' || p_name WHEN 1 THEN 'Example' || p_type WHEN 2 THEN md5(p_name) WHEN 3 THEN 'aaaabbbbcccc' WHEN 4 THEN '${{TOKEN}}' ELSE p_type END AS v FROM part)
-SELECT p_partkey, v AS value, regexp_matches(v, '{text.PLACEHOLDER}') OR len(list_distinct(string_split(v, ''))) < 6 AS placeholder FROM v"""
+SELECT p_partkey, v AS value, regexp_matches(v, '(?i)^(?:your[_-]?|my[_-]?|xxx+|placeholder|changeme|example|sample|dummy|test|todo|fixme|insert|replace|<.*>|\$\{{.*\}}|process\.env)') OR len(list_distinct(string_split(v, ''))) < 6 AS placeholder FROM v"""
 )
 def placeholder_values(spark, folder):
     key = F.col("p_partkey") % 6
@@ -402,3 +402,40 @@ def plain_sources_of_pages(spark, folder):
     pages = table(spark, folder, "pages").where(host != "")
     made = files_of(pages, "page_id", F.lit("package.json"), F.to_json(F.create_map(F.lit("dependencies"), F.create_map(host, F.concat(F.lit("git+"), "url")))))
     return supply_chain.detect(tables_of(made)).findings.select(_own_key().alias("page_id"), "id", "severity", "evidence")
+
+
+@query(
+    """WITH f AS (SELECT doc_id, source, len(string_split(text, chr(10))) + 2 AS n, lang IN ('de', 'fr') AS disclosed, doc_id % 5 = 0 AS reviewed FROM documents),
+k AS (SELECT *, CASE WHEN n >= 80 THEN 'medium' WHEN n >= 20 THEN 'low' ELSE 'info' END AS severity FROM f WHERE disclosed AND NOT reviewed),
+a AS (SELECT source, bool_or(severity <> 'info') AS told FROM k GROUP BY source)
+SELECT source, doc_id, severity, 'L1–' || n || ' (' || n || ' lines)' AS evidence FROM k JOIN a USING (source) WHERE NOT told OR severity <> 'info'"""
+)
+def disclosed_texts(spark, folder):
+    """Documents under a header that discloses a tool, some reviewed; a source with findings that call
+    for action drops its informational ones."""
+    docs, key = table(spark, folder, "documents"), F.col("doc_id")
+    head = F.when(F.col("lang").isin("de", "fr"), "# SPDX-AI-Disclosure: ai-generated").otherwise("# by hand")
+    review = F.when(key % 5 == 0, "# SPDX-AI-Reviewed: yes").otherwise("#")
+    made = files_of(docs, "source", F.concat(F.lit("d/"), key, F.lit(".py")), lines(head, review, F.col("text")))
+    found = ai_unreviewed.detect(tables_of(made)).findings
+    return found.select(F.col("repo_id").alias("source"), F.regexp_extract("file", r"(\d+)\.py$", 1).cast("long").alias("doc_id"), "severity", "evidence")
+
+
+@query(
+    """WITH p AS (SELECT page_id, url LIKE 'http://%' AS blind, regexp_matches(url, '://[^/?#]*[.]org(/|[?]|#|$)') AS mapped, 'pkg-' || page_id AS own, CASE page_id % 3 WHEN 0 THEN FALSE WHEN 1 THEN TRUE END AS known FROM pages),
+n AS (SELECT page_id, blind, own AS name, known FROM p UNION ALL SELECT page_id, blind, '@app/lib', NULL FROM p WHERE NOT mapped)
+SELECT page_id, name, CASE WHEN known IS NULL THEN 'ambiguous-blind' WHEN blind THEN 'nonexistent-blind' ELSE 'nonexistent' END AS kind, CASE WHEN blind THEN 'high' ELSE 'critical' END AS severity
+FROM n WHERE (known IS NULL AND blind) OR known = FALSE"""
+)
+def unresolved_aliases(spark, folder):
+    """A project for each page: bundler aliases that nothing evaluates behind plain addresses, paths of a
+    commented configuration on .org, and a package that the registry has, lacks or doesn't know."""
+    pages, key = table(spark, folder, "pages"), F.col("page_id")
+    config = lines('{ // paths', '"compilerOptions": { /* "paths": {} */ "paths": {"@app/*": ["./app/*"],}, },', "}")
+    source = lines("import a from '@app/lib/x';", F.concat(F.lit("import b from 'pkg-"), key, F.lit("/y';")))
+    made = files_of(pages, "page_id", F.lit("src/a.ts"), source)
+    made = made.unionByName(files_of(pages.where(F.col("url").rlike(r"://[^/?#]*\.org(?:/|\?|#|$)")), "page_id", F.lit("tsconfig.json"), config))
+    made = made.unionByName(files_of(pages.where(F.col("url").startswith("http://")), "page_id", F.lit("vite.config.ts"), F.lit("export default { resolve: { alias: { '@app': '/app' } } }")))
+    registry = pages.where(key % 3 != 2).select(F.lit("npm").alias("ecosystem"), F.concat(F.lit("pkg-"), key).alias("name"), (key % 3 == 1).alias("exists"), F.lit(None).cast("timestamp").alias("created_at"), F.lit(None).cast("long").alias("weekly_downloads"))
+    found = ghost_deps.detect(tables_of(made, registry=registry)).findings
+    return found.select(_own_key().alias("page_id"), F.col("evidence").alias("name"), F.split_part("id", F.lit(":"), F.lit(2)).alias("kind"), "severity")

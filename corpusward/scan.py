@@ -43,11 +43,12 @@ class Result:
     findings: DataFrame
     issues: DataFrame
     stats: DataFrame
-    files: DataFrame | None = None  # what is kept while the result is in use
+    kept: tuple[DataFrame, ...] = ()  # persisted while the result is in use
 
     def release(self) -> None:
-        if self.files is not None:
-            self.files.unpersist()
+        """Frees what the result keeps, when nothing reads it any more."""
+        for some in self.kept:
+            some.unpersist()
 
     def sorted_findings(self) -> DataFrame:
         order = scoring.finding_order(F.col("severity"), F.col("detector_id"), F.col("file"), F.col("line"))
@@ -111,7 +112,7 @@ def scan(tables: Tables, detectors: dict[str, Detector] | None = None) -> Result
         if some := [n for n in names if n in found]:
             issues.append(walk.where(f"in_{kind}_walk").select("repo_id", F.explode(F.array(*map(F.lit, some))).alias("detector_id"), F.col("issue_code").alias("code"), F.col("issue_message").alias("message"), F.col("path").alias("file")))
     issues = distinct_issues(reduce(lambda a, b: a.unionByName(b), issues, spark.createDataFrame([], ISSUE)))
-    return Result(tables.repos, findings, issues, _stats(tables.repos, found, findings, issues))
+    return Result(tables.repos, findings, issues, _stats(tables.repos, found, findings, issues), tuple(k for f in found.values() for k in f.kept))
 
 
 def scan_folders(spark: SparkSession, folders: dict[str, str], detectors: dict[str, Detector] | None = None, registry: DataFrame | None = None, commits: DataFrame | None = None, git_files: DataFrame | None = None, now: Column | None = None) -> Result:
@@ -124,7 +125,8 @@ def scan_folders(spark: SparkSession, folders: dict[str, str], detectors: dict[s
     tables = Tables(files, repos, registry, commits, git_files)
     if now is not None:
         tables.now = now
-    return replace(scan(tables, detectors), files=files)
+    made = scan(tables, detectors)
+    return replace(made, kept=(*made.kept, files))
 
 
 def with_policy(result: Result, policy: Policy | dict[str, Policy]) -> Result:
@@ -148,4 +150,4 @@ def _restated(result: Result, findings: DataFrame, issues: DataFrame) -> Result:
     m = issues.groupBy(*key).agg(F.count("*").alias("issues"))
     stats = result.stats.select(*key, "status", "analysed").join(n, key, "left").join(m, key, "left").fillna(0, ["findings", "issues"])
     status = F.when((F.col("status") == "degraded") & (F.col("issues") == 0), "ran").otherwise(F.col("status"))
-    return Result(result.repos, findings, issues, stats.withColumn("status", status), result.files)
+    return Result(result.repos, findings, issues, stats.withColumn("status", status), result.kept)

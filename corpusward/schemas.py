@@ -47,6 +47,7 @@ class Found:
     issues: DataFrame | None = None
     analysed: DataFrame | None = None
     skips: DataFrame | None = None  # repo_id, reason
+    kept: list[DataFrame] = field(default_factory=list)  # persisted while the result is in use
 
 
 def with_text(files: DataFrame) -> DataFrame:

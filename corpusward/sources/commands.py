@@ -30,6 +30,7 @@ PLACEHOLDERS = set(
         "other-package", "package1", "package2",
     ]
 )
+#: Endings of files, signs and starts of words that stand in, versions, marks around commands. Fixed values.
 FILE_ENDINGS = (".tgz", ".tar.gz", ".zip", ".whl", ".git", ".txt", ".json", ".toml", ".lock", ".yaml", ".yml")
 NPM_NAME = re.compile(r"(?:@[a-z0-9][a-z0-9._-]*/)?[a-z0-9][a-z0-9._-]*", re.I)
 PYPI_NAME = re.compile(r"[A-Za-z0-9][A-Za-z0-9._-]*")

@@ -88,7 +88,8 @@ def test_a_key_of_many_ranges_is_swept_in_parts(spark, monkeypatch):
         monkeypatch.setattr(ranges, "HOT_KEYS", hot_keys)
         assert sorted((str(r.key), r.start, r.end) for r in ranges.merge(frames[0], "key").collect()) == want
         assert sorted((str(r.key), r.start, r.end) for r in ranges.subtract(*frames, "key").collect()) == less
-    parted = ranges._parted(frames[0].select("key", "start").distinct(), ["key"], "start").groupBy("key", "_part").count()
+    hot = ranges._hot(frames[0], ["key"])
+    parted = ranges._parted(frames[0].select("key", "start").distinct(), ["key"], "start", hot).groupBy("key", "_part").count()
     assert max(r["count"] for r in parted.collect()) < 20 and parted.where("key = 'hot'").count() > 20
 
 
