@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 from corpusward.functions.text import is_placeholder, masked, shannon_entropy
@@ -28,15 +29,31 @@ FORMATS = [
 ]
 
 
-def detect(tables: Tables, entropy: bool = True, shortest: int = SHORTEST, least_entropy: float = LEAST_ENTROPY) -> Found:
+#: What a rule's level means. Fixed values.
+SEVERITIES, OTHER_SEVERITY = {"error": "critical", "warning": "high"}, "medium"
+
+
+def severity_of(level: Column) -> Column:
+    return F.coalesce(*[F.when(level == k, v) for k, v in SEVERITIES.items()], F.lit(OTHER_SEVERITY))
+
+
+def label(rule: Column) -> Column:
+    """A rule's name as words, without the part before its last slash."""
+    return F.replace(F.substring_index(rule, "/", -1), F.lit("-"), F.lit(" "))
+
+
+def detect(tables: Tables, entropy: bool = True, shortest: int = SHORTEST, least_entropy: float = LEAST_ENTROPY, formats: dict[str, str] | None = None, levels: dict[str, str] | None = None) -> Found:
+    """formats: patterns by rule, in place of FORMATS. levels: error, warning or info by rule; those that
+    aren't named are errors."""
     files = tables.files.where("in_text_walk and issue_code is null and text is not null")
-    rows = scan_all(files, dict(FORMATS)).select("repo_id", "path", "match", "line", "rule")
+    level = F.coalesce(*[F.when(F.col("rule") == k, F.lit(v)) for k, v in (levels or {}).items()], F.lit("error"))
+    rows = scan_all(files, dict(FORMATS) if formats is None else formats).select("repo_id", "path", "match", "line", "rule")
     hits = findings(
         rows,
         id=F.concat_ws(":", F.lit(ID), "rule", "path", "line"),
         detector_id=ID,
-        severity="critical",
-        title=F.concat(F.lit("Credential in the source: "), F.col("rule")),
+        severity=severity_of(level),
+        title=F.concat(F.lit("Credential in the source: "), label(F.col("rule"))),
         explanation=F.lit("Text in a provider's credential format stands in a file."),
         fix_prompt=F.lit("Revoke the credential, take it out of the file and its history, and read it from the environment."),
         file=F.col("path"),

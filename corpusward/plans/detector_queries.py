@@ -439,3 +439,17 @@ def unresolved_aliases(spark, folder):
     registry = pages.where(key % 3 != 2).select(F.lit("npm").alias("ecosystem"), F.concat(F.lit("pkg-"), key).alias("name"), (key % 3 == 1).alias("exists"), F.lit(None).cast("timestamp").alias("created_at"), F.lit(None).cast("long").alias("weekly_downloads"))
     found = ghost_deps.detect(tables_of(made, registry=registry)).findings
     return found.select(_own_key().alias("page_id"), F.col("evidence").alias("name"), F.split_part("id", F.lit(":"), F.lit(2)).alias("kind"), "severity")
+
+
+@query(
+    r"""WITH l AS (SELECT p_partkey, 1 AS line, p_brand AS said FROM part UNION ALL SELECT p_partkey, 2, p_type FROM part UNION ALL SELECT p_partkey, 3, p_name FROM part),
+m AS (SELECT p_partkey, line, 'maker brand' AS label, 'critical' AS severity, unnest(regexp_extract_all(said, '\bBrand#[1-3]\b')) AS v FROM l
+  UNION ALL SELECT p_partkey, line, 'kind', 'high', unnest(regexp_extract_all(said, '\b[A-Z]{6,}\b')) FROM l UNION ALL SELECT p_partkey, line, 'colour', 'medium', unnest(regexp_extract_all(said, '\b(?:red|blue) \w+')) FROM l)
+SELECT p_partkey, CAST(line AS INTEGER) AS line, severity, 'Credential in the source: ' || label AS title, CASE WHEN length(v) <= 8 THEN '****' ELSE left(v, 4) || '…' || right(v, 4) END AS evidence FROM m"""
+)
+def own_secret_formats(spark, folder):
+    """Formats of one's own over the parts' columns, of each level."""
+    made = files_of(table(spark, folder, "part"), "p_partkey", F.lit("part.txt"), lines(F.col("p_brand"), F.col("p_type"), F.col("p_name")))
+    formats = {"own/maker-brand": r"\bBrand#[1-3]\b", "own/kind": r"\b[A-Z]{6,}\b", "own/colour": r"\b(?:red|blue) \w+"}
+    found = secrets.detect(tables_of(made), entropy=False, formats=formats, levels={"own/kind": "warning", "own/colour": "info"}).findings
+    return found.select(_own_key().alias("p_partkey"), "line", "severity", "title", "evidence")
