@@ -12,7 +12,7 @@ from corpusward.detectors import ai_presence, ai_unreviewed, crypto, env_leak, g
 from corpusward.functions import names, text
 from corpusward.operators import scope
 from corpusward.plans.queries import _RANGES_SQL, _event_ranges, query, table
-from corpusward.schemas import Tables, language
+from corpusward.schemas import ISSUE, Tables, findings, language
 from corpusward.sinks import reports
 from corpusward.sources.packages import package_references
 
@@ -453,3 +453,21 @@ def own_secret_formats(spark, folder):
     formats = {"own/maker-brand": r"\bBrand#[1-3]\b", "own/kind": r"\b[A-Z]{6,}\b", "own/colour": r"\b(?:red|blue) \w+"}
     found = secrets.detect(tables_of(made), entropy=False, formats=formats, levels={"own/kind": "warning", "own/colour": "info"}).findings
     return found.select(_own_key().alias("p_partkey"), "line", "severity", "title", "evidence")
+
+
+@query(
+    """WITH f AS (SELECT o_custkey, o_orderkey, left(o_orderpriority, 1) AS p, o_orderkey % 7 AS line FROM orders),
+n AS (SELECT o_custkey, count(*) AS n FROM f WHERE p < '5' GROUP BY o_custkey),
+t AS (SELECT *, row_number() OVER (PARTITION BY o_custkey ORDER BY p, line, o_orderkey) AS place FROM f WHERE p < '5')
+SELECT o_custkey AS c_custkey, n, CAST(place AS INTEGER) AS place, o_orderkey FROM t JOIN n USING (o_custkey) WHERE place <= 5"""
+)
+def first_findings_by_customer(spark, folder):
+    """What a terminal shows of each customer's orders as findings: how many call for action, and the first five."""
+    first = F.left("o_orderpriority", F.lit(1))
+    severity = F.when(first == "1", "critical").when(first == "2", "high").when(first == "3", "medium").when(first == "4", "low").otherwise("info")
+    orders = table(spark, folder, "orders").select(F.col("o_custkey").cast("string").alias("repo_id"), F.lpad(F.col("o_orderkey").cast("string"), 12, "0").alias("id"), F.col("o_orderkey").cast("string").alias("title"), severity.alias("severity"), (F.col("o_orderkey") % 7).alias("line"))
+    found = findings(orders, detector_id="secrets")
+    issues = spark.createDataFrame([], ISSUE)
+    repos = found.select("repo_id").distinct()
+    shown = reports.terminals(scan.Result(repos, found, issues, repos), repos).select("repo_id", "found.n", F.posexplode("found.top").alias("pos", "f"))
+    return shown.select(F.col("repo_id").cast("long").alias("c_custkey"), "n", (F.col("pos") + 1).alias("place"), F.col("f.title").cast("long").alias("o_orderkey"))
