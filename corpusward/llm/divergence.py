@@ -67,13 +67,14 @@ def _distinct(values: np.ndarray) -> np.ndarray:
 
 
 def _sketch_batches(batches, depth, width):
-    cells = np.zeros(depth * width, np.int32)
+    cells = np.zeros(depth * width, np.uint8)
     for batch in batches:
         for low, row, *found in _terms(batch):
             key, of = np.unique(_keys(batch, low, row, *found), return_inverse=True)
-            docs = np.bincount(_distinct(row * len(key) + of) % max(1, len(key)), minlength=len(key)).astype(np.int32)
+            docs = np.bincount(_distinct(row * len(key) + of) % max(1, len(key)), minlength=len(key))
             for at in _cells(key, depth, width):
-                np.add.at(cells, at, docs)
+                at, of = np.unique(at, return_inverse=True)
+                cells[at] = np.minimum(cells[at] + np.bincount(of, docs, len(at)).astype(np.int64), 255)
     yield from _blocks({k: some for k, some in enumerate(cells.reshape(-1, _BLOCK)) if some.any()})
 
 
