@@ -2,18 +2,18 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column
+from pyspark.sql import Column, Window
 from pyspark.sql import functions as F
 
 from corpusward.functions.text import is_placeholder, masked, shannon_entropy
-from corpusward.operators.references import first_by
-from corpusward.operators.regexscan import scan, scan_all
+from corpusward.operators.regexscan import scan_all
 from corpusward.schemas import Found, Tables, findings
 
 ID = "secrets"
 #: A secret-like name bound to a quoted value. Fixed value.
 NAMED = r"(?i)(?:^|[\s.{,])(?:api[_-]?key|access[_-]?key|secret(?:[_-]?key)?|passwd|password|auth[_-]?token|access[_-]?token|refresh[_-]?token|private[_-]?key|client[_-]?secret|credentials?)\s*[:=]\s*[\"'`][A-Za-z0-9+/=_\-.]{20,}[\"'`]"
 SHORTEST, LEAST_ENTROPY = 24, 4.2
+_BOUND = ""  # stands for NAMED among the rules of formats
 #: Published formats of providers' tokens: rule, pattern.
 FORMATS = [
     ("aws-access-key", r"\b(?:AKIA|ASIA)[0-9A-Z]{16}\b"),
@@ -47,37 +47,31 @@ def detect(tables: Tables, entropy: bool = True, shortest: int = SHORTEST, least
     aren't named are errors."""
     files = tables.files.where("in_text_walk and issue_code is null and text is not null")
     level = F.coalesce(*[F.when(F.col("rule") == k, F.lit(v)) for k, v in (levels or {}).items()], F.lit("error"))
-    rows = scan_all(files, dict(FORMATS) if formats is None else formats).select("repo_id", "path", "match", "line", "rule")
+    patterns = dict(FORMATS) if formats is None else formats
+    rows = scan_all(files, patterns | ({_BOUND: NAMED} if entropy else {})).select("repo_id", "path", "match", "line", "rule")
+    bound = F.col("rule") == _BOUND
+    if entropy:  # of a line's bound values the first that looks like a secret counts, if no format is met there
+        value = F.regexp_extract("match", r"[\"'`]([^\"'`]+)[\"'`]$", 1)
+        of_line = Window.partitionBy("repo_id", "path", "line")
+        rows = rows.withColumn("value", F.when(bound, value)).withColumn("bits", F.when(bound, shannon_entropy(F.col("value"))))
+        likely = bound & (F.length("value") >= shortest) & ~is_placeholder(F.col("value")) & (F.col("bits") >= least_entropy)
+        rows = rows.withColumn("likely", F.coalesce(likely, F.lit(False))).withColumn("met", F.bool_or(~bound).over(of_line))
+        rows = rows.withColumn("place", F.row_number().over(of_line.orderBy(F.col("likely").desc(), "value"))).where(~bound | (F.col("likely") & ~F.col("met") & (F.col("place") == 1)))
+    else:
+        rows = rows.withColumn("value", F.lit("")).withColumn("bits", F.lit(0.0))
+    either = lambda named, format_: F.when(bound, named).otherwise(format_)
+    said = lambda named, format_: either(F.lit(named), F.lit(format_))
+    bits = F.format_string("%.2f", "bits")
     hits = findings(
         rows,
-        id=F.concat_ws(":", F.lit(ID), "rule", "path", "line"),
+        id=either(F.concat_ws(":", F.lit(f"{ID}:entropy"), "path", "line"), F.concat_ws(":", F.lit(ID), "rule", "path", "line")),
         detector_id=ID,
-        severity=severity_of(level),
-        title=F.concat(F.lit("Credential in the source: "), label(F.col("rule"))),
-        explanation=F.lit("Text in a provider's credential format stands in a file."),
-        fix_prompt=F.lit("Revoke the credential, take it out of the file and its history, and read it from the environment."),
+        severity=either(F.lit("high"), severity_of(level)),
+        title=either(F.lit("High-entropy value under a secret-like name"), F.concat(F.lit("Credential in the source: "), label(F.col("rule")))),
+        explanation=either(F.concat(F.lit("A value of "), bits, F.lit(" bits a character is bound to a name like a secret's.")), F.lit("Text in a provider's credential format stands in a file.")),
+        fix_prompt=said("If it is a secret, revoke it and read it from the environment.", "Revoke the credential, take it out of the file and its history, and read it from the environment."),
         file=F.col("path"),
-        evidence=masked(F.col("match")),
-        metadata=F.to_json(F.struct(F.col("rule").alias("ruleId"))),
+        evidence=masked(either(F.col("value"), F.col("match"))),
+        metadata=either(F.to_json(F.struct(F.round("bits", 2).alias("entropy"))), F.to_json(F.struct(F.col("rule").alias("ruleId")))),
     )
-    if entropy:
-        named = scan(files, NAMED).select("repo_id", "path", "match", "line", F.regexp_extract("match", r"[\"'`]([^\"'`]+)[\"'`]$", 1).alias("value"))
-        bits = shannon_entropy(F.col("value"))
-        named = named.where((F.length("value") >= shortest) & ~is_placeholder(F.col("value"))).withColumn("bits", bits).where(F.col("bits") >= least_entropy)
-        named = named.join(rows.select("repo_id", "path", "line"), ["repo_id", "path", "line"], "left_anti")
-        named = first_by(named, ["repo_id", "path", "line"], [F.col("value")])
-        hits = hits.unionByName(
-            findings(
-                named,
-                id=F.concat_ws(":", F.lit(f"{ID}:entropy"), "path", "line"),
-                detector_id=ID,
-                severity="high",
-                title="High-entropy value under a secret-like name",
-                explanation=F.concat(F.lit("A value of "), F.format_string("%.2f", "bits"), F.lit(" bits a character is bound to a name like a secret's.")),
-                fix_prompt="If it is a secret, revoke it and read it from the environment.",
-                file=F.col("path"),
-                evidence=masked(F.col("value")),
-                metadata=F.to_json(F.struct(F.round("bits", 2).alias("entropy"))),
-            )
-        )
     return Found(hits, analysed=files.select("repo_id", "path"))
