@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, Window
 from pyspark.sql import functions as F
 
-from corpusward.functions.text import is_placeholder, masked, shannon_entropy
+from corpusward.functions.text import PLACEHOLDER, is_placeholder, masked, shannon_entropy
 from corpusward.operators.regexscan import scan_all
 from corpusward.schemas import Found, Tables, findings
 
@@ -42,19 +42,20 @@ def label(rule: Column) -> Column:
     return F.replace(F.substring_index(rule, "/", -1), F.lit("-"), F.lit(" "))
 
 
-def detect(tables: Tables, entropy: bool = True, shortest: int = SHORTEST, least_entropy: float = LEAST_ENTROPY, formats: dict[str, str] | None = None, levels: dict[str, str] | None = None) -> Found:
+def detect(tables: Tables, entropy: bool = True, shortest: int = SHORTEST, least_entropy: float = LEAST_ENTROPY, formats: dict[str, str] | None = None, levels: dict[str, str] | None = None, named: str = NAMED, placeholder: str | None = PLACEHOLDER) -> Found:
     """formats: patterns by rule, in place of FORMATS. levels: error, warning or info by rule; those that
-    aren't named are errors."""
+    aren't named are errors. named: a pattern in place of NAMED, which ends with the quoted value.
+    placeholder: of values that are no secrets; None if only few different characters tell."""
     files = tables.files.where("in_text_walk and issue_code is null and text is not null")
     level = F.coalesce(*[F.when(F.col("rule") == k, F.lit(v)) for k, v in (levels or {}).items()], F.lit("error"))
     patterns = dict(FORMATS) if formats is None else formats
-    rows = scan_all(files, patterns | ({_BOUND: NAMED} if entropy else {})).select("repo_id", "path", "match", "line", "rule")
+    rows = scan_all(files, patterns | ({_BOUND: named} if entropy else {})).select("repo_id", "path", "match", "line", "rule")
     bound = F.col("rule") == _BOUND
     if entropy:  # of a line's bound values the first that looks like a secret counts, if no format is met there
         value = F.regexp_extract("match", r"[\"'`]([^\"'`]+)[\"'`]$", 1)
         of_line = Window.partitionBy("repo_id", "path", "line")
         rows = rows.withColumn("value", F.when(bound, value)).withColumn("bits", F.when(bound, shannon_entropy(F.col("value"))))
-        likely = bound & (F.length("value") >= shortest) & ~is_placeholder(F.col("value")) & (F.col("bits") >= least_entropy)
+        likely = bound & (F.length("value") >= shortest) & ~is_placeholder(F.col("value"), placeholder) & (F.col("bits") >= least_entropy)
         rows = rows.withColumn("likely", F.coalesce(likely, F.lit(False))).withColumn("met", F.bool_or(~bound).over(of_line))
         rows = rows.withColumn("place", F.row_number().over(of_line.orderBy(F.col("likely").desc(), "value"))).where(~bound | (F.col("likely") & ~F.col("met") & (F.col("place") == 1)))
     else:

@@ -24,8 +24,10 @@ def shannon_entropy(value: Column) -> Column:
     return F.when(F.length(value) == 0, F.lit(0.0)).otherwise(-F.aggregate(runs, F.lit(0.0), lambda a, p: a + p * F.log2(p)))
 
 
-def is_placeholder(value: Column) -> Column:
-    return value.rlike(PLACEHOLDER) | (F.size(F.array_distinct(characters(value))) < 6)
+def is_placeholder(value: Column, pattern: str | None = PLACEHOLDER) -> Column:
+    """pattern: of values that stand in for a secret; None if only few different characters tell."""
+    few = F.size(F.array_distinct(characters(value))) < 6
+    return few if pattern is None else value.rlike(pattern) | few
 
 
 def masked(value: Column) -> Column:
