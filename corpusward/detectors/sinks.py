@@ -32,10 +32,16 @@ def flagged(rows: DataFrame, rules: list[tuple]) -> DataFrame:
     return made.select("repo_id", "path", "line", "col", "text", F.col("_hit")["kind"].alias("kind"), F.col("_hit")["rule"].alias("rule"), F.col("_hit")["severity"].alias("severity"))
 
 
+def spread(files: DataFrame) -> DataFrame:
+    """files over as many tasks as a shuffle has, each once. Small tables are few partitions, and parsing
+    takes a hundred times as long as moving a text."""
+    return files.repartition(int(files.sparkSession.conf.get("spark.sql.shuffle.partitions")), "repo_id", "path")
+
+
 def detect(tables: Tables) -> Found:
     files = tables.files.where("in_text_walk and issue_code is null and text is not null").withColumn("lang", language(F.col("ext"))).where("lang is not null").select("repo_id", "path", "text", "lang")
-    py = python_calls.parsed(files.where("lang = 'python'"))
-    js = js_calls.parsed(files.where("lang <> 'python'"))
+    py = python_calls.parsed(spread(files.where("lang = 'python'")))
+    js = js_calls.parsed(spread(files.where("lang <> 'python'")))
     calls = py.select("repo_id", "path", F.explode("p.calls").alias("c")).select("repo_id", "path", "c.*")
     others = js.select("repo_id", "path", F.explode("p.rows").alias("c")).select("repo_id", "path", "c.*")
     rows = flagged(calls, sinks_python.rules()).unionByName(flagged(others, sinks_js.rules()))

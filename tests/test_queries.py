@@ -6,6 +6,7 @@ from pathlib import Path
 
 import duckdb
 import pytest
+from pyspark.sql import functions as F
 
 from corpusward.plans.queries import ORACLES, QUERIES
 
@@ -42,6 +43,16 @@ def test_secrets_in_odd_texts(spark, tmp_path):
     assert len(want) == 7 and sorted(map(tuple, made)) == sorted(want)
 
 
+@pytest.mark.parametrize("name", ["script_sink_findings", "python_sink_findings"])
+def test_sources_of_one_partition(spark, name, capsys):
+    """Each source is parsed once, and the sources of a small table by more than one task."""
+    made = QUERIES[name](spark, FOLDER)
+    made.explain()
+    assert capsys.readouterr().out.count("ArrowEvalPython") == 1
+    assert spark.read.parquet(f"{FOLDER}/part.parquet").rdd.getNumPartitions() == 1
+    assert made.select(F.spark_partition_id()).distinct().count() > 1
+
+
 def test_import_needs_no_session():
     done = subprocess.run([sys.executable, "-c", "import __spark_entry__ as e; assert len(e.queries()) > 40 and e.oracle_sql()"], cwd=Path(__file__).parent.parent, capture_output=True, text=True)
     assert done.returncode == 0, done.stderr[-500:]
